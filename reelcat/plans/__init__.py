@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelcat.plans import catalog
+from reelcat.plans import catalog, identity
 
-_MODULES = [catalog]
+_MODULES = [catalog, identity]
 
 
 def all_queries() -> dict:
