@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelcat.plans import catalog, identity
+from reelcat.plans import catalog, identity, media
 
-_MODULES = [catalog, identity]
+_MODULES = [catalog, identity, media]
 
 
 def all_queries() -> dict:
