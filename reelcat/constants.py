@@ -38,6 +38,8 @@ STAGE_LIMITS = [
 # --- fixed values: error codes and retry classes ------------------------------
 RETRYABLE_DOWNLOAD_CODES = ["TIMEOUT", "NETWORK_ERROR"]
 ERROR_CODES = ["TIMEOUT", "FORMAT_ERROR", "NETWORK_ERROR"]
+# provider named in storage error texts
+STORAGE_PROVIDER = "supabase"
 
 # --- fixed values: webhook delivery -------------------------------------------
 WEBHOOK_MAX_ATTEMPTS = 3

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelcat.plans import catalog, identity, media
+from reelcat.plans import catalog, identity, lifecycle, media
 
-_MODULES = [catalog, identity, media]
+_MODULES = [catalog, identity, media, lifecycle]
 
 
 def all_queries() -> dict:
