@@ -16,14 +16,26 @@ def object_key(processing_id: Column | str, file_name: Column | str) -> Column:
     return F.concat_ws("/", F.lit(K.KEY_ROOT), _col(processing_id), _col(file_name))
 
 
-def direct_object_keys(processing_id: Column | str, video_name: Column | str, thumb_ext: Column | str) -> Column:
-    """Flat names written by the direct path: video, info JSON and thumbnail."""
+def standard_object_keys(processing_id: Column | str, video_id: Column | str, ext: Column | str,
+                         thumb_ext: Column | str) -> Column:
+    """Keys of the standard path: downloaded files named ``{video id}.{ext}`` under the task prefix."""
+    vid = _col(video_id)
+    return F.struct(
+        object_key(processing_id, F.concat(vid, F.lit("."), _col(ext))).alias("video"),
+        object_key(processing_id, F.concat(vid, F.lit(K.METADATA_SUFFIX))).alias("metadata"),
+        object_key(processing_id, F.concat(vid, F.lit("."), _col(thumb_ext))).alias("thumbnail"),
+    )
+
+
+def direct_object_keys(processing_id: Column | str, video_id: Column | str, thumb_ext: Column | str) -> Column:
+    """Keys written by the direct path: ``{id}_{video id}.mp4``, ``{id}_info.json``,
+    ``{id}_thumbnail.{ext}`` (``jpg`` when the thumbnail URL has no extension)."""
     pid = _col(processing_id)
     ext = F.coalesce(_col(thumb_ext), F.lit(K.DEFAULT_THUMBNAIL_EXT))
     return F.struct(
-        F.concat(pid, F.lit("_"), _col(video_name), F.lit(".mp4")).alias("video"),
-        F.concat(pid, F.lit("_info.json")).alias("metadata"),
-        F.concat(pid, F.lit("_thumbnail."), ext).alias("thumbnail"),
+        object_key(pid, F.concat(pid, F.lit("_"), _col(video_id), F.lit(".mp4"))).alias("video"),
+        object_key(pid, F.concat(pid, F.lit("_info.json"))).alias("metadata"),
+        object_key(pid, F.concat(pid, F.lit("_thumbnail."), ext)).alias("thumbnail"),
     )
 
 

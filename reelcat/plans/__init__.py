@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelcat.plans import catalog, identity, lifecycle, media
+from reelcat.plans import catalog, identity, lifecycle, media, metrics
 
-_MODULES = [catalog, identity, media, lifecycle]
+_MODULES = [catalog, identity, media, lifecycle, metrics]
 
 
 def all_queries() -> dict:
