@@ -212,3 +212,28 @@ def tasks_without_video(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     """Completed tasks whose required ``video`` object is missing."""
     videos = objects.where(F.col("file_type") == "video").select(O.key_processing_id("key").alias("id"))
     return tasks.where(F.col("status") == "completed").select("id", "updated_at").join(videos, "id", "left_anti")
+
+
+def timeouts(events: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S) -> DataFrame:
+    """``processing`` events with no queued/completed/failed event of the same task
+    within ``limit_s`` seconds (batch twin of the streaming interval join).
+
+    The range condition is made an equi-join on ``(task, time bucket)``: with
+    buckets of ``limit_s`` seconds, an end event at ``x`` can only match starts
+    in bucket ``b(x)`` or ``b(x) - 1``, so each end event is offered to two
+    buckets and only pairs within about one time limit are compared, even for
+    a task with a huge number of events.
+    """
+    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    starts = (events.where(F.col("event") == "processing")
+              .select("task_id", "event_id", "ts", F.floor(secs / limit_s).alias("bucket")))
+    b = F.floor(secs / limit_s)
+    ends = (events.where(F.col("event").isin("queued", "completed", "failed"))
+            .select(F.col("task_id").alias("e_task"), F.col("ts").alias("e_ts"),
+                    F.explode(F.array(b, b - 1)).alias("e_bucket")))
+    cond = ((starts.task_id == ends.e_task) & (starts.bucket == ends.e_bucket)
+            & (ends.e_ts >= starts.ts)
+            & (ends.e_ts <= starts.ts + F.make_dt_interval(secs=F.lit(limit_s))))
+    return (starts.join(ends, cond, "left_anti")
+            .select("task_id", "event_id", F.col("ts").alias("started_at"),
+                    (F.col("ts") + F.make_dt_interval(secs=F.lit(limit_s))).alias("deadline")))

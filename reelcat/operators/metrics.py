@@ -232,3 +232,23 @@ def failure_rate_windows(events: DataFrame, duration: str = "1 day", slide: str
                     "n_events", "n_failed", "n_completed",
                     _share(F.col("n_failed"), F.col("n_events")).alias("failure_rate"))
             .withColumn("alert", F.col("failure_rate") > threshold))
+
+
+def progress_windows(events: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Bytes moved per task and time window, with throughput in KB/s (batch twin of the stream)."""
+    secs = F.unix_seconds(F.col("w.end").cast("timestamp")) - F.unix_seconds(F.col("w.start").cast("timestamp"))
+    return (events.where(F.col("event") == "progress")
+            .groupBy(F.window("ts", window).alias("w"), "task_id")
+            .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_chunks"))
+            .select("task_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "bytes", "n_chunks", F.round(F.col("bytes") / secs / 1024, 6).alias("kbps")))
+
+
+def event_outbox(events: DataFrame, max_attempts: int = K.WEBHOOK_MAX_ATTEMPTS) -> DataFrame:
+    """One delivery row per attempt for each terminal event (batch twin of the stream outbox)."""
+    term = events.where(F.col("event").isin(K.TERMINAL_STATUSES)).dropDuplicates(["event_id"])
+    att = F.explode(F.sequence(F.lit(1), F.lit(max_attempts))).alias("attempt")
+    delay = F.pow(F.lit(2), F.col("attempt") - 1).cast("bigint") - 1
+    return (term.select("task_id", "event_id", "event", "ts", att)
+            .select("task_id", "event_id", "event", F.col("attempt").cast("bigint").alias("attempt"),
+                    delay.alias("delay_s"), (F.col("ts") + F.make_dt_interval(secs=delay)).alias("send_after")))

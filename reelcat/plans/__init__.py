@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelcat.plans import catalog, identity, lifecycle, media, metrics
+from reelcat.plans import catalog, identity, lifecycle, media, metrics, streaming
 
-_MODULES = [catalog, identity, media, lifecycle, metrics]
+_MODULES = [catalog, identity, media, lifecycle, metrics, streaming]
 
 
 def all_queries() -> dict:
