@@ -177,3 +177,41 @@ WHERE {sql_key_pid('key')} IS NULL OR {sql_key_pid('key')} NOT IN (SELECT pid FR
   UNION ALL SELECT key || '.bak' AS key FROM files)
 SELECT DISTINCT p.key, p.key IN (SELECT key FROM files) AS "exists" FROM probes p"""),
 }
+
+
+# --- object files (binaryFile source) ------------------------------------------
+
+OBJECT_NAME = "index.html"
+
+
+def _staged_pages(spark: SparkSession, sf: str) -> str:
+    from reelcat.sources import objects as SO
+    from reelcat.sources.media import scratch_path
+    from reelcat.sources.tables import read_table
+    return SO.stage_objects(read_table(spark, sf, "pages"), "page_id", "html", scratch_path(spark, "objects"))
+
+
+def q_ingest_objects(spark: SparkSession, sf: str) -> DataFrame:
+    from reelcat.sources import objects as SO
+    root = _staged_pages(spark, sf)
+    return SO.ingest_objects(spark, root, OBJECT_NAME).select("key", "processing_id", "size", "content_type")
+
+
+def q_read_objects(spark: SparkSession, sf: str) -> DataFrame:
+    from reelcat.sources import objects as SO
+    root = _staged_pages(spark, sf)
+    manifest = SO.ingest_objects(spark, root, OBJECT_NAME)
+    # every stored key, plus one missing sibling per key
+    keys = manifest.select("key").unionByName(manifest.select(F.concat("key", F.lit(".missing")).alias("key")))
+    return (SO.read_objects(spark, root, manifest, keys)
+            .select("key", "length", F.sha2("content", 256).alias("content_sha256")))
+
+
+QUERIES["ingest_objects"] = q_ingest_objects
+QUERIES["read_objects"] = q_read_objects
+ORACLE["ingest_objects"] = f"""
+SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, cast(page_id as varchar) AS processing_id,
+ (strlen(html) + 1)::BIGINT AS size, CAST(NULL AS VARCHAR) AS content_type FROM pages"""
+ORACLE["read_objects"] = f"""
+SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS length,
+ sha256(html || chr(10)) AS content_sha256 FROM pages"""
