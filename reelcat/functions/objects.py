@@ -40,9 +40,15 @@ def direct_object_keys(processing_id: Column | str, video_id: Column | str, thum
 
 
 def key_processing_id(key: Column | str) -> Column:
-    """Second path part of ``videos/{id}/...`` keys (at least three parts); null otherwise."""
-    parts = F.split(_col(key), "/")
-    return F.when((F.size(parts) >= 3) & (F.element_at(parts, 1) == K.KEY_ROOT), F.element_at(parts, 2))
+    """Second path part of ``videos/{id}/...`` keys (at least three parts); null otherwise.
+
+    Plain string functions (no array allocation): the key must start with the
+    root folder and have another ``/`` after the id.
+    """
+    k = _col(key)
+    root = K.KEY_ROOT + "/"
+    rest = F.substring(k, len(root) + 1, 1 << 30)
+    return F.when(k.startswith(root) & (F.instr(rest, "/") > 0), F.substring_index(rest, "/", 1))
 
 
 def base_name(key: Column | str) -> Column:
@@ -52,10 +58,12 @@ def base_name(key: Column | str) -> Column:
 def file_extension(key: Column | str) -> Column:
     """Last extension of the base name, with its dot, lower-cased ('' when none).
 
-    A name made only of leading dots before the last dot (``.mp4``) has no
-    extension, like a hidden file.
+    Leading dots of the name do not start an extension (``.mp4`` has none, like
+    a hidden file), so they are trimmed before looking for the last dot.
     """
-    return F.lower(F.regexp_extract(base_name(key), r"^\.*[^.].*(\.[^.]*)$", 1))
+    name = F.ltrim(base_name(key), F.lit("."))
+    return F.when(F.instr(name, ".") > 0, F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1)))) \
+        .otherwise(F.lit(""))
 
 
 def content_type_map() -> Column:

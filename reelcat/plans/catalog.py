@@ -182,13 +182,19 @@ SELECT DISTINCT p.key, p.key IN (SELECT key FROM files) AS "exists" FROM probes
 # --- object files (binaryFile source) ------------------------------------------
 
 OBJECT_NAME = "index.html"
+_STAGED: dict = {}
 
 
 def _staged_pages(spark: SparkSession, sf: str) -> str:
+    """Store every page body as an object file, once per application and input folder."""
     from reelcat.sources import objects as SO
     from reelcat.sources.media import scratch_path
     from reelcat.sources.tables import read_table
-    return SO.stage_objects(read_table(spark, sf, "pages"), "page_id", "html", scratch_path(spark, "objects"))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        _STAGED[key] = SO.stage_objects(read_table(spark, sf, "pages"), "page_id", "html",
+                                        scratch_path(spark, "objects"))
+    return _STAGED[key]
 
 
 def q_ingest_objects(spark: SparkSession, sf: str) -> DataFrame:
