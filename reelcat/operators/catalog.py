@@ -11,9 +11,10 @@ Scale notes
   shuffle.
 * "Last wins" is made deterministic with ``(last_modified, key)`` as the
   ordering, so results do not depend on input order.
-* Paging is a top-k (``orderBy().offset().limit()`` -> TakeOrderedAndProject):
-  each task keeps at most ``page * limit`` rows.  Totals are a scalar
-  subquery, not a join.
+* Paging is a top-k (``orderBy().offset().limit()`` -> TakeOrderedAndProject)
+  while ``page * limit`` is small; deeper pages rank every row with the
+  range-partitioned scan (``scan.running``).  Totals are a scalar subquery,
+  not a join.
 * Key lookups (delete, exists) are equi/semi/anti joins; the broadcast choice
   is left to AQE, which checks the runtime size of each side against
   ``spark.sql.autoBroadcastJoinThreshold``.
@@ -72,21 +73,33 @@ def check_page(page: int, limit: int, max_limit: int = K.PAGE_MAX_LIMIT) -> tupl
     return page, min(limit, max_limit)
 
 
+# deepest slice served by a single top-k task; deeper pages use a range-partitioned rank
+TOPK_MAX_ROWS = 100_000
+
+
 def listing_page(df: DataFrame, order: list[Column], page: int = 1, limit: int = K.PAGE_DEFAULT_LIMIT,
                  max_limit: int = K.PAGE_MAX_LIMIT) -> DataFrame:
     """Slice page ``page`` of ``df`` in ``order`` and add page, limit, total, has_next, position.
 
     ``order`` must be a total order (end with a unique key).  The total is a
-    scalar subquery over ``df``; the slice is a top-k of ``page * limit`` rows.
+    scalar subquery over ``df``.  Shallow pages are a top-k of ``page * limit``
+    rows (TakeOrderedAndProject); pages deeper than ``TOPK_MAX_ROWS`` rank all
+    rows with the range-partitioned scan, so no task holds more than its
+    range partition.
     """
     page, limit = check_page(page, limit, max_limit)
     start = (page - 1) * limit
     total = df.select(F.count(F.lit(1))).scalar()
-    sliced = df.orderBy(*order).offset(start).limit(limit)
-    # at most `limit` (<= 100) rows reach this window
-    pos = F.row_number().over(Window.orderBy(*order)) + F.lit(start)
+    if start + limit <= TOPK_MAX_ROWS:
+        sliced = df.orderBy(*order).offset(start).limit(limit)
+        # at most `limit` (<= 100) rows reach this window
+        pos = F.row_number().over(Window.orderBy(*order)) + F.lit(start)
+        sliced = sliced.withColumn("position", pos.cast("bigint"))
+    else:
+        from reelcat.operators.scan import running
+        ranked = running(df, [], order, rn_col="position")
+        sliced = ranked.where((F.col("position") > start) & (F.col("position") <= start + limit))
     return (sliced
-            .withColumn("position", pos.cast("bigint"))
             .withColumn("page", F.lit(page).cast("bigint"))
             .withColumn("page_limit", F.lit(limit).cast("bigint"))
             .withColumn("total", total)

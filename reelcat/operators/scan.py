@@ -34,8 +34,9 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
     for each entry of ``sums`` (rows from the start of the key up to the current
     row) and ``prev_<c>`` for each column in ``lags``.
 
-    ``order`` must make rows unique within a key.  ``key`` may be empty for a
-    global order (e.g. queue positions).
+    ``order`` must make rows unique within a key; its entries are column names
+    or sort Columns (``F.col(c).desc()``), names only when ``lags`` are used.
+    ``key`` may be empty for a global order (e.g. queue positions, deep pages).
     """
     sums = sums or {}
     lags = lags or []
@@ -58,7 +59,7 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
 
     kstruct = F.struct(*[F.col(c) for c in kcols])
     bounds = ranged.groupBy("_part").agg(F.min(kstruct).alias("_first"), F.max(kstruct).alias("_lastk"))
-    ostruct = F.struct(*[F.col(c) for c in order])
+    ostruct = F.struct(*[F.col(c) for c in order]) if lags else None
     totals = ranged.groupBy("_part", *kcols).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums],

@@ -221,3 +221,25 @@ SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, cast(pa
 ORACLE["read_objects"] = f"""
 SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS length,
  sha256(html || chr(10)) AS content_sha256 FROM pages"""
+
+
+# --- paging (L2): a deeper page of the catalogue ------------------------------
+
+PAGE_N, PAGE_LIMIT = 3, 50
+
+
+def q_listing_page(spark: SparkSession, sf: str) -> DataFrame:
+    cat = C.video_catalog(X.files(spark, sf)).select("processing_id", "created_at", "n_files")
+    return C.listing_page(cat, [F.col("created_at").desc(), F.col("processing_id").asc()], PAGE_N, PAGE_LIMIT)
+
+
+QUERIES["listing_page"] = q_listing_page
+ORACLE["listing_page"] = with_views(["files"], f"""WITH {_PARSED},
+ cat AS (SELECT pid AS processing_id, min(last_modified) AS created_at, count(*) AS n_files
+         FROM parsed WHERE pid IS NOT NULL GROUP BY pid),
+ tot AS (SELECT count(*) AS total FROM cat)
+SELECT cat.*, cast(row_number() OVER (ORDER BY created_at DESC, processing_id) AS bigint) AS position,
+ cast({PAGE_N} AS bigint) AS page, cast({PAGE_LIMIT} AS bigint) AS page_limit, tot.total,
+ {PAGE_N * PAGE_LIMIT} < tot.total AS has_next
+FROM cat, tot
+QUALIFY position > {(PAGE_N - 1) * PAGE_LIMIT} AND position <= {PAGE_N * PAGE_LIMIT}""")

@@ -21,6 +21,7 @@ from reelcat.sources.tables import read_table
 FAILURE_WINDOW = "1 day"
 FAILURE_ALERT = 0.2
 CHUNK = K.STREAM_CHUNK_BYTES
+SLIDE = "12 hours"
 
 
 def q_result_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +79,8 @@ QUERIES = {
                                                      F.octet_length("html"), CHUNK),
     "failure_rate_windows": lambda s, sf: M.failure_rate_windows(X.task_events(s, sf), FAILURE_WINDOW,
                                                                  threshold=FAILURE_ALERT),
+    "failure_rate_sliding": lambda s, sf: M.failure_rate_windows(X.task_events(s, sf), FAILURE_WINDOW, SLIDE,
+                                                                 threshold=FAILURE_ALERT),
     "file_kinds": q_file_kinds,
     "url_extensions": q_url_extensions,
     "object_keys": q_object_keys,
@@ -193,6 +196,15 @@ WITH w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events,
   sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
   sum(CASE WHEN event = 'completed' THEN 1 ELSE 0 END)::BIGINT AS n_completed
  FROM task_events WHERE event IN ('queued','processing','completed','failed') GROUP BY 1)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_events, n_failed, n_completed,
+ round(n_failed / n_events, 6) AS failure_rate, round(n_failed / n_events, 6) > {FAILURE_ALERT} AS alert FROM w"""),
+    "failure_rate_sliding": with_views(["task_events"], f"""
+WITH e AS (SELECT ts, event FROM task_events WHERE event IN ('queued','processing','completed','failed')),
+ b AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 00:00:00') AS window_start, event FROM e
+       UNION ALL
+       SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 12:00:00') AS window_start, event FROM e),
+ w AS (SELECT window_start, count(*) AS n_events, sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+        sum(CASE WHEN event = 'completed' THEN 1 ELSE 0 END)::BIGINT AS n_completed FROM b GROUP BY 1)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_events, n_failed, n_completed,
  round(n_failed / n_events, 6) AS failure_rate, round(n_failed / n_events, 6) > {FAILURE_ALERT} AS alert FROM w"""),
     "file_kinds": with_views(["files"], f"""

@@ -36,7 +36,7 @@ def q_stream_failure_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(J.stream_task_state(J.task_event_stream(spark, sf)), "stream-task-state",
-                         mode="update", foreach_batch=J.snapshot_merge_batch)
+                         foreach_batch=J.snapshot_merge_batch)
     return J.latest_snapshot(spark, out)
 
 

@@ -74,12 +74,14 @@ def stream_failure_rate(events: DataFrame, duration: str = "1 day", slide: str |
 
 
 def stream_task_state(events: DataFrame) -> DataFrame:
-    """Latest status per task (update mode); merged into a snapshot by ``foreachBatch``."""
-    ev = events.where(F.col("event").isin(K.TASK_STATUSES))
-    last = F.max_by(F.struct("event", "ts", "event_id"), F.struct("ts", "event_id"))
-    return (ev.groupBy("task_id").agg(last.alias("l"))
-            .select("task_id", F.col("l.event").alias("status"), F.col("l.ts").alias("updated_at"),
-                    F.col("l.event_id").alias("event_id")))
+    """Status events to fold into the task snapshot.
+
+    The stream itself keeps no state (the number of tasks grows without end);
+    ``snapshot_merge_batch`` reduces each micro-batch to the latest event per
+    task and merges it into the stored, versioned snapshot.
+    """
+    return (events.where(F.col("event").isin(K.TASK_STATUSES))
+            .select("task_id", F.col("event").alias("status"), F.col("ts").alias("updated_at"), "event_id"))
 
 
 def stream_timeouts(starts: DataFrame, ends: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S,
@@ -165,23 +167,23 @@ def new_tasks_batch(known_path: str):
 
 
 def snapshot_merge_batch(batch: DataFrame, epoch: int, out: str) -> None:
-    """``foreachBatch`` body for T2: merge updated task states into a versioned snapshot.
+    """``foreachBatch`` body for T2: merge a batch of status events into a versioned snapshot.
 
     Each epoch writes ``out/v=<epoch>`` from the newest earlier version plus the
-    batch (latest by ``(updated_at, event_id)`` per task); readers take the
-    newest version, so the snapshot being read is never overwritten, and a
-    replayed epoch rewrites only its own version.
+    batch, keeping the latest row by ``(updated_at, event_id)`` per task (an
+    aggregate with map-side combine).  Readers take the newest version, so the
+    snapshot being read is never overwritten, and a replayed epoch rewrites
+    only its own version.
     """
     spark = batch.sparkSession
-    merged = batch
+    rows = batch.select("task_id", "status", "updated_at", "event_id")
     prior = _read_or_none(spark, out)
     if prior is not None:
         prev_v = prior.where(F.col("v") < epoch).agg(F.max("v")).first()[0]
         if prev_v is not None:
-            prev = prior.where(F.col("v") == prev_v).drop("v")
-            last = F.max_by(F.struct("status", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
-            merged = (prev.unionByName(batch).groupBy("task_id").agg(last.alias("l"))
-                      .select("task_id", "l.status", "l.updated_at", "l.event_id"))
+            rows = prior.where(F.col("v") == prev_v).drop("v").unionByName(rows)
+    last = F.max_by(F.struct("status", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
+    merged = rows.groupBy("task_id").agg(last.alias("l")).select("task_id", "l.status", "l.updated_at", "l.event_id")
     merged.write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
 
