@@ -26,13 +26,18 @@ from reelcat.operators.scan import running
 STATUS_EVENTS = K.TASK_STATUSES
 
 
-def _ts_micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from ``start`` to ``end`` (microsecond precision) as a double.
+
+    ``timestamp_diff`` works on wall-clock ``timestamp_ntz`` values directly, so
+    the result does not depend on the session time zone (no DST jumps).
+    """
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1_000_000.0)
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds from ``start`` to ``end`` (microsecond precision) as a double."""
-    return (_ts_micros(end) - _ts_micros(start)) / F.lit(1_000_000.0)
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970-01-01 of a ``timestamp_ntz`` value, independent of the session zone."""
+    return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
 
 
 # ---- queue ------------------------------------------------------------------
@@ -224,7 +229,7 @@ def timeouts(events: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S) -> DataFrame
     buckets and only pairs within about one time limit are compared, even for
     a task with a huge number of events.
     """
-    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    secs = epoch_seconds(F.col("ts"))
     starts = (events.where(F.col("event") == "processing")
               .select("task_id", "event_id", "ts", F.floor(secs / limit_s).alias("bucket")))
     b = F.floor(secs / limit_s)

@@ -236,7 +236,7 @@ def failure_rate_windows(events: DataFrame, duration: str = "1 day", slide: str
 
 def progress_windows(events: DataFrame, window: str = "1 hour") -> DataFrame:
     """Bytes moved per task and time window, with throughput in KB/s (batch twin of the stream)."""
-    secs = F.unix_seconds(F.col("w.end").cast("timestamp")) - F.unix_seconds(F.col("w.start").cast("timestamp"))
+    secs = F.timestamp_diff("SECOND", F.col("w.start"), F.col("w.end"))
     return (events.where(F.col("event") == "progress")
             .groupBy(F.window("ts", window).alias("w"), "task_id")
             .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_chunks"))

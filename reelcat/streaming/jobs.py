@@ -105,7 +105,7 @@ def stream_timeouts(starts: DataFrame, ends: DataFrame, limit_s: int = K.OVERALL
 
 def stream_progress(events: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Bytes moved per task and window, and the throughput in KB/s over the window."""
-    secs = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
+    secs = F.timestamp_diff("SECOND", F.col("w.start"), F.col("w.end"))
     return (events.where(F.col("event") == "progress").withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w"), "task_id")
             .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_chunks"))
