@@ -208,14 +208,26 @@ def stage_deadlines(events: DataFrame) -> DataFrame:
 # ---- tasks <-> objects ------------------------------------------------------
 
 def task_files(tasks: DataFrame, objects: DataFrame) -> DataFrame:
-    """Each task with its stored objects (prefix ``videos/{task id}/``); tasks without objects keep one row."""
+    """Each task with its stored objects (prefix ``videos/{task id}/``); tasks without objects keep one row.
+
+    Written as inner join + anti join rather than one left outer join: AQE can
+    split a skewed partition on either side of an inner join, but only on the
+    left side of a left outer join, and the hot side here is the objects.  The
+    anti join's right side is de-duplicated first, so it is one row per id.
+    """
+    t = tasks.select("id", "status")
     objs = objects.select(O.key_processing_id("key").alias("id"), "key", "file_type", "size")
-    return tasks.select("id", "status").join(objs, "id", "left")
+    with_objects = t.join(objs, "id")
+    without = (t.join(objs.select("id").distinct(), "id", "left_anti")
+               .select("id", "status", F.lit(None).cast("string").alias("key"),
+                       F.lit(None).cast("string").alias("file_type"), F.lit(None).cast("bigint").alias("size")))
+    return with_objects.unionByName(without)
 
 
 def tasks_without_video(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     """Completed tasks whose required ``video`` object is missing."""
-    videos = objects.where(F.col("file_type") == "video").select(O.key_processing_id("key").alias("id"))
+    videos = (objects.where(F.col("file_type") == "video")
+              .select(O.key_processing_id("key").alias("id")).distinct())
     return tasks.where(F.col("status") == "completed").select("id", "updated_at").join(videos, "id", "left_anti")
 
 

@@ -9,9 +9,9 @@ Scale notes
 * Warning lists per task are built from one boolean flag per known warning
   (a fixed vocabulary), so the per-task array is bounded by the vocabulary
   size, not by the data.
-* Percentiles: ``exact=True`` uses ``percentile`` (memory grows with the number
-  of distinct values per group; fine for whole-second durations), otherwise
-  ``percentile_approx`` with a bounded sketch.
+* Percentiles: exact ones are computed by rank over a range-partitioned sort
+  (no group's values are held in one task); ``percentile_approx`` is the
+  one-pass bounded-sketch alternative.
 * Fan-outs (webhook retry schedule, stage deadlines, chunk offsets) explode a
   bounded array per row; no joins are needed.
 """
@@ -57,16 +57,26 @@ def completion_rates(tasks: DataFrame) -> DataFrame:
 
 
 def processing_time(tasks: DataFrame, exact: bool = True) -> DataFrame:
-    """Processing time (updated_at - created_at, seconds) of terminal tasks per status."""
-    term = tasks.where(F.col("status").isin(K.TERMINAL_STATUSES))
-    secs = seconds_between(F.col("created_at"), F.col("updated_at"))
-    pct = F.percentile if exact else F.percentile_approx
-    return (term.withColumn("secs", secs).groupBy("status")
-            .agg(F.count(F.lit(1)).alias("n_tasks"),
-                 F.round(F.avg("secs"), 6).alias("avg_s"),
-                 F.round(pct("secs", F.lit(0.5)), 6).alias("p50_s"),
-                 F.round(pct("secs", F.lit(0.95)), 6).alias("p95_s"),
+    """Processing time (updated_at - created_at, seconds) of terminal tasks per status.
+
+    ``exact=True`` ranks the durations (``scan.exact_percentiles``), so no
+    status's values are ever held in one task; ``exact=False`` uses
+    ``percentile_approx`` (bounded sketch, one pass).
+    """
+    term = (tasks.where(F.col("status").isin(K.TERMINAL_STATUSES))
+            .withColumn("secs", seconds_between(F.col("created_at"), F.col("updated_at"))))
+    base = (term.groupBy("status")
+            .agg(F.count(F.lit(1)).alias("n_tasks"), F.round(F.avg("secs"), 6).alias("avg_s"),
                  F.max("secs").alias("max_s")))
+    if exact:
+        from reelcat.operators.scan import exact_percentiles
+        pct = exact_percentiles(term, ["status"], "secs", "id", {"p50_s": 0.5, "p95_s": 0.95})
+    else:
+        pct = term.groupBy("status").agg(F.percentile_approx("secs", 0.5).alias("p50_s"),
+                                          F.percentile_approx("secs", 0.95).alias("p95_s"))
+    return (base.join(pct, "status")
+            .select("status", "n_tasks", "avg_s", F.round("p50_s", 6).alias("p50_s"),
+                    F.round("p95_s", 6).alias("p95_s"), "max_s"))
 
 
 def is_timeout(tasks: DataFrame) -> Column:

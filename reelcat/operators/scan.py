@@ -84,3 +84,28 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
         *[F.when(F.col("_lrn") == 1, F.col(f"_cl_{c}")).otherwise(F.col(f"_lg_{c}")).alias(f"prev_{c}")
           for c in lags])
     return out
+
+
+def exact_percentiles(df: DataFrame, key: list[str], value: str, tie: str, ps: dict[str, float]) -> DataFrame:
+    """Exact percentiles of ``value`` per ``key`` with linear interpolation
+    (the same definition as Spark's ``percentile``), without holding a group's
+    values in one task.
+
+    Rows are ranked per key with ``running`` (range-partitioned, ``tie`` makes
+    the order unique); for each requested fraction ``p`` the rows at 0-based
+    ranks ``floor(p*(n-1))`` and ``ceil(p*(n-1))`` are picked and interpolated.
+    Returns one row per key with a column per entry of ``ps``.
+    """
+    vals = df.select(*key, value, tie).where(F.col(value).isNotNull())
+    ranked = running(vals, key, [value, tie], rn_col="_rn")
+    counts = vals.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"))
+    j = ranked.join(counts, key)
+    aggs = []
+    for name, p in ps.items():
+        pos = (F.col("_cnt") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+        v_lo = F.max(F.when(F.col("_rn") == lo, F.col(value)))
+        v_hi = F.max(F.when(F.col("_rn") == hi, F.col(value)))
+        frac = F.max(pos - F.floor(pos))
+        aggs.append((v_lo + (v_hi - v_lo) * frac).cast("double").alias(name))
+    return j.groupBy(*key).agg(*aggs)

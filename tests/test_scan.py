@@ -40,3 +40,15 @@ def test_global_order_without_key(spark):
 def test_many_small_keys(spark):
     ev = read_table(spark, SF_MID, "events").select("event_id", "ts", "user_id")
     _check(ev.withColumn("k", F.col("user_id")), ["k"], 8)
+
+
+def test_exact_percentiles_match_builtin(spark):
+    from reelcat.operators.scan import exact_percentiles
+    ev = read_table(spark, SF_MID, "events").select("event_id", "value", F.col("event_type").alias("k"))
+    ps = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = exact_percentiles(ev, ["k"], "value", "event_id", ps)
+    ref = ev.groupBy("k").agg(*[F.percentile("value", p).alias(n) for n, p in ps.items()])
+    g = {r.k: r for r in got.collect()}
+    for r in ref.collect():
+        for n in ps:
+            assert abs(g[r.k][n] - r[n]) < 1e-9, (r.k, n, g[r.k][n], r[n])
