@@ -87,14 +87,23 @@ def stream_task_state(events: DataFrame) -> DataFrame:
 def stream_timeouts(starts: DataFrame, ends: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S,
                     watermark: str = "10 minutes") -> DataFrame:
     """``processing`` events with no queued/completed/failed event of the same task within
-    ``limit_s``: a watermarked left-outer interval join, unmatched rows are timeouts."""
+    ``limit_s``: a watermarked left-outer interval join, unmatched rows are timeouts.
+
+    As in the batch twin, the equi-key is ``(task, time bucket of limit_s)`` and
+    each end event is offered to its bucket and the one before, so the join
+    state of a very busy task is spread over buckets instead of one key.
+    """
     p = (starts.where(F.col("event") == "processing")
-         .select(F.col("task_id").alias("p_task"), F.col("event_id").alias("p_event_id"), F.col("ts").alias("p_ts"))
+         .select(F.col("task_id").alias("p_task"), F.col("event_id").alias("p_event_id"), F.col("ts").alias("p_ts"),
+                 F.floor(F.unix_seconds("ts") / limit_s).alias("p_bucket"))
          .withWatermark("p_ts", watermark))
+    b = F.floor(F.unix_seconds("ts") / limit_s)
     t = (ends.where(F.col("event").isin(TERMINAL_OR_REQUEUE))
-         .select(F.col("task_id").alias("t_task"), F.col("ts").alias("t_ts"))
+         .select(F.col("task_id").alias("t_task"), F.col("ts").alias("t_ts"),
+                 F.explode(F.array(b, b - 1)).alias("t_bucket"))
          .withWatermark("t_ts", watermark))
-    cond = ((F.col("p_task") == F.col("t_task")) & (F.col("t_ts") >= F.col("p_ts"))
+    cond = ((F.col("p_task") == F.col("t_task")) & (F.col("p_bucket") == F.col("t_bucket"))
+            & (F.col("t_ts") >= F.col("p_ts"))
             & (F.col("t_ts") <= F.col("p_ts") + F.expr(f"INTERVAL {limit_s} SECONDS")))
     j = p.join(t, cond, "leftOuter")
     return (j.where(F.col("t_task").isNull())
