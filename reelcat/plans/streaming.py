@@ -14,44 +14,52 @@ from pyspark.sql import functions as F
 from reelcat import constants as K
 from reelcat.operators import lifecycle as L
 from reelcat.operators import metrics as M
-from reelcat.plans.oracle_views import with_views
+from reelcat.plans.oracle_views import sql_hash, with_views
 from reelcat.sources import fixtures as X
 from reelcat.streaming import jobs as J
 
 PROGRESS_WINDOW = "1 hour"
 
 
+def _ntz(df: DataFrame) -> DataFrame:
+    """Event time was cast to ``timestamp`` for the watermark; report it as wall-clock ``timestamp_ntz``
+    (session zone UTC), the type of the input tables."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c)
+                       for c, t in df.dtypes])
+
+
 def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     known = J.scratch(spark, "known-tasks")
     X.tasks(spark, sf).write.parquet(known)
     out = J.run_to_table(J.stream_submissions(J.submission_stream(spark, sf)), "stream-submissions",
                          foreach_batch=J.new_tasks_batch(known))
-    return spark.read.parquet(out).drop("epoch")
+    # the winning row of a repeated id depends on arrival order; report the id-determined columns
+    return spark.read.parquet(out).select("id", "base_id", "url_hash", "status")
 
 
 def q_stream_failure_rate(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(J.stream_failure_rate(J.task_event_stream(spark, sf)), "stream-failure-rate")
-    return spark.read.parquet(out)
+    return _ntz(spark.read.parquet(out))
 
 
 def q_stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(J.stream_task_state(J.task_event_stream(spark, sf)), "stream-task-state",
                          foreach_batch=J.snapshot_merge_batch)
-    return J.latest_snapshot(spark, out)
+    return _ntz(J.latest_snapshot(spark, out))
 
 
 def q_stream_timeouts(spark: SparkSession, sf: str) -> DataFrame:
     df = J.stream_timeouts(J.task_event_stream(spark, sf), J.task_event_stream(spark, sf))
-    return spark.read.parquet(J.run_to_table(df, "stream-timeouts"))
+    return _ntz(spark.read.parquet(J.run_to_table(df, "stream-timeouts")))
 
 
 def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     df = J.stream_progress(J.task_event_stream(spark, sf), PROGRESS_WINDOW)
-    return spark.read.parquet(J.run_to_table(df, "stream-progress"))
+    return _ntz(spark.read.parquet(J.run_to_table(df, "stream-progress")))
 
 
 def q_stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox"))
+    return _ntz(spark.read.parquet(J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox")))
 
 
 QUERIES = {
@@ -82,3 +90,45 @@ SELECT task_id, event_id, event, a.attempt::BIGINT AS attempt, (pow(2, a.attempt
 FROM task_events, (SELECT unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt) a
 WHERE event IN ('completed', 'failed')"""),
 }
+
+
+# --- oracles for the streams ---------------------------------------------------
+# availableNow over one file runs one data batch and then a no-data batch at the
+# final watermark: max event time (of each watermarked input, after its filter)
+# minus 10 minutes, the minimum over inputs.  Closed rows are exactly those the
+# final watermark has passed.
+
+_WM = "INTERVAL 10 MINUTE"
+_STATUS_IN = "('queued', 'processing', 'completed', 'failed')"
+
+ORACLE["stream_submissions"] = with_views(["submissions", "tasks"], f"""
+WITH q AS (SELECT DISTINCT base_id || '-' || {sql_hash('url')} AS id, base_id, {sql_hash('url')} AS url_hash
+           FROM submissions WHERE base_id IS NOT NULL AND url IS NOT NULL)
+SELECT id, base_id, url_hash, 'queued' AS status FROM q WHERE id NOT IN (SELECT id FROM tasks)""")
+ORACLE["stream_failure_rate"] = with_views(["task_events"], f"""
+WITH e AS (SELECT ts, event FROM task_events WHERE event IN {_STATUS_IN}),
+ w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events,
+        sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+        sum(CASE WHEN event = 'completed' THEN 1 ELSE 0 END)::BIGINT AS n_completed FROM e GROUP BY 1)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_events, n_failed, n_completed,
+ round(n_failed / n_events, 6) AS failure_rate, round(n_failed / n_events, 6) > 0.2 AS alert FROM w
+WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - {_WM}""")
+ORACLE["stream_task_state"] = with_views(["task_events"], f"""
+SELECT task_id, (max(struct_pack(t := ts, i := event_id, e := event))).e AS status, max(ts) AS updated_at,
+ (max(struct_pack(t := ts, i := event_id))).i AS event_id
+FROM task_events WHERE event IN {_STATUS_IN} GROUP BY task_id""")
+ORACLE["stream_timeouts"] = with_views(["task_events"], f"""
+SELECT p.task_id, p.event_id, p.ts AS started_at, p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND AS deadline
+FROM task_events p WHERE p.event = 'processing' AND NOT EXISTS (
+ SELECT 1 FROM task_events t WHERE t.task_id = p.task_id AND t.event IN ('queued', 'completed', 'failed')
+  AND t.ts >= p.ts AND t.ts <= p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND)
+ AND p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND < least(
+  (SELECT max(ts) FROM task_events WHERE event = 'processing'),
+  (SELECT max(ts) FROM task_events WHERE event IN ('queued', 'completed', 'failed'))) - {_WM}""")
+ORACLE["stream_progress"] = with_views(["task_events"], f"""
+WITH e AS (SELECT * FROM task_events WHERE event = 'progress')
+SELECT task_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+ sum(bytes)::BIGINT AS bytes, count(*) AS n_chunks, round(sum(bytes) / 3600 / 1024, 6) AS kbps
+FROM e GROUP BY task_id, date_trunc('hour', ts)
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - {_WM}""")
+ORACLE["stream_outbox"] = ORACLE["event_outbox"]
