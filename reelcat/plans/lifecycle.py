@@ -149,3 +149,30 @@ LEFT JOIN tobj o ON t.id = CASE WHEN len(string_split(o.key, '/')) >= 3 AND stri
 SELECT id, updated_at FROM tasks WHERE status = 'completed'
  AND id NOT IN (SELECT string_split(key, '/')[2] FROM tobj WHERE file_type = 'video')"""),
 }
+
+
+# --- the stored task table (partitioned sink + pruned reads) ---------------------
+
+QUEUE_FROM, QUEUE_TO = "1994-01-01 00:00:00", "1996-01-01 00:00:00"
+_TASK_TABLES: dict = {}
+
+
+def _stored_tasks(spark: SparkSession, sf: str) -> str:
+    from reelcat.sources.media import scratch_path
+    from reelcat.sources.task_table import write_task_table
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TASK_TABLES:
+        _TASK_TABLES[key] = write_task_table(X.tasks(spark, sf), scratch_path(spark, "task-table"))
+    return _TASK_TABLES[key]
+
+
+def q_queued_between(spark: SparkSession, sf: str) -> DataFrame:
+    from reelcat.sources.task_table import queued_between
+    t = queued_between(spark, _stored_tasks(spark, sf), QUEUE_FROM, QUEUE_TO)
+    return t.select("id", "video_url", "created_at", "updated_at")
+
+
+QUERIES["queued_between"] = q_queued_between
+ORACLE["queued_between"] = with_views(["tasks"], f"""
+SELECT id, video_url, created_at, updated_at FROM tasks
+WHERE status = 'queued' AND created_at >= TIMESTAMP '{QUEUE_FROM}' AND created_at < TIMESTAMP '{QUEUE_TO}'""")

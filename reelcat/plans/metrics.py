@@ -225,3 +225,18 @@ SELECT id, 'videos/' || id || '/' || vid || '.mp4' AS video_key, 'videos/' || id
 FROM k"""),
     "object_urls": with_views(["files"], f"SELECT key, {sql_object_url('key', BASE_URL, BUCKET)} AS url FROM files"),
 }
+
+
+# --- log files: text sink and source -------------------------------------------
+
+def q_log_file_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the worker log as text files, read them back with ``spark.read.text`` and parse."""
+    from reelcat.sources.media import scratch_path
+    path = scratch_path(spark, "logs")
+    X.log_lines(spark, sf).select(F.col("line").alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.lit(None).cast("bigint").alias("event_id"), F.col("value").alias("line"))
+    return M.parse_log_lines(lines).drop("event_id")
+
+
+QUERIES["log_file_events"] = q_log_file_events
+ORACLE["log_file_events"] = with_views(["log_lines"], f"WITH {_PARSED_LOG}\nSELECT * EXCLUDE (event_id) FROM pl2")
