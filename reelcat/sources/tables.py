@@ -40,9 +40,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = Tr
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    df = spark.read.parquet(path)
     if rebalance:
         target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
+        if _scan_partitions(spark, path, df) < target:
             df = df.repartition(target, *DISTRIBUTION_KEYS[name])
     return df
+
+
+_SPLITS: dict = {}
+
+
+def _scan_partitions(spark: SparkSession, path: str, df: DataFrame) -> int:
+    """Number of scan partitions of a table, planned once per application and path."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    return _SPLITS[key]
