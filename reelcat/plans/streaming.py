@@ -28,9 +28,21 @@ def _ntz(df: DataFrame) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+_KNOWN: dict = {}
+
+
+def _known_tasks(spark: SparkSession, sf: str) -> str:
+    """The stored task table the stream appends to (written once per application and input)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KNOWN:
+        path = J.scratch(spark, "known-tasks")
+        X.tasks(spark, sf).write.parquet(path)
+        _KNOWN[key] = path
+    return _KNOWN[key]
+
+
 def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
-    known = J.scratch(spark, "known-tasks")
-    X.tasks(spark, sf).write.parquet(known)
+    known = _known_tasks(spark, sf)
     out = J.run_to_table(J.stream_submissions(J.submission_stream(spark, sf)), "stream-submissions",
                          foreach_batch=J.new_tasks_batch(known))
     # the winning row of a repeated id depends on arrival order; report the id-determined columns

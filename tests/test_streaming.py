@@ -62,3 +62,32 @@ def test_stream_progress_equals_batch_on_closed_windows(spark):
         "task_id", "window_start", "bytes", "n_chunks")
     assert s.count() >= batch.count() - 2
     assert _same(s, b)
+
+
+def test_snapshot_merge_over_epochs_and_replay(spark):
+    from reelcat.streaming import jobs as J
+    ev = J.stream_task_state(X.task_events(spark, SF_MID))
+    first, second = ev.where(F.col("event_id") < 5000), ev.where(F.col("event_id") >= 5000)
+    out = J.scratch(spark, "snapshot-test")
+    J.snapshot_merge_batch(first, 0, out)
+    J.snapshot_merge_batch(second, 1, out)
+    J.snapshot_merge_batch(second, 1, out)  # a replayed epoch rewrites its own version only
+    got = J.latest_snapshot(spark, out).select("task_id", "status", "event_id")
+    want = L.latest_task_state(X.task_events(spark, SF_MID)).select("task_id", "status", "event_id")
+    assert _same(got, want)
+
+
+def test_new_tasks_batch_keeps_primary_key_across_epochs(spark):
+    from reelcat.streaming import jobs as J
+    queued = I.submit_tasks(X.submissions(spark, SF_MID)).dropDuplicates(["id"])
+    known = J.scratch(spark, "known-test")
+    X.tasks(spark, SF_MID).write.parquet(known)
+    out = J.scratch(spark, "new-tasks-test")
+    body = J.new_tasks_batch(known)
+    body(queued, 0, out)
+    body(queued, 1, out)  # the same ids again: nothing new
+    body(queued, 1, out)  # replay of epoch 1
+    stored = spark.read.parquet(out)
+    accepted, _ = I.dedupe_submissions(X.submissions(spark, SF_MID), X.tasks(spark, SF_MID))
+    assert stored.where("epoch = 1").count() == 0
+    assert _same(stored.select("id"), accepted.select("id"))
