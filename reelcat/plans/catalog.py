@@ -35,15 +35,16 @@ def q_list_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incoming_objects(files: DataFrame) -> DataFrame:
-    """A second upload batch derived from the listing: every video object is
+    """A second upload batch derived from the listing (one scan): every video object is
     re-uploaded one day later with a new size, and every metadata object gets a
     second revision under a new key."""
-    again = (files.where(F.col("file_type") == "video")
-             .select("key", (F.col("size") + 1).alias("size"),
-                     (F.col("last_modified") + F.expr("INTERVAL 1 DAY")).alias("last_modified"), "file_type"))
-    revised = (files.where(F.col("file_type") == "metadata")
-               .select(F.concat("key", F.lit(".v2")).alias("key"), "size", "last_modified", "file_type"))
-    return again.unionByName(revised)
+    video = F.col("file_type") == "video"
+    return (files.where(F.col("file_type").isin("video", "metadata"))
+            .select(F.when(video, F.col("key")).otherwise(F.concat("key", F.lit(".v2"))).alias("key"),
+                    F.when(video, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                    F.when(video, F.col("last_modified") + F.expr("INTERVAL 1 DAY"))
+                     .otherwise(F.col("last_modified")).alias("last_modified"),
+                    "file_type"))
 
 
 def q_upsert_objects(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,10 +54,10 @@ def q_upsert_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 def delete_request(spark: SparkSession, sf: str) -> DataFrame:
     """Processing ids to delete: every failed task's source key, as text, plus
-    ids that have no objects (orders whose key is past the listing)."""
+    ids that have no objects (the key times a large prime), in one scan."""
     t = X.tasks(spark, sf).where(F.col("status") == "failed")
-    return t.select(F.col("src_key").cast("string").alias("processing_id")).unionByName(
-        t.select((F.col("src_key") * 1000003).cast("string").alias("processing_id")))
+    ids = F.array(F.col("src_key").cast("string"), (F.col("src_key") * 1000003).cast("string"))
+    return t.select(F.explode(ids).alias("processing_id"))
 
 
 def q_delete_videos(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,11 +71,11 @@ def q_delete_remaining(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exists_probes(files: DataFrame) -> DataFrame:
-    """Probe keys: every stored key, its extension-less prefix, and a sibling
-    that does not exist (``key + '.bak'``)."""
-    return (files.select("key")
-            .unionByName(files.select(F.regexp_replace("key", r"\.[^./]*$", "").alias("key")))
-            .unionByName(files.select(F.concat("key", F.lit(".bak")).alias("key"))))
+    """Probe keys (one scan): every stored key, its extension-less prefix, and a
+    sibling that does not exist (``key + '.bak'``)."""
+    k = F.col("key")
+    return files.select(F.explode(F.array(k, F.regexp_replace(k, r"\.[^./]*$", ""),
+                                          F.concat(k, F.lit(".bak")))).alias("key"))
 
 
 def q_object_exists(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +209,7 @@ def q_read_objects(spark: SparkSession, sf: str) -> DataFrame:
     root = _staged_pages(spark, sf)
     manifest = SO.ingest_objects(spark, root, OBJECT_NAME)
     # every stored key, plus one missing sibling per key
-    keys = manifest.select("key").unionByName(manifest.select(F.concat("key", F.lit(".missing")).alias("key")))
+    keys = manifest.select(F.explode(F.array(F.col("key"), F.concat("key", F.lit(".missing")))).alias("key"))
     return (SO.read_objects(spark, root, manifest, keys)
             .select("key", "length", F.sha2("content", 256).alias("content_sha256")))
 
