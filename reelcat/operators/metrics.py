@@ -256,7 +256,8 @@ def progress_windows(events: DataFrame, window: str = "1 hour") -> DataFrame:
 
 def event_outbox(events: DataFrame, max_attempts: int = K.WEBHOOK_MAX_ATTEMPTS) -> DataFrame:
     """One delivery row per attempt for each terminal event (batch twin of the stream outbox)."""
-    term = events.where(F.col("event").isin(K.TERMINAL_STATUSES)).dropDuplicates(["event_id"])
+    # redelivered events are exact copies: a whole-row de-duplication (hash aggregate)
+    term = events.where(F.col("event").isin(K.TERMINAL_STATUSES)).dropDuplicates()
     att = F.explode(F.sequence(F.lit(1), F.lit(max_attempts))).alias("attempt")
     delay = F.pow(F.lit(2), F.col("attempt") - 1).cast("bigint") - 1
     return (term.select("task_id", "event_id", "event", "ts", att)

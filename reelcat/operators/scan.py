@@ -58,12 +58,13 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
         *[F.lag(c).over(w).alias(f"_lg_{c}") for c in lags])
 
     kstruct = F.struct(*[F.col(c) for c in kcols])
-    bounds = ranged.groupBy("_part").agg(F.min(kstruct).alias("_first"), F.max(kstruct).alias("_lastk"))
     ostruct = F.struct(*[F.col(c) for c in order]) if lags else None
     totals = ranged.groupBy("_part", *kcols).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums],
         *[F.max_by(F.col(c), ostruct).alias(f"_last_{c}") for c in lags])
+    # first and last key of each partition, from the (much smaller) per-key totals
+    bounds = totals.groupBy("_part").agg(F.min(kstruct).alias("_first"), F.max(kstruct).alias("_lastk"))
     # bounds has exactly one row per partition: a proven broadcast bound
     edge = (totals.join(F.broadcast(bounds), "_part")
             .where((kstruct == F.col("_first")) | (kstruct == F.col("_lastk"))))
