@@ -254,3 +254,17 @@ def timeouts(events: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S) -> DataFrame
     return (starts.join(ends, cond, "left_anti")
             .select("task_id", "event_id", F.col("ts").alias("started_at"),
                     (F.col("ts") + F.make_dt_interval(secs=F.lit(limit_s))).alias("deadline")))
+
+
+def timeout_decisions(events: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S,
+                      max_retries: int = K.MAX_RETRIES) -> DataFrame:
+    """What happens after each timeout: a timeout is a retryable download error
+    (code TIMEOUT), so the task is requeued while its attempt number is below
+    ``max_retries`` and fails otherwise.  The attempt number is the running
+    count of ``processing`` events of the task at the timed-out start."""
+    attempts = event_attempts(events).select("event_id", "attempt")
+    return (timeouts(events, limit_s).join(attempts, "event_id")
+            .select("task_id", "event_id", "started_at", "deadline", "attempt",
+                    (F.col("attempt") < max_retries).alias("retry"),
+                    F.when(F.col("attempt") < max_retries, F.lit("queued")).otherwise(F.lit("failed"))
+                    .alias("next_status")))

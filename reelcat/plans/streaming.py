@@ -76,6 +76,7 @@ def q_stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "timeouts": lambda s, sf: L.timeouts(X.task_events(s, sf)),
+    "timeout_decisions": lambda s, sf: L.timeout_decisions(X.task_events(s, sf)),
     "progress_windows": lambda s, sf: M.progress_windows(X.task_events(s, sf), PROGRESS_WINDOW),
     "event_outbox": lambda s, sf: M.event_outbox(X.task_events(s, sf)),
     "stream_submissions": q_stream_submissions,
@@ -90,6 +91,15 @@ ORACLE = {
     "timeouts": with_views(["task_events"], f"""
 SELECT p.task_id, p.event_id, p.ts AS started_at, p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND AS deadline
 FROM task_events p WHERE p.event = 'processing' AND NOT EXISTS (
+ SELECT 1 FROM task_events t WHERE t.task_id = p.task_id AND t.event IN ('queued', 'completed', 'failed')
+  AND t.ts >= p.ts AND t.ts <= p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND)"""),
+    "timeout_decisions": with_views(["task_events"], f"""
+WITH ea AS (SELECT event_id, sum(CASE WHEN event = 'processing' THEN 1 ELSE 0 END) OVER (PARTITION BY task_id
+             ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS attempt FROM task_events)
+SELECT p.task_id, p.event_id, p.ts AS started_at, p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND AS deadline, ea.attempt,
+ ea.attempt < {K.MAX_RETRIES} AS retry, CASE WHEN ea.attempt < {K.MAX_RETRIES} THEN 'queued' ELSE 'failed' END AS next_status
+FROM task_events p JOIN ea ON p.event_id = ea.event_id
+WHERE p.event = 'processing' AND NOT EXISTS (
  SELECT 1 FROM task_events t WHERE t.task_id = p.task_id AND t.event IN ('queued', 'completed', 'failed')
   AND t.ts >= p.ts AND t.ts <= p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND)"""),
     "progress_windows": with_views(["task_events"], """

@@ -48,12 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     set only when it is unset (local tests), never over a cluster setting.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        existing = sc._jsc.sc().getCheckpointDir()
-        current = existing.get() if existing.isDefined() else None
+    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         # Local runs only: the cluster always names a shared folder.
         current = tempfile.mkdtemp(prefix="reelcat-ckpt-")
-    sc.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
