@@ -247,3 +247,21 @@ def test_deep_page_uses_ranked_scan_and_matches_topk(spark, monkeypatch):
     key = lambda r: r.position
     assert [tuple(r) for r in sorted(shallow, key=key)] == [tuple(r) for r in sorted(deep, key=key)]
     assert [r.position for r in sorted(deep, key=key)] == list(range(241, 281))
+
+
+def test_catalog_with_one_video_holding_a_third_of_objects(spark):
+    files = X.files(spark, SF_MID)
+    hot = F.col("processing_id").cast("bigint") % 3 == 0
+    skewed = files.withColumn("key", F.when(hot, F.concat(F.lit("videos/hot/"), F.substring_index("key", "/", -1)))
+                              .otherwise(F.col("key")))
+    cat = {r.processing_id: r for r in C.video_catalog(skewed).collect()}
+    hot_rows = skewed.where(F.col("key").startswith("videos/hot/"))
+    n_hot = hot_rows.count()
+    assert n_hot > 60000 / 4
+    got = cat["hot"]
+    assert got.n_files == n_hot
+    assert got.created_at == hot_rows.agg(F.min("last_modified")).first()[0]
+    last_video = (hot_rows.where(F.col("file_type") == "video")
+                  .orderBy(F.col("last_modified").desc(), F.col("key").desc()).first())
+    assert (got.video_key, got.video_size) == (last_video.key, last_video.size)
+    assert len(cat) == C.video_catalog(files.where(~hot)).count() + 1
