@@ -268,3 +268,15 @@ def timeout_decisions(events: DataFrame, limit_s: int = K.OVERALL_TIMEOUT_S,
                     (F.col("attempt") < max_retries).alias("retry"),
                     F.when(F.col("attempt") < max_retries, F.lit("queued")).otherwise(F.lit("failed"))
                     .alias("next_status")))
+
+
+def expired_tasks(tasks: DataFrame, now: str, retention_days: int) -> DataFrame:
+    """Terminal tasks last updated more than ``retention_days`` before ``now`` (retention by ``updated_at``)."""
+    cutoff = F.to_timestamp_ntz(F.lit(now)) - F.make_dt_interval(days=F.lit(retention_days))
+    return (tasks.where(F.col("status").isin(K.TERMINAL_STATUSES) & (F.col("updated_at") < cutoff))
+            .select("id", "status", "updated_at"))
+
+
+def queue_depth(state: DataFrame) -> DataFrame:
+    """Tasks per current status (from ``latest_task_state`` or the streamed snapshot)."""
+    return state.groupBy("status").agg(F.count(F.lit(1)).alias("n_tasks"))

@@ -244,3 +244,20 @@ SELECT cat.*, cast(row_number() OVER (ORDER BY created_at DESC, processing_id) A
  {PAGE_N * PAGE_LIMIT} < tot.total AS has_next
 FROM cat, tot
 QUALIFY position > {(PAGE_N - 1) * PAGE_LIMIT} AND position <= {PAGE_N * PAGE_LIMIT}""")
+
+
+def q_list_stored_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix listing over the manifest of the stored object files."""
+    from reelcat.sources import objects as SO
+    manifest = SO.ingest_objects(spark, _staged_pages(spark, sf), OBJECT_NAME)
+    return C.list_objects(manifest.select("key", "size", F.lit(None).cast("timestamp_ntz").alias("last_modified"),
+                                          "content_type", F.lit("page").alias("file_type")),
+                          LIST_PREFIX, K.LIST_DEFAULT_LIMIT).drop("last_modified")
+
+
+QUERIES["list_stored_objects"] = q_list_stored_objects
+ORACLE["list_stored_objects"] = f"""
+SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS size,
+ CAST(NULL AS VARCHAR) AS content_type, 'page' AS file_type
+FROM pages WHERE starts_with('videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}', '{LIST_PREFIX}')
+ORDER BY key LIMIT {K.LIST_DEFAULT_LIMIT}"""

@@ -176,3 +176,16 @@ QUERIES["queued_between"] = q_queued_between
 ORACLE["queued_between"] = with_views(["tasks"], f"""
 SELECT id, video_url, created_at, updated_at FROM tasks
 WHERE status = 'queued' AND created_at >= TIMESTAMP '{QUEUE_FROM}' AND created_at < TIMESTAMP '{QUEUE_TO}'""")
+
+
+RETENTION_DAYS = 365
+
+QUERIES["expired_tasks"] = lambda s, sf: L.expired_tasks(X.tasks(s, sf), NOW, RETENTION_DAYS)
+QUERIES["queue_depth"] = lambda s, sf: L.queue_depth(L.latest_task_state(X.task_events(s, sf)))
+ORACLE["expired_tasks"] = with_views(["tasks"], f"""
+SELECT id, status, updated_at FROM tasks
+WHERE status IN ('completed', 'failed') AND updated_at < TIMESTAMP '{NOW}' - INTERVAL {RETENTION_DAYS} DAY""")
+ORACLE["queue_depth"] = with_views(["task_events"], f"""
+WITH s AS (SELECT task_id, (max(struct_pack(t := ts, i := event_id, e := event))).e AS status
+           FROM task_events WHERE event IN {_STATUS_IN} GROUP BY task_id)
+SELECT status, count(*) AS n_tasks FROM s GROUP BY status""")
