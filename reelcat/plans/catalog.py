@@ -206,11 +206,11 @@ def q_ingest_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_read_objects(spark: SparkSession, sf: str) -> DataFrame:
     from reelcat.sources import objects as SO
-    root = _staged_pages(spark, sf)
-    manifest = SO.ingest_objects(spark, root, OBJECT_NAME)
+    files = SO.object_files(spark, _staged_pages(spark, sf))
+    manifest = SO.manifest_of(files, OBJECT_NAME)
     # every stored key, plus one missing sibling per key
     keys = manifest.select(F.explode(F.array(F.col("key"), F.concat("key", F.lit(".missing")))).alias("key"))
-    return (SO.read_objects(spark, root, manifest, keys)
+    return (SO.read_objects(files, manifest, keys)
             .select("key", "length", F.sha2("content", 256).alias("content_sha256")))
 
 

@@ -21,6 +21,8 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
+    # file listing runs as a Spark job of up to 10,000 tasks by default; locally a few suffice
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "16",
 }
 
 

@@ -32,18 +32,28 @@ def object_files(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     return reader.load(root)
 
 
-def ingest_objects(spark: SparkSession, root: str, file_name: str, glob: str | None = None) -> DataFrame:
-    """Manifest of stored objects: key ``videos/{pid}/{file_name}``, size, content type, time, path."""
-    files = object_files(spark, root, glob).select("path", "modificationTime", "length", "pid")
+def manifest_of(files: DataFrame, file_name: str) -> DataFrame:
+    """Manifest rows for a ``binaryFile`` DataFrame: key ``videos/{pid}/{file_name}``, size,
+    content type, time, path (the content column is not read)."""
+    f = files.select("path", "modificationTime", "length", "pid")
     key = O.object_key(F.col("pid").cast("string"), F.lit(file_name))
-    return files.select(key.alias("key"), F.col("pid").cast("string").alias("processing_id"),
-                        F.col("length").alias("size"), O.content_type(key).alias("content_type"),
-                        F.col("modificationTime").alias("last_modified"), "path", "pid")
+    return f.select(key.alias("key"), F.col("pid").cast("string").alias("processing_id"),
+                    F.col("length").alias("size"), O.content_type(key).alias("content_type"),
+                    F.col("modificationTime").alias("last_modified"), "path", "pid")
+
+
+def ingest_objects(spark: SparkSession, root: str, file_name: str, glob: str | None = None) -> DataFrame:
+    """Manifest of the objects stored under ``root`` (one listing of the folder)."""
+    return manifest_of(object_files(spark, root, glob), file_name)
+
 
+def read_objects(files: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """Bodies of the requested keys (unknown keys are absent).
 
-def read_objects(spark: SparkSession, root: str, manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Bodies of the requested keys (unknown keys are absent)."""
+    ``files`` is the ``binaryFile`` DataFrame the manifest was built from, so the
+    folder is listed once; the join on the raw ``pid`` partition column lets
+    dynamic partition pruning skip folders when the request is selective.
+    """
     wanted = manifest.join(keys.select("key").distinct(), "key", "left_semi").select("key", "pid", "path")
-    # join on the raw partition column so dynamic partition pruning applies
-    files = object_files(spark, root).select("pid", "path", "length", "content")
-    return files.join(wanted, ["pid", "path"]).select("key", "length", "content")
+    bodies = files.select("pid", "path", "length", "content")
+    return bodies.join(wanted, ["pid", "path"]).select("key", "length", "content")

@@ -53,10 +53,10 @@ def test_task_table_reads_are_pruned(spark):
 def test_selective_object_read_uses_dynamic_partition_pruning(spark):
     from reelcat.plans.catalog import OBJECT_NAME, _staged_pages
     from reelcat.sources import objects as SO
-    root = _staged_pages(spark, SF_SMALL)
-    manifest = SO.ingest_objects(spark, root, OBJECT_NAME)
+    files = SO.object_files(spark, _staged_pages(spark, SF_SMALL))
+    manifest = SO.manifest_of(files, OBJECT_NAME)
     keys = manifest.where(F.col("processing_id").isin("3", "17")).select("key")
-    df = SO.read_objects(spark, root, manifest, keys)
+    df = SO.read_objects(files, manifest, keys)
     assert "dynamicpruningexpression(pid" in plan_of(df)
     assert df.count() == 2
 
