@@ -146,9 +146,9 @@ ORACLE = {
     "video_listing": with_views(["files"], f"""WITH {_PARSED}, cat AS ({_catalog_sql()}),
  tot AS (SELECT count(*) AS total FROM cat)
 SELECT cat.*, cast({(LISTING_PAGE - 1) * LISTING_LIMIT} + row_number() OVER (ORDER BY created_at DESC, processing_id) AS bigint) AS position,
- cast({LISTING_PAGE} AS bigint) AS page, cast({LISTING_LIMIT} AS bigint) AS page_limit, tot.total,
- {LISTING_PAGE * LISTING_LIMIT} < tot.total AS has_next
-FROM cat, tot
+ cast({LISTING_PAGE} AS bigint) AS page, cast({LISTING_LIMIT} AS bigint) AS page_limit, (SELECT total FROM tot) AS total,
+ {LISTING_PAGE * LISTING_LIMIT} < (SELECT total FROM tot) AS has_next
+FROM cat
 ORDER BY created_at DESC, processing_id
 LIMIT {LISTING_LIMIT} OFFSET {(LISTING_PAGE - 1) * LISTING_LIMIT}"""),
     "video_details": with_views(["files"], f"WITH {_PARSED}\n{_details_sql()}"),
@@ -240,9 +240,9 @@ ORACLE["listing_page"] = with_views(["files"], f"""WITH {_PARSED},
          FROM parsed WHERE pid IS NOT NULL GROUP BY pid),
  tot AS (SELECT count(*) AS total FROM cat)
 SELECT cat.*, cast(row_number() OVER (ORDER BY created_at DESC, processing_id) AS bigint) AS position,
- cast({PAGE_N} AS bigint) AS page, cast({PAGE_LIMIT} AS bigint) AS page_limit, tot.total,
- {PAGE_N * PAGE_LIMIT} < tot.total AS has_next
-FROM cat, tot
+ cast({PAGE_N} AS bigint) AS page, cast({PAGE_LIMIT} AS bigint) AS page_limit, (SELECT total FROM tot) AS total,
+ {PAGE_N * PAGE_LIMIT} < (SELECT total FROM tot) AS has_next
+FROM cat
 QUALIFY position > {(PAGE_N - 1) * PAGE_LIMIT} AND position <= {PAGE_N * PAGE_LIMIT}""")
 
 

@@ -72,7 +72,7 @@ _ERR_TEXT = f"""CASE error_class
   WHEN 'StorageError' THEN concat_ws(' | ', error_message, 'Provider: {K.STORAGE_PROVIDER}',
         CASE WHEN error_code <> '' THEN 'Code: ' || error_code END)
   ELSE error_message END"""
-_STAGES = ", ".join(f"('{s}', {v})" for s, v in K.STAGE_LIMITS)
+_STAGES = ", ".join(f"{{'stage': '{s}', 'limit_s': {v}}}" for s, v in K.STAGE_LIMITS)
 
 ORACLE = {
     "claim_batch": with_views(["tasks"], f"""
@@ -139,8 +139,9 @@ WITH att AS (SELECT task_id AS task_key, sum(CASE WHEN event = 'processing' THEN
 SELECT id, error_class, error_code, error_text, n AS attempts, retry,
  CASE WHEN retry THEN 'queued' ELSE 'failed' END AS next_status FROM r"""),
     "stage_deadlines": with_views(["task_events"], f"""
+WITH s AS (SELECT event_id, task_id, ts, unnest([{_STAGES}]) AS l FROM task_events WHERE event = 'processing')
 SELECT event_id, task_id, ts AS started_at, l.stage, l.limit_s::BIGINT AS limit_s, ts + to_seconds(l.limit_s) AS deadline
-FROM task_events, (VALUES {_STAGES}) l(stage, limit_s) WHERE event = 'processing'"""),
+FROM s"""),
     "task_files": with_views(["files", "tasks"], f"""WITH {_TASK_OBJECTS}
 SELECT t.id, t.status, o.key, o.file_type, o.size FROM tasks t
 LEFT JOIN tobj o ON t.id = CASE WHEN len(string_split(o.key, '/')) >= 3 AND string_split(o.key, '/')[1] = 'videos'

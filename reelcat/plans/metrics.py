@@ -177,11 +177,12 @@ SELECT warning, count(DISTINCT id) AS n_tasks FROM task_warnings GROUP BY warnin
 SELECT n_completed, n_partial, round(n_partial / n_completed, 6) AS partial_share FROM c"""),
     "result_documents": with_views(["files", "tasks", "task_warnings"], _RESULT_FLAT),
     "webhook_outbox": with_views(["tasks"], f"""
-SELECT id, webhook_url, a.attempt::BIGINT AS attempt, (pow(2, a.attempt - 1) - 1)::BIGINT AS delay_s,
- updated_at + to_seconds((pow(2, a.attempt - 1) - 1)::BIGINT) AS send_after,
+WITH a AS (SELECT id, webhook_url, updated_at, unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt FROM tasks
+           WHERE status IN ('completed', 'failed') AND webhook_url IS NOT NULL)
+SELECT id, webhook_url, attempt::BIGINT AS attempt, (pow(2, attempt - 1) - 1)::BIGINT AS delay_s,
+ updated_at + to_seconds((pow(2, attempt - 1) - 1)::BIGINT) AS send_after,
  contains(webhook_url, '{K.WEBHOOK_AUTH_MARKER}') AS authorized
-FROM tasks, (SELECT unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt) a
-WHERE status IN ('completed', 'failed') AND webhook_url IS NOT NULL"""),
+FROM a"""),
     "log_events": with_views(["log_lines"], f"WITH {_PARSED_LOG}\nSELECT * FROM pl2"),
     "log_pattern_counts": with_views(["log_lines"], f"""WITH {_PARSED_LOG}
 SELECT pattern, level, count(*) AS n_lines, min(logged_at) AS first_at, max(logged_at) AS last_at

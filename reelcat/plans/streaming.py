@@ -107,10 +107,11 @@ SELECT task_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) +
  sum(bytes)::BIGINT AS bytes, count(*) AS n_chunks, round(sum(bytes) / 3600 / 1024, 6) AS kbps
 FROM task_events WHERE event = 'progress' GROUP BY task_id, date_trunc('hour', ts)"""),
     "event_outbox": with_views(["task_events"], f"""
-SELECT task_id, event_id, event, a.attempt::BIGINT AS attempt, (pow(2, a.attempt - 1) - 1)::BIGINT AS delay_s,
- ts + to_seconds((pow(2, a.attempt - 1) - 1)::BIGINT) AS send_after
-FROM task_events, (SELECT unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt) a
-WHERE event IN ('completed', 'failed')"""),
+WITH a AS (SELECT task_id, event_id, event, ts, unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt
+           FROM task_events WHERE event IN ('completed', 'failed'))
+SELECT task_id, event_id, event, attempt::BIGINT AS attempt, (pow(2, attempt - 1) - 1)::BIGINT AS delay_s,
+ ts + to_seconds((pow(2, attempt - 1) - 1)::BIGINT) AS send_after
+FROM a"""),
 }
 
 
