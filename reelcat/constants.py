@@ -40,6 +40,14 @@ RETRYABLE_DOWNLOAD_CODES = ["TIMEOUT", "NETWORK_ERROR"]
 ERROR_CODES = ["TIMEOUT", "FORMAT_ERROR", "NETWORK_ERROR"]
 # provider named in storage error texts
 STORAGE_PROVIDER = "supabase"
+# error text: message, then labelled parts, joined by the separator
+ERROR_TEXT_SEPARATOR = " | "
+ERROR_URL_LABEL = "URL: "
+ERROR_PROVIDER_LABEL = "Provider: "
+ERROR_CODE_LABEL = "Code: "
+# failure payload "error" values (timeout, anything else)
+FAILURE_TIMEOUT = "Task timed out"
+FAILURE_OTHER = "Failed to process video"
 
 # --- fixed values: webhook delivery -------------------------------------------
 WEBHOOK_MAX_ATTEMPTS = 3
@@ -52,6 +60,12 @@ UNKNOWN_FILE_TYPE = "unknown"
 METADATA_SUFFIX = ".info.json"
 THUMBNAIL_SUFFIXES = [".jpg", ".png", ".webp"]
 DEFAULT_THUMBNAIL_EXT = "jpg"
+# direct-path file names: {id}_{video id}.mp4, {id}_info.json, {id}_thumbnail.{ext}
+DIRECT_VIDEO_EXT = ".mp4"
+DIRECT_METADATA_SUFFIX = "_info.json"
+DIRECT_THUMBNAIL_INFIX = "_thumbnail."
+# public access URL: {base}/storage/v1/object/public/{bucket}/{key}
+PUBLIC_URL_PATH = "/storage/v1/object/public/"
 # lower-cased extension -> content type
 CONTENT_TYPES = [
     (".mp4", "video/mp4"),

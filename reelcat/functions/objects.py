@@ -33,9 +33,9 @@ def direct_object_keys(processing_id: Column | str, video_id: Column | str, thum
     pid = _col(processing_id)
     ext = F.coalesce(_col(thumb_ext), F.lit(K.DEFAULT_THUMBNAIL_EXT))
     return F.struct(
-        object_key(pid, F.concat(pid, F.lit("_"), _col(video_id), F.lit(".mp4"))).alias("video"),
-        object_key(pid, F.concat(pid, F.lit("_info.json"))).alias("metadata"),
-        object_key(pid, F.concat(pid, F.lit("_thumbnail."), ext)).alias("thumbnail"),
+        object_key(pid, F.concat(pid, F.lit("_"), _col(video_id), F.lit(K.DIRECT_VIDEO_EXT))).alias("video"),
+        object_key(pid, F.concat(pid, F.lit(K.DIRECT_METADATA_SUFFIX))).alias("metadata"),
+        object_key(pid, F.concat(pid, F.lit(K.DIRECT_THUMBNAIL_INFIX), ext)).alias("thumbnail"),
     )
 
 
@@ -94,4 +94,4 @@ def listed_file_type(file_type: Column | str) -> Column:
 
 def object_url(key: Column | str, base_url: str, bucket: str) -> Column:
     """Public access URL ``{base}/storage/v1/object/public/{bucket}/{key}``."""
-    return F.concat(F.lit(f"{base_url.rstrip('/')}/storage/v1/object/public/{bucket}/"), _col(key))
+    return F.concat(F.lit(f"{base_url.rstrip('/')}{K.PUBLIC_URL_PATH}{bucket}/"), _col(key))

@@ -154,12 +154,12 @@ def error_text(message: Column, url: Column | None = None, code: Column | None =
     (storage errors); empty or missing parts are skipped."""
     parts = [message]
     if url is not None:
-        parts.append(F.when(url != "", F.concat(F.lit("URL: "), url)))
+        parts.append(F.when(url != "", F.concat(F.lit(K.ERROR_URL_LABEL), url)))
     if provider is not None:
-        parts.append(F.when(provider != "", F.concat(F.lit("Provider: "), provider)))
+        parts.append(F.when(provider != "", F.concat(F.lit(K.ERROR_PROVIDER_LABEL), provider)))
     if code is not None:
-        parts.append(F.when(code != "", F.concat(F.lit("Code: "), code)))
-    return F.concat_ws(" | ", *parts)
+        parts.append(F.when(code != "", F.concat(F.lit(K.ERROR_CODE_LABEL), code)))
+    return F.concat_ws(K.ERROR_TEXT_SEPARATOR, *parts)
 
 
 def task_error_text(tasks: DataFrame, provider: str = K.STORAGE_PROVIDER) -> Column:

@@ -147,7 +147,7 @@ def result_documents(tasks: DataFrame, slots: DataFrame, warnings: DataFrame) ->
     warns = F.coalesce(F.col("warnings"), F.array().cast("array<string>"))
     partial = F.coalesce(F.col("partial_success"), F.lit(False))
     match = U.url_match("video_url", "processed_url")
-    err = F.when(F.col("error_code") == "TIMEOUT", F.lit("Task timed out")).otherwise(F.lit("Failed to process video"))
+    err = F.when(F.col("error_code") == "TIMEOUT", F.lit(K.FAILURE_TIMEOUT)).otherwise(F.lit(K.FAILURE_OTHER))
     details = task_error_text(term)
     success_doc = F.to_json(F.struct(
         F.lit(True).alias("success"), F.col("id").alias("processing_id"), F.col("base_id").alias("original_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelcat import constants as K
 from reelcat.operators import lifecycle as L
-from reelcat.plans.oracle_views import with_views
+from reelcat.plans.oracle_views import sql_error_text, with_views
 from reelcat.sources import fixtures as X
 
 CLAIM_N = 100
@@ -66,12 +66,7 @@ _ATT = """ea AS (
 _TASK_OBJECTS = """tobj AS (
  SELECT 'videos/' || t.id || '/' || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
  FROM files f JOIN tasks t ON f.processing_id = cast(t.src_key as varchar))"""
-_ERR_TEXT = f"""CASE error_class
-  WHEN 'VideoDownloadError' THEN concat_ws(' | ', error_message, CASE WHEN video_url <> '' THEN 'URL: ' || video_url END,
-        CASE WHEN error_code <> '' THEN 'Code: ' || error_code END)
-  WHEN 'StorageError' THEN concat_ws(' | ', error_message, 'Provider: {K.STORAGE_PROVIDER}',
-        CASE WHEN error_code <> '' THEN 'Code: ' || error_code END)
-  ELSE error_message END"""
+_ERR_TEXT = sql_error_text()
 _STAGES = ", ".join(f"{{'stage': '{s}', 'limit_s': {v}}}" for s, v in K.STAGE_LIMITS)
 
 ORACLE = {

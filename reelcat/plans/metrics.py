@@ -13,7 +13,8 @@ from reelcat.operators import metrics as M
 from reelcat.plans.catalog import BASE_URL, BUCKET
 from reelcat.plans.lifecycle import task_objects
 from reelcat.plans.oracle_views import (
-    sql_content_type, sql_domain, sql_key_pid, sql_norm, sql_object_url, sql_url_ext, sql_video_id, with_views,
+    sql_content_type, sql_domain, sql_error_text, sql_key_pid, sql_norm, sql_object_url, sql_url_ext, sql_video_id,
+    with_views,
 )
 from reelcat.sources import fixtures as X
 from reelcat.sources.tables import read_table
@@ -91,12 +92,7 @@ QUERIES = {
 # --- oracle -------------------------------------------------------------------
 
 _SECS = "(epoch_us({b}) - epoch_us({a})) / 1000000.0"
-_ERR_TEXT = f"""CASE error_class
-  WHEN 'VideoDownloadError' THEN concat_ws(' | ', error_message, CASE WHEN video_url <> '' THEN 'URL: ' || video_url END,
-        CASE WHEN error_code <> '' THEN 'Code: ' || error_code END)
-  WHEN 'StorageError' THEN concat_ws(' | ', error_message, 'Provider: {K.STORAGE_PROVIDER}',
-        CASE WHEN error_code <> '' THEN 'Code: ' || error_code END)
-  ELSE error_message END"""
+_ERR_TEXT = sql_error_text()
 _TASK_OBJECTS = """tobj AS (
  SELECT 'videos/' || t.id || '/' || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
  FROM files f JOIN tasks t ON f.processing_id = cast(t.src_key as varchar))"""
@@ -127,8 +123,8 @@ SELECT t.id, t.status = 'completed' AS success,
  CASE WHEN t.status = 'completed' THEN s.thumbnail_key END AS thumbnail_key,
  CASE WHEN t.status = 'completed' THEN coalesce(w.n_w, 0) END AS n_warnings,
  CASE WHEN t.status = 'completed' THEN coalesce(w.partial, false) END AS partial_success,
- CASE WHEN t.status <> 'completed' THEN CASE WHEN t.error_code = 'TIMEOUT' THEN 'Task timed out'
-   ELSE 'Failed to process video' END END AS error
+ CASE WHEN t.status <> 'completed' THEN CASE WHEN t.error_code = 'TIMEOUT' THEN '{K.FAILURE_TIMEOUT}'
+   ELSE '{K.FAILURE_OTHER}' END END AS error
 FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wf w ON t.id = w.id
 WHERE t.status IN ('completed', 'failed')"""
 
@@ -220,8 +216,8 @@ WITH k AS (SELECT id, coalesce({sql_video_id(sql_norm('video_url'))}, base_id) A
 SELECT id, 'videos/' || id || '/' || vid || '.mp4' AS video_key, 'videos/' || id || '/' || vid || '.info.json' AS metadata_key,
  'videos/' || id || '/' || vid || '.' || coalesce(te, 'jpg') AS thumbnail_key,
  'videos/' || id || '/' || id || '_' || vid || '.mp4' AS direct_video_key,
- 'videos/' || id || '/' || id || '_info.json' AS direct_metadata_key,
- 'videos/' || id || '/' || id || '_thumbnail.' || coalesce(te, 'jpg') AS direct_thumbnail_key,
+ 'videos/' || id || '/' || id || '{K.DIRECT_METADATA_SUFFIX}' AS direct_metadata_key,
+ 'videos/' || id || '/' || id || '{K.DIRECT_THUMBNAIL_INFIX}' || coalesce(te, '{K.DEFAULT_THUMBNAIL_EXT}') AS direct_thumbnail_key,
  {sql_key_pid("'videos/' || id || '/' || vid || '.mp4'")} AS parsed_id
 FROM k"""),
     "object_urls": with_views(["files"], f"SELECT key, {sql_object_url('key', BASE_URL, BUCKET)} AS url FROM files"),

@@ -181,4 +181,14 @@ def sql_url_ext(url: str) -> str:
 
 
 def sql_object_url(key: str, base_url: str, bucket: str) -> str:
-    return f"'{base_url.rstrip('/')}/storage/v1/object/public/{bucket}/' || {key}"
+    return f"'{base_url.rstrip('/')}{K.PUBLIC_URL_PATH}{bucket}/' || {key}"
+
+
+def sql_error_text() -> str:
+    """Error text of a failed task row (message plus labelled URL/provider and code)."""
+    sep = K.ERROR_TEXT_SEPARATOR
+    code = f"CASE WHEN error_code <> '' THEN '{K.ERROR_CODE_LABEL}' || error_code END"
+    return (f"CASE error_class WHEN 'VideoDownloadError' THEN concat_ws('{sep}', error_message, "
+            f"CASE WHEN video_url <> '' THEN '{K.ERROR_URL_LABEL}' || video_url END, {code}) "
+            f"WHEN 'StorageError' THEN concat_ws('{sep}', error_message, "
+            f"'{K.ERROR_PROVIDER_LABEL}{K.STORAGE_PROVIDER}', {code}) ELSE error_message END")
