@@ -35,9 +35,7 @@ def _known_tasks(spark: SparkSession, sf: str) -> str:
     """The stored task table the stream appends to (written once per application and input)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _KNOWN:
-        path = J.scratch(spark, "known-tasks")
-        X.tasks(spark, sf).write.parquet(path)
-        _KNOWN[key] = path
+        _KNOWN[key] = J.write_known_tasks(X.tasks(spark, sf), J.scratch(spark, "known-tasks"))
     return _KNOWN[key]
 
 

@@ -161,17 +161,45 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+# stored task ids are partitioned by a hash bucket of the id, so a batch reads only its buckets
+ID_BUCKETS = 64
+
+
+def id_bucket(col: str = "id"):
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BUCKETS)).cast("int")
+
+
+def write_known_tasks(tasks: DataFrame, path: str) -> str:
+    """Store task rows partitioned by ``id_bucket`` (the primary-key lookup structure)."""
+    (tasks.withColumn("id_bucket", id_bucket()).repartition("id_bucket")
+     .write.mode("overwrite").partitionBy("id_bucket").parquet(path))
+    return path
+
+
 def new_tasks_batch(known_path: str):
     """``foreachBatch`` body for T1: keep tasks whose id is neither stored nor
     written by an earlier epoch (the primary key holds for ever), and write
-    them to ``out/epoch=<n>``.  Rewriting an epoch on replay is idempotent."""
+    them to ``out/epoch=<n>/id_bucket=<b>/``.  Rewriting an epoch on replay is
+    idempotent.
+
+    The batch's distinct id buckets (at most ``ID_BUCKETS`` numbers) prune the
+    stored table and the earlier epochs to the partitions that can hold a
+    repeat, so a small batch does not scan every stored id.
+    """
     def body(batch: DataFrame, epoch: int, out: str) -> None:
         spark = batch.sparkSession
-        fresh = batch.join(spark.read.parquet(known_path).select("id"), "id", "left_anti")
-        earlier = _read_or_none(spark, out)
-        if earlier is not None:
-            fresh = fresh.join(earlier.where(F.col("epoch") < epoch).select("id"), "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        b = batch.withColumn("id_bucket", id_bucket()).persist()
+        try:
+            buckets = [r[0] for r in b.select("id_bucket").distinct().collect()]
+            known = spark.read.parquet(known_path).where(F.col("id_bucket").isin(buckets)).select("id")
+            fresh = b.join(known, "id", "left_anti")
+            earlier = _read_or_none(spark, out)
+            if earlier is not None:
+                prior = earlier.where((F.col("epoch") < epoch) & F.col("id_bucket").isin(buckets)).select("id")
+                fresh = fresh.join(prior, "id", "left_anti")
+            fresh.write.mode("overwrite").partitionBy("id_bucket").parquet(f"{out}/epoch={epoch}")
+        finally:
+            b.unpersist()
     return body
 
 

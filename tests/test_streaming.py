@@ -80,8 +80,7 @@ def test_snapshot_merge_over_epochs_and_replay(spark):
 def test_new_tasks_batch_keeps_primary_key_across_epochs(spark):
     from reelcat.streaming import jobs as J
     queued = I.submit_tasks(X.submissions(spark, SF_MID)).dropDuplicates(["id"])
-    known = J.scratch(spark, "known-test")
-    X.tasks(spark, SF_MID).write.parquet(known)
+    known = J.write_known_tasks(X.tasks(spark, SF_MID), J.scratch(spark, "known-test"))
     out = J.scratch(spark, "new-tasks-test")
     body = J.new_tasks_batch(known)
     body(queued, 0, out)
