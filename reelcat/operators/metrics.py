@@ -149,16 +149,18 @@ def result_documents(tasks: DataFrame, slots: DataFrame, warnings: DataFrame) ->
     match = U.url_match("video_url", "processed_url")
     err = F.when(F.col("error_code") == "TIMEOUT", F.lit(K.FAILURE_TIMEOUT)).otherwise(F.lit(K.FAILURE_OTHER))
     details = task_error_text(term)
+    # missing members are written as null, as the service's JSON documents do
+    keep_nulls = {"ignoreNullFields": "false"}
     success_doc = F.to_json(F.struct(
         F.lit(True).alias("success"), F.col("id").alias("processing_id"), F.col("base_id").alias("original_id"),
         F.col("video_url").alias("original_url"), F.col("processed_url").alias("processed_url"),
         match.alias("url_match"),
         F.struct(slot("video").alias("video"), slot("metadata").alias("metadata"),
                  slot("thumbnail").alias("thumbnail")).alias("storage"),
-        warns.alias("warnings"), partial.alias("partial_success")))
+        warns.alias("warnings"), partial.alias("partial_success")), keep_nulls)
     failure_doc = F.to_json(F.struct(
         F.lit(False).alias("success"), F.col("id").alias("processing_id"), err.alias("error"),
-        details.alias("error_details")))
+        details.alias("error_details")), keep_nulls)
     return j.select(
         "id", ok.alias("success"),
         F.when(ok, match).alias("url_match"),

@@ -143,7 +143,48 @@ pl2 AS (
   {_PATTERN_CASE} AS pattern
  FROM pl)"""
 
+def _warning_list_sql() -> str:
+    items = ", ".join(f"CASE WHEN w.f{i} THEN '{w}' END" for i, w in enumerate(K.WARNINGS))
+    return f"coalesce(list_filter([{items}], lambda x: x IS NOT NULL), [])"
+
+
+_WFLAGS_EACH = "wl AS (SELECT id, " + ", ".join(
+    f"bool_or(warning = '{w}') AS f{i}" for i, w in enumerate(K.WARNINGS)) + " FROM task_warnings GROUP BY id)"
+
+
+def _slot_doc(t: str) -> str:
+    return (f"CASE WHEN s.{t}_key IS NOT NULL THEN struct_pack(key := s.{t}_key, "
+            f"url := {sql_object_url(f's.{t}_key', BASE_URL, BUCKET)}, size := s.{t}_size) END")
+
+
+_SLOTS_FULL = f"""slots AS (
+ SELECT {sql_key_pid('key')} AS id,
+  (max(CASE WHEN file_type = 'video' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).k AS video_key,
+  (max(CASE WHEN file_type = 'video' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).sz AS video_size,
+  (max(CASE WHEN file_type = 'metadata' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).k AS metadata_key,
+  (max(CASE WHEN file_type = 'metadata' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).sz AS metadata_size,
+  (max(CASE WHEN file_type = 'thumbnail' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).k AS thumbnail_key,
+  (max(CASE WHEN file_type = 'thumbnail' THEN struct_pack(lm := last_modified, k := key, sz := size) END)).sz AS thumbnail_size
+ FROM tobj WHERE file_type IN ('video', 'metadata', 'thumbnail') GROUP BY 1)"""
+
+_PARTIAL_ANY = " OR ".join(f"w.f{K.WARNINGS.index(x)}" for x in K.PARTIAL_WARNINGS)
+
+_RESULT_JSON = f"""WITH {_TASK_OBJECTS}, {_SLOTS_FULL}, {_WFLAGS_EACH}
+SELECT t.id, CASE WHEN t.status = 'completed' THEN to_json(struct_pack(
+   success := true, processing_id := t.id, original_id := t.base_id, original_url := t.video_url,
+   processed_url := t.processed_url, url_match := {_url_match('t.video_url', 't.processed_url')},
+   storage := struct_pack(video := {_slot_doc('video')}, metadata := {_slot_doc('metadata')},
+                          thumbnail := {_slot_doc('thumbnail')}),
+   warnings := {_warning_list_sql()}, partial_success := coalesce({_PARTIAL_ANY}, false)))::VARCHAR
+ ELSE to_json(struct_pack(success := false, processing_id := t.id,
+   error := CASE WHEN t.error_code = 'TIMEOUT' THEN '{K.FAILURE_TIMEOUT}' ELSE '{K.FAILURE_OTHER}' END,
+   error_details := {_ERR_TEXT.replace('error_class', 't.error_class').replace('error_message', 't.error_message')
+                     .replace('video_url', 't.video_url').replace('error_code', 't.error_code')}))::VARCHAR END AS document
+FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wl w ON t.id = w.id
+WHERE t.status IN ('completed', 'failed')"""
+
 ORACLE = {
+    "result_json": with_views(["files", "tasks", "task_warnings"], _RESULT_JSON),
     "supported_sites": f"""WITH s AS (SELECT DISTINCT {sql_domain('url')} AS site FROM pages)
 SELECT site, (SELECT count(*) FROM s) AS total_count FROM s ORDER BY site LIMIT {K.SUPPORTED_SITES_SHOWN}""",
     "status_summary": with_views(["tasks"], """
