@@ -73,7 +73,7 @@ QUERIES = {
     "partial_share": lambda s, sf: M.partial_share(X.tasks(s, sf), X.task_warnings(s, sf)),
     "result_documents": lambda s, sf: q_result_documents(s, sf).drop("document"),
     "result_json": lambda s, sf: q_result_documents(s, sf).select("id", "document"),
-    "webhook_outbox": lambda s, sf: q_webhook_outbox(s, sf).drop("payload"),
+    "webhook_outbox": q_webhook_outbox,
     "log_events": lambda s, sf: M.parse_log_lines(X.log_lines(s, sf)),
     "log_pattern_counts": lambda s, sf: M.log_pattern_counts(M.parse_log_lines(X.log_lines(s, sf))),
     "chunk_manifest": lambda s, sf: M.chunk_manifest(read_table(s, sf, "pages"), "page_id",
@@ -169,8 +169,8 @@ _SLOTS_FULL = f"""slots AS (
 
 _PARTIAL_ANY = " OR ".join(f"w.f{K.WARNINGS.index(x)}" for x in K.PARTIAL_WARNINGS)
 
-_RESULT_JSON = f"""WITH {_TASK_OBJECTS}, {_SLOTS_FULL}, {_WFLAGS_EACH}
-SELECT t.id, CASE WHEN t.status = 'completed' THEN to_json(struct_pack(
+_DOC_CTES = f"{_TASK_OBJECTS}, {_SLOTS_FULL}, {_WFLAGS_EACH}"
+_DOC_SELECT = f"""SELECT t.id, CASE WHEN t.status = 'completed' THEN to_json(struct_pack(
    success := true, processing_id := t.id, original_id := t.base_id, original_url := t.video_url,
    processed_url := t.processed_url, url_match := {_url_match('t.video_url', 't.processed_url')},
    storage := struct_pack(video := {_slot_doc('video')}, metadata := {_slot_doc('metadata')},
@@ -182,6 +182,7 @@ SELECT t.id, CASE WHEN t.status = 'completed' THEN to_json(struct_pack(
                      .replace('video_url', 't.video_url').replace('error_code', 't.error_code')}))::VARCHAR END AS document
 FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wl w ON t.id = w.id
 WHERE t.status IN ('completed', 'failed')"""
+_RESULT_JSON = f"WITH {_DOC_CTES}\n{_DOC_SELECT}"
 
 ORACLE = {
     "result_json": with_views(["files", "tasks", "task_warnings"], _RESULT_JSON),
@@ -213,13 +214,13 @@ SELECT warning, count(DISTINCT id) AS n_tasks FROM task_warnings GROUP BY warnin
        FROM tasks t LEFT JOIN wf w ON t.id = w.id WHERE t.status = 'completed')
 SELECT n_completed, n_partial, round(n_partial / n_completed, 6) AS partial_share FROM c"""),
     "result_documents": with_views(["files", "tasks", "task_warnings"], _RESULT_FLAT),
-    "webhook_outbox": with_views(["tasks"], f"""
-WITH a AS (SELECT id, webhook_url, updated_at, unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt FROM tasks
-           WHERE status IN ('completed', 'failed') AND webhook_url IS NOT NULL)
-SELECT id, webhook_url, attempt::BIGINT AS attempt, (pow(2, attempt - 1) - 1)::BIGINT AS delay_s,
+    "webhook_outbox": with_views(["files", "tasks", "task_warnings"], f"""WITH {_DOC_CTES}, docs AS ({_DOC_SELECT}),
+ a AS (SELECT id, webhook_url, updated_at, unnest(range(1, {K.WEBHOOK_MAX_ATTEMPTS + 1})) AS attempt FROM tasks
+       WHERE status IN ('completed', 'failed') AND webhook_url IS NOT NULL)
+SELECT a.id, webhook_url, attempt::BIGINT AS attempt, (pow(2, attempt - 1) - 1)::BIGINT AS delay_s,
  updated_at + to_seconds((pow(2, attempt - 1) - 1)::BIGINT) AS send_after,
- contains(webhook_url, '{K.WEBHOOK_AUTH_MARKER}') AS authorized
-FROM a"""),
+ contains(webhook_url, '{K.WEBHOOK_AUTH_MARKER}') AS authorized, docs.document AS payload
+FROM a JOIN docs ON a.id = docs.id"""),
     "log_events": with_views(["log_lines"], f"WITH {_PARSED_LOG}\nSELECT * FROM pl2"),
     "log_pattern_counts": with_views(["log_lines"], f"""WITH {_PARSED_LOG}
 SELECT pattern, level, count(*) AS n_lines, min(logged_at) AS first_at, max(logged_at) AS last_at
