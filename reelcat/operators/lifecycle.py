@@ -11,6 +11,12 @@ Scale notes
 * Claiming the oldest ``n`` tasks is a top-k (TakeOrderedAndProject); the
   claimed ids (at most ``n`` rows, a proven bound) are broadcast back onto the
   snapshot.
+* Timeouts are an anti join on ``(task, time bucket)`` plus the range, so only
+  events within about one time limit of each other are compared.
+* Task <-> object joins are inner + anti joins (skew can be split on either
+  side) instead of one left outer join.
+* Durations use ``timestamp_diff`` on wall-clock times, independent of the
+  session time zone.
 * "Now" is always a parameter, so results are repeatable.
 """
 
