@@ -23,6 +23,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
     # file listing runs as a Spark job of up to 10,000 tasks by default; locally a few suffice
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "16",
+    # remove checkpoint files (segmented scan) once their data is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
