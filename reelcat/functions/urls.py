@@ -71,10 +71,15 @@ def domain(url: Column | str) -> Column:
     return F.when(host != "", F.regexp_replace(host, K.DOMAIN_PREFIX_PATTERN, "")).otherwise(u)
 
 
-def url_match(original: Column | str, processed: Column | str) -> Column:
-    """Do two URLs name the same video?  Video ids when both have one, else domains."""
+def url_match(original: Column | str, processed: Column | str, case_sensitive: bool = False) -> Column:
+    """Do two URLs name the same video?  Video ids when both have one, else domains.
+
+    By default both URLs are lower-cased first (the service's behaviour, so ids
+    that differ only in case compare equal); ``case_sensitive=True`` only strips
+    whitespace.
+    """
     o, p = _col(original), _col(processed)
-    on, pn = normalize_url(o), normalize_url(p)
+    on, pn = (strip_ws(o), strip_ws(p)) if case_sensitive else (normalize_url(o), normalize_url(p))
     oid, pid = video_id(on), video_id(pn)
     present = o.isNotNull() & p.isNotNull() & (o != "") & (p != "")
     same = F.when(oid.isNotNull() & pid.isNotNull(), oid == pid).otherwise(domain(on) == domain(pn))

@@ -265,3 +265,11 @@ def test_catalog_with_one_video_holding_a_third_of_objects(spark):
                   .orderBy(F.col("last_modified").desc(), F.col("key").desc()).first())
     assert (got.video_key, got.video_size) == (last_video.key, last_video.size)
     assert len(cat) == C.video_catalog(files.where(~hot)).count() + 1
+
+
+def test_url_match_case_flag(spark):
+    df = spark.createDataFrame([Row(o="https://youtu.be/AbC", p="https://www.youtube.com/watch?v=abc")])
+    got = df.select(U.url_match("o", "p").alias("default"),
+                    U.url_match("o", "p", case_sensitive=True).alias("exact")).first()
+    assert got.default is True   # ids compared after lower-casing
+    assert got.exact is False
