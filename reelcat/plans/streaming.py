@@ -63,6 +63,13 @@ def q_stream_timeouts(spark: SparkSession, sf: str) -> DataFrame:
     return _ntz(spark.read.parquet(J.run_to_table(df, "stream-timeouts")))
 
 
+def q_stream_timeout_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    df = J.stream_timeouts(J.task_event_stream(spark, sf), J.task_event_stream(spark, sf))
+    out = J.run_to_table(df, "stream-timeout-decisions",
+                         foreach_batch=J.timeout_decisions_batch(lambda: X.task_events(spark, sf)))
+    return _ntz(spark.read.parquet(out).drop("epoch"))
+
+
 def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     df = J.stream_progress(J.task_event_stream(spark, sf), PROGRESS_WINDOW)
     return _ntz(spark.read.parquet(J.run_to_table(df, "stream-progress")))
@@ -81,6 +88,7 @@ QUERIES = {
     "stream_failure_rate": q_stream_failure_rate,
     "stream_task_state": q_stream_task_state,
     "stream_timeouts": q_stream_timeouts,
+    "stream_timeout_decisions": q_stream_timeout_decisions,
     "stream_progress": q_stream_progress,
     "stream_outbox": q_stream_outbox,
 }
@@ -153,3 +161,15 @@ SELECT task_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) +
 FROM e GROUP BY task_id, date_trunc('hour', ts)
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - {_WM}""")
 ORACLE["stream_outbox"] = ORACLE["event_outbox"]
+ORACLE["stream_timeout_decisions"] = with_views(["task_events"], f"""
+WITH ea AS (SELECT event_id, sum(CASE WHEN event = 'processing' THEN 1 ELSE 0 END) OVER (PARTITION BY task_id
+             ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS attempt FROM task_events)
+SELECT p.task_id, p.event_id, p.ts AS started_at, p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND AS deadline, ea.attempt,
+ ea.attempt < {K.MAX_RETRIES} AS retry, CASE WHEN ea.attempt < {K.MAX_RETRIES} THEN 'queued' ELSE 'failed' END AS next_status
+FROM task_events p JOIN ea ON p.event_id = ea.event_id
+WHERE p.event = 'processing' AND NOT EXISTS (
+ SELECT 1 FROM task_events t WHERE t.task_id = p.task_id AND t.event IN ('queued', 'completed', 'failed')
+  AND t.ts >= p.ts AND t.ts <= p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND)
+ AND p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND < least(
+  (SELECT max(ts) FROM task_events WHERE event = 'processing'),
+  (SELECT max(ts) FROM task_events WHERE event IN ('queued', 'completed', 'failed'))) - {_WM}""")

@@ -228,3 +228,27 @@ def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
     """The newest complete snapshot version (a scalar subquery picks it)."""
     allv = spark.read.parquet(out)
     return allv.where(F.col("v") == allv.select(F.max("v")).scalar()).drop("v")
+
+
+def timeout_decisions_batch(history, max_retries: int = K.MAX_RETRIES):
+    """``foreachBatch`` body for T3's decision step: requeue or fail each timeout.
+
+    ``history`` returns the stored event log (a batch DataFrame).  Only the
+    history of the tasks in this batch is read (semi join), their attempts are
+    numbered with the segmented scan, and each timeout gets ``attempt``,
+    ``retry`` and ``next_status`` (a timeout is a retryable TIMEOUT error, so
+    it is requeued while the attempt number is below ``max_retries``).
+    Written to ``out/epoch=<n>`` (idempotent on replay).
+    """
+    from reelcat.operators.lifecycle import event_attempts
+
+    def body(batch: DataFrame, epoch: int, out: str) -> None:
+        tasks = batch.select("task_id").distinct()
+        attempts = event_attempts(history().join(tasks, "task_id", "left_semi")).select("event_id", "attempt")
+        decided = (batch.join(attempts, "event_id")
+                   .select("task_id", "event_id", "started_at", "deadline", "attempt",
+                           (F.col("attempt") < max_retries).alias("retry"),
+                           F.when(F.col("attempt") < max_retries, F.lit("queued")).otherwise(F.lit("failed"))
+                           .alias("next_status")))
+        decided.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    return body
