@@ -34,8 +34,9 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
     for each entry of ``sums`` (rows from the start of the key up to the current
     row) and ``prev_<c>`` for each column in ``lags``.
 
-    ``order`` must make rows unique within a key; its entries are column names
-    or sort Columns (``F.col(c).desc()``), names only when ``lags`` are used.
+    ``order`` must make rows unique within a key and hold no nulls; its entries
+    are column names or sort Columns (``F.col(c).desc()``), names only when
+    ``lags`` are used.
     ``key`` may be empty for a global order (e.g. queue positions, deep pages).
     """
     sums = sums or {}
