@@ -145,8 +145,10 @@ def duplicate_urls(tasks: DataFrame) -> DataFrame:
 
 
 def task_lookup(ids: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Look up many task ids at once; missing ids are reported with ``found = false``."""
-    cols = ["id", "status", "error_message", "created_at", "updated_at"]
+    """Look up many task ids at once: status, stored result, error details and
+    times; missing ids are reported with ``found = false``."""
+    cols = [F.col("id"), F.col("status"), F.col("result"), F.col("error_message").alias("error_details"),
+            F.col("created_at"), F.col("updated_at")]
     return (ids.select("id").where(F.col("id").isNotNull()).distinct()
             .join(tasks.select(*cols).withColumn("found", F.lit(True)), "id", "left")
             .withColumn("found", F.coalesce("found", F.lit(False))))

@@ -43,7 +43,7 @@ QUERIES = {
     "dedupe_submissions": lambda s, sf: I.dedupe_submissions(X.submissions(s, sf), X.tasks(s, sf))[0],
     "dedupe_rejected": lambda s, sf: I.dedupe_submissions(X.submissions(s, sf), X.tasks(s, sf))[1],
     "duplicate_urls": lambda s, sf: I.duplicate_urls(X.tasks(s, sf)),
-    "task_lookup": lambda s, sf: I.task_lookup(lookup_ids(X.submissions(s, sf)), X.tasks(s, sf)),
+    "task_lookup": lambda s, sf: I.task_lookup(lookup_ids(X.submissions(s, sf)), tasks_with_result(X.tasks(s, sf))),
 }
 
 
@@ -112,7 +112,12 @@ SELECT {sql_hash('video_url')} AS url_hash, count(*) AS n_tasks, min(created_at)
 FROM tasks GROUP BY 1 HAVING count(*) > 1"""),
     "task_lookup": with_views(["submissions", "tasks"], f"""
 WITH ids AS (SELECT DISTINCT base_id || '-' || {sql_hash('url')} AS id FROM submissions
-             WHERE base_id || '-' || {sql_hash('url')} IS NOT NULL)
-SELECT ids.id, t.status, t.error_message, t.created_at, t.updated_at, t.id IS NOT NULL AS found
-FROM ids LEFT JOIN tasks t ON ids.id = t.id"""),
+             WHERE base_id || '-' || {sql_hash('url')} IS NOT NULL),
+ tr AS (SELECT *, CASE WHEN status = 'completed' THEN json_object('success', true, 'processing_id', id)
+                  ELSE json_object('composite_id', base_id || '-' || {sql_hash('video_url')}, 'base_id', base_id,
+                                   'url_hash', {sql_hash('video_url')}, 'video_url', video_url) END::VARCHAR AS result
+        FROM tasks)
+SELECT ids.id, t.status, t.result, t.error_message AS error_details, t.created_at, t.updated_at,
+ t.id IS NOT NULL AS found
+FROM ids LEFT JOIN tr t ON ids.id = t.id"""),
 }
