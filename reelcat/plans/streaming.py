@@ -58,6 +58,11 @@ def q_stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     return _ntz(J.latest_snapshot(spark, out))
 
 
+def q_stream_queue_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks per current status, from the snapshot the task-state stream maintains."""
+    return L.queue_depth(q_stream_task_state(spark, sf))
+
+
 def q_stream_timeouts(spark: SparkSession, sf: str) -> DataFrame:
     df = J.stream_timeouts(J.task_event_stream(spark, sf), J.task_event_stream(spark, sf))
     return _ntz(spark.read.parquet(J.run_to_table(df, "stream-timeouts")))
@@ -87,6 +92,7 @@ QUERIES = {
     "stream_submissions": q_stream_submissions,
     "stream_failure_rate": q_stream_failure_rate,
     "stream_task_state": q_stream_task_state,
+    "stream_queue_depth": q_stream_queue_depth,
     "stream_timeouts": q_stream_timeouts,
     "stream_timeout_decisions": q_stream_timeout_decisions,
     "stream_progress": q_stream_progress,
@@ -173,3 +179,7 @@ WHERE p.event = 'processing' AND NOT EXISTS (
  AND p.ts + INTERVAL {K.OVERALL_TIMEOUT_S} SECOND < least(
   (SELECT max(ts) FROM task_events WHERE event = 'processing'),
   (SELECT max(ts) FROM task_events WHERE event IN ('queued', 'completed', 'failed'))) - {_WM}""")
+ORACLE["stream_queue_depth"] = with_views(["task_events"], f"""
+WITH s AS (SELECT task_id, (max(struct_pack(t := ts, i := event_id, e := event))).e AS status
+           FROM task_events WHERE event IN {_STATUS_IN} GROUP BY task_id)
+SELECT status, count(*) AS n_tasks FROM s GROUP BY status""")
