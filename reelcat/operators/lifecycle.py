@@ -30,6 +30,8 @@ from reelcat.functions import objects as O
 from reelcat.operators.scan import running
 
 STATUS_EVENTS = K.TASK_STATUSES
+# claimed batches up to this many rows are broadcast back onto the snapshot
+CLAIM_BROADCAST_MAX = 100_000
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -58,7 +60,10 @@ def claim_batch(tasks: DataFrame, n: int, now: str) -> tuple[DataFrame, DataFram
     claimed = (queued.orderBy("created_at", "id").limit(n)
                .select("id", "video_url", "webhook_url", "created_at",
                        F.to_timestamp_ntz(F.lit(now)).alias("claimed_at")))
-    ids = F.broadcast(claimed.select("id", F.lit(True).alias("_claimed")))
+    ids = claimed.select("id", F.lit(True).alias("_claimed"))
+    if n <= CLAIM_BROADCAST_MAX:
+        ids = F.broadcast(ids)  # at most n rows: a proven bound
+    # larger batches: a plain join, planned by AQE from runtime sizes
     snap = (tasks.join(ids, "id", "left")
             .withColumn("status", F.when(F.col("_claimed"), F.lit("processing")).otherwise(F.col("status")))
             .withColumn("updated_at", F.when(F.col("_claimed"), F.to_timestamp_ntz(F.lit(now)))
