@@ -214,11 +214,22 @@ def q_read_objects(spark: SparkSession, sf: str) -> DataFrame:
             .select("key", "length", F.sha2("content", 256).alias("content_sha256")))
 
 
+def q_manifest_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Ingest, write the manifest as a bucketed Parquet table, read it back."""
+    from reelcat.sources import objects as SO
+    from reelcat.sources.media import scratch_path
+    manifest = SO.ingest_objects(spark, _staged_pages(spark, sf), OBJECT_NAME)
+    path = SO.write_manifest(manifest, scratch_path(spark, "manifest"))
+    return spark.read.parquet(path).select("key", "processing_id", "size", "content_type")
+
+
 QUERIES["ingest_objects"] = q_ingest_objects
+QUERIES["manifest_table"] = q_manifest_table
 QUERIES["read_objects"] = q_read_objects
 ORACLE["ingest_objects"] = f"""
 SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, cast(page_id as varchar) AS processing_id,
  (strlen(html) + 1)::BIGINT AS size, CAST(NULL AS VARCHAR) AS content_type FROM pages"""
+ORACLE["manifest_table"] = ORACLE["ingest_objects"]
 ORACLE["read_objects"] = f"""
 SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS length,
  sha256(html || chr(10)) AS content_sha256 FROM pages"""

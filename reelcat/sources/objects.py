@@ -57,3 +57,15 @@ def read_objects(files: DataFrame, manifest: DataFrame, keys: DataFrame) -> Data
     wanted = manifest.join(keys.select("key").distinct(), "key", "left_semi").select("key", "pid", "path")
     bodies = files.select("pid", "path", "length", "content")
     return bodies.join(wanted, ["pid", "path"]).select("key", "length", "content")
+
+
+MANIFEST_BUCKETS = 64
+
+
+def write_manifest(manifest: DataFrame, path: str) -> str:
+    """Store a manifest partitioned by a hash bucket of the processing id, so
+    lookups by id read one bucket; the ``path`` column is kept for reads."""
+    bucket = F.pmod(F.xxhash64("processing_id"), F.lit(MANIFEST_BUCKETS)).cast("int")
+    (manifest.drop("pid").withColumn("pid_bucket", bucket).repartition("pid_bucket")
+     .write.mode("overwrite").partitionBy("pid_bucket").parquet(path))
+    return path
