@@ -24,15 +24,17 @@ SOCKET_TIMEOUT_S = 30
 OVERALL_TIMEOUT_S = INFO_EXTRACTION_TIMEOUT_S + DOWNLOAD_TIMEOUT_S + UPLOAD_TIMEOUT_S  # 1800
 SMALL_FILE_UPLOAD_TIMEOUT_S = 60
 URL_GENERATION_TIMEOUT_S = 30
+# extra seconds allowed around awaited steps for asynchronous overhead
+ASYNC_BUFFER_S = 60
 # stage -> seconds allowed from the stage start
 STAGE_LIMITS = [
-    ("overall", 1800),
-    ("direct_processing", 900 + 600 + 60),
-    ("download", 900 + 60),
-    ("video_upload", 600),
-    ("metadata_upload", 60),
-    ("thumbnail_upload", 60),
-    ("url_generation", 30),
+    ("overall", OVERALL_TIMEOUT_S),
+    ("direct_processing", DOWNLOAD_TIMEOUT_S + UPLOAD_TIMEOUT_S + ASYNC_BUFFER_S),
+    ("download", DOWNLOAD_TIMEOUT_S + ASYNC_BUFFER_S),
+    ("video_upload", UPLOAD_TIMEOUT_S),
+    ("metadata_upload", SMALL_FILE_UPLOAD_TIMEOUT_S),
+    ("thumbnail_upload", SMALL_FILE_UPLOAD_TIMEOUT_S),
+    ("url_generation", URL_GENERATION_TIMEOUT_S),
 ]
 
 # --- fixed values: error codes and retry classes ------------------------------

@@ -78,6 +78,8 @@ QUERIES = {
     "log_pattern_counts": lambda s, sf: M.log_pattern_counts(M.parse_log_lines(X.log_lines(s, sf))),
     "chunk_manifest": lambda s, sf: M.chunk_manifest(read_table(s, sf, "pages"), "page_id",
                                                      F.octet_length("html"), CHUNK),
+    "chunk_manifest_upload": lambda s, sf: M.chunk_manifest(read_table(s, sf, "pages"), "page_id",
+                                                            F.octet_length("html"), K.UPLOADER_CHUNK_BYTES),
     "failure_rate_windows": lambda s, sf: M.failure_rate_windows(X.task_events(s, sf), FAILURE_WINDOW,
                                                                  threshold=FAILURE_ALERT),
     "failure_rate_sliding": lambda s, sf: M.failure_rate_windows(X.task_events(s, sf), FAILURE_WINDOW, SLIDE,
@@ -184,6 +186,14 @@ FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wl w ON t.id = w.id
 WHERE t.status IN ('completed', 'failed')"""
 _RESULT_JSON = f"WITH {_DOC_CTES}\n{_DOC_SELECT}"
 
+def _chunk_sql(chunk: int) -> str:
+    return f"""
+WITH p AS (SELECT page_id, strlen(html)::BIGINT AS n_bytes FROM pages),
+ c AS (SELECT page_id, n_bytes, unnest(range(0, n_bytes, {chunk})) AS "offset" FROM p WHERE n_bytes > 0)
+SELECT page_id, n_bytes, ("offset" // {chunk})::BIGINT AS chunk_index, "offset"::BIGINT AS "offset",
+ least({chunk}, n_bytes - "offset")::BIGINT AS length, ceil(n_bytes / {chunk})::BIGINT AS n_chunks FROM c"""
+
+
 ORACLE = {
     "result_json": with_views(["files", "tasks", "task_warnings"], _RESULT_JSON),
     "supported_sites": f"""WITH s AS (SELECT DISTINCT {sql_domain('url')} AS site FROM pages)
@@ -225,11 +235,8 @@ FROM a JOIN docs ON a.id = docs.id"""),
     "log_pattern_counts": with_views(["log_lines"], f"""WITH {_PARSED_LOG}
 SELECT pattern, level, count(*) AS n_lines, min(logged_at) AS first_at, max(logged_at) AS last_at
 FROM pl2 GROUP BY pattern, level"""),
-    "chunk_manifest": f"""
-WITH p AS (SELECT page_id, strlen(html)::BIGINT AS n_bytes FROM pages),
- c AS (SELECT page_id, n_bytes, unnest(range(0, n_bytes, {CHUNK})) AS "offset" FROM p WHERE n_bytes > 0)
-SELECT page_id, n_bytes, ("offset" // {CHUNK})::BIGINT AS chunk_index, "offset"::BIGINT AS "offset",
- least({CHUNK}, n_bytes - "offset")::BIGINT AS length, ceil(n_bytes / {CHUNK})::BIGINT AS n_chunks FROM c""",
+    "chunk_manifest": _chunk_sql(CHUNK),
+    "chunk_manifest_upload": _chunk_sql(K.UPLOADER_CHUNK_BYTES),
     "failure_rate_windows": with_views(["task_events"], f"""
 WITH w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events,
   sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
@@ -279,3 +286,4 @@ def q_log_file_events(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["log_file_events"] = q_log_file_events
 ORACLE["log_file_events"] = with_views(["log_lines"], f"WITH {_PARSED_LOG}\nSELECT * EXCLUDE (event_id) FROM pl2")
+
