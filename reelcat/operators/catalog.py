@@ -32,6 +32,16 @@ from reelcat.functions import objects as O
 SLOT_FIELDS = ("key", "size", "content_type")
 
 
+def listing_from_records(records: DataFrame) -> DataFrame:
+    """Object-listing records (``schemas.OBJECT_LISTING``: key, size, last_modified,
+    content_type, metadata map) as catalogue input: ``file_type`` comes from the
+    object metadata; a missing content type falls back to the key's extension."""
+    return records.select(
+        "key", "size", "last_modified",
+        F.coalesce(F.col("content_type"), O.content_type("key")).alias("content_type"),
+        F.col("metadata").getItem("file_type").alias("file_type"))
+
+
 def parse_listing(files: DataFrame) -> DataFrame:
     """Add ``pid`` (parsed from the key), ``ftype`` and ``content_type``; keep parseable keys."""
     cols = files.columns

@@ -40,3 +40,16 @@ def test_upsert_overwrites_by_key(spark):
     out = {r.key: (r.size, r.from_incoming, r.n_versions) for r in C.upsert_objects(cur, new).collect()}
     # the incoming write wins even with an older timestamp (overwrite semantics)
     assert out == {"videos/p/a.mp4": (2, True, 2), "videos/p/b.jpg": (3, True, 1)}
+
+
+def test_listing_records_with_metadata_map(spark):
+    from reelcat import schemas as S
+    t = dt.datetime(2025, 7, 26, 12, 0, 0)
+    rows = [(f"videos/{PID}/video.mp4", 39, t, "video/mp4", {"processing_id": PID, "file_type": "video"}),
+            (f"videos/{PID}/info.json", 39, t, None, {"processing_id": PID, "file_type": "metadata"}),
+            (f"videos/{PID}/thumb.jpg", 39, t, "image/jpeg", {})]
+    records = spark.createDataFrame(rows, S.OBJECT_LISTING)
+    cat = C.video_catalog(C.listing_from_records(records)).first()
+    assert cat.n_files == 3
+    assert (cat.video_key, cat.metadata_content_type) == (f"videos/{PID}/video.mp4", "application/json")
+    assert cat.unknown_key == f"videos/{PID}/thumb.jpg"  # no file_type in its metadata
