@@ -7,40 +7,53 @@ as in tests and the local bench.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
-_LOCAL_DEFAULTS = {
+# static settings, safe anywhere: no web UI, no console bars, and checkpoint
+# files (segmented scan) removed once their data is no longer referenced
+_STATIC = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# SQL defaults for local runs; applied only where the cluster's configuration
+# (spark-submit --conf, spark-defaults.conf) does not set the key itself
+_SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
     # file listing runs as a Spark job of up to 10,000 tasks by default; locally a few suffice
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "16",
-    # remove checkpoint files (segmented scan) once their data is no longer referenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_spark(master: str | None = None, app_name: str = "reelcat", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one with sane defaults."""
+    """Return the active session, or build one.
+
+    Explicit ``conf`` always applies.  The SQL defaults above fill in only
+    keys the cluster configuration leaves unset, so a cluster's shuffle
+    partitions, time zone or AQE choices are never overridden.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
-    settings = dict(_LOCAL_DEFAULTS)
-    settings.update(conf)
-    for key, value in settings.items():
+    if master:
+        # otherwise the master comes from spark-submit, or PySpark's local default
+        builder = builder.master(master)
+    for key, value in {**_STATIC, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    configured = spark.sparkContext.getConf()
+    for key, value in _SQL_DEFAULTS.items():
+        if key not in conf and not configured.contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
