@@ -67,7 +67,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        # Local runs only: the cluster always names a shared folder.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # local runs only: a private folder on this machine
         current = tempfile.mkdtemp(prefix="reelcat-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
