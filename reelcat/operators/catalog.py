@@ -42,16 +42,22 @@ def listing_from_records(records: DataFrame) -> DataFrame:
         F.col("metadata").getItem("file_type").alias("file_type"))
 
 
-def parse_listing(files: DataFrame) -> DataFrame:
-    """Add ``pid`` (parsed from the key), ``ftype`` and ``content_type``; keep parseable keys."""
+def parse_listing(files: DataFrame, with_content_type: bool = True) -> DataFrame:
+    """Add ``pid`` (parsed from the key) and ``ftype``; keep parseable keys.
+
+    ``content_type`` is kept when the listing has it; otherwise it is derived
+    from the key here, unless ``with_content_type`` is off (callers that only
+    need it for a few winning keys derive it after aggregating).
+    """
     cols = files.columns
-    ctype = F.col("content_type") if "content_type" in cols else O.content_type("key")
     ftype = F.col("file_type") if "file_type" in cols else F.lit(None).cast("string")
-    return (files
-            .withColumn("pid", O.key_processing_id("key"))
-            .where(F.col("pid").isNotNull())
-            .withColumn("ftype", O.listed_file_type(ftype))
-            .withColumn("content_type", ctype))
+    parsed = (files
+              .withColumn("pid", O.key_processing_id("key"))
+              .where(F.col("pid").isNotNull())
+              .withColumn("ftype", O.listed_file_type(ftype)))
+    if "content_type" not in cols and with_content_type:
+        parsed = parsed.withColumn("content_type", O.content_type("key"))
+    return parsed
 
 
 def _last_slot(ftype: str, fields=SLOT_FIELDS) -> Column:
@@ -63,14 +69,22 @@ def _last_slot(ftype: str, fields=SLOT_FIELDS) -> Column:
 
 
 def video_catalog(files: DataFrame, slots=(*K.FILE_TYPES, K.UNKNOWN_FILE_TYPE)) -> DataFrame:
-    """One row per processing id: created_at, object count and the last object per file type."""
-    parsed = parse_listing(files)
+    """One row per processing id: created_at, object count and the last object per file type.
+
+    When the listing carries no content type, it is a function of the key, so
+    it is derived once per winning key after the aggregate instead of being
+    carried through every aggregation buffer.
+    """
+    given = "content_type" in files.columns
+    parsed = parse_listing(files, with_content_type=False)
+    carried = SLOT_FIELDS if given else ("key", "size")
     aggs = [F.min("last_modified").alias("created_at"), F.count(F.lit(1)).alias("n_files")]
-    aggs += [_last_slot(t).alias(f"_{t}") for t in slots]
+    aggs += [_last_slot(t, carried).alias(f"_{t}") for t in slots]
     grouped = parsed.groupBy(F.col("pid").alias("processing_id")).agg(*aggs)
     out = ["processing_id", "created_at", "n_files"]
     for t in slots:
-        out += [F.col(f"_{t}.{f}").alias(f"{t}_{f}") for f in SLOT_FIELDS]
+        out += [F.col(f"_{t}.key").alias(f"{t}_key"), F.col(f"_{t}.size").alias(f"{t}_size"),
+                (F.col(f"_{t}.content_type") if given else O.content_type(f"_{t}.key")).alias(f"{t}_content_type")]
     return grouped.select(*out)
 
 
