@@ -140,15 +140,20 @@ def video_details(files: DataFrame, base_url: str, bucket: str) -> DataFrame:
     """The three fixed slots (video, metadata, thumbnail) per processing id.
 
     Other file types are ignored; a processing id with none of the three is
-    absent (the reference's "not found").
+    absent (the reference's "not found").  As in ``video_catalog``, a content
+    type missing from the listing is derived from each winning key.
     """
+    given = "content_type" in files.columns
     fields = ("key", "size", "last_modified", "content_type")
-    parsed = parse_listing(files).where(F.col("ftype").isin(K.FILE_TYPES))
+    carried = fields if given else fields[:3]
+    parsed = parse_listing(files, with_content_type=False).where(F.col("ftype").isin(K.FILE_TYPES))
     grouped = parsed.groupBy(F.col("pid").alias("processing_id")).agg(
-        *[_last_slot(t, fields).alias(f"_{t}") for t in K.FILE_TYPES])
+        *[_last_slot(t, carried).alias(f"_{t}") for t in K.FILE_TYPES])
     out = ["processing_id"]
     for t in K.FILE_TYPES:
-        out += [F.col(f"_{t}.{f}").alias(f"{t}_{f}") for f in fields]
+        out += [F.col(f"_{t}.{f}").alias(f"{t}_{f}") for f in fields[:3]]
+        out.append((F.col(f"_{t}.content_type") if given else O.content_type(f"_{t}.key"))
+                   .alias(f"{t}_content_type"))
         out.append(F.when(F.col(f"_{t}.key").isNotNull(), O.object_url(f"_{t}.key", base_url, bucket))
                    .alias(f"{t}_url"))
     return grouped.select(*out)
