@@ -88,8 +88,7 @@ class Rolling:
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
         with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(n, base, U64)]).astype(U64), dtype=U64)
-            self.down = np.cumprod(np.concatenate([[1], np.full(n, pow(base, -1, 2 ** 64), U64)]).astype(U64), dtype=U64)
+            up, self.down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, x, U64)]), dtype=U64) for x in (base, pow(base, -1, 2 ** 64)))
             self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * up[:n], dtype=U64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

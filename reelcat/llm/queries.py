@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reelcat.llm import bpe, classifier, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sharding
+from reelcat.llm import bpe, classifier, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup
 from reelcat.llm.common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.duplicate_spans(table(spark, sf_dir)).drop("spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir), keep="largest")
 
@@ -61,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier)}
 
 ORACLE = {
     "op3_exact_dedup": """
