@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,3 +111,23 @@ def per_worker(key, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal (long) keys, as one table each; sorted input, groups may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([column(b, n).to_numpy() for n in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            own = tuple(k[:, i])
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from reelcat.llm import bpe, classifier, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup
+from reelcat.llm import bpe, classifier, exact_dedup, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup
 from reelcat.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.duplicate_spans(table(spark, sf_dir)).drop("spans")
 
@@ -48,7 +56,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = tokenizer_path()
     both = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir), path), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -65,7 +73,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier)}
+
+_SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE = {
     "op3_exact_dedup": """
@@ -73,4 +83,33 @@ ORACLE = {
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, regexp_extract_all(text, '{_SPACE.replace("[", "[^")}+') AS words FROM d),
+        win AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
+        tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM win),
+        rep AS (SELECT r, count(DISTINCT at) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS at FROM tri WHERE n > 1) GROUP BY r),
+        lines AS (SELECT r, count(line) - count(DISTINCT line) AS n_dup_lines, count(line) AS n_lines
+                  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+                  WHERE regexp_matches(line, '{_SPACE.replace("[", "[^")}') GROUP BY r),
+        m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+                     length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_marks
+              FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_capitals > 3 * word_chars
+                    OR 10 * n_marks > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+        FROM m
+    """,
+    "op9_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        j AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped FROM k)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM j GROUP BY r
+    """,
 }
