@@ -84,7 +84,7 @@ def n_repeat_words(found: Column) -> Column:
 
 
 LEAST_WORDS = Rule("least_words", lambda t: word_count(t) < 50)
-REPEATS = Rule("repeated_windows", lambda t: 100 * n_repeat_words(words(t)) > 50 * word_count(t))
+REPEATS = Rule("repeated_windows", lambda t: 100 * _bind(words(t), n_repeat_words) > 50 * word_count(t))
 SYMBOL_RATIO = Rule("symbols", lambda t: 10 * n_chars_of(t, SYMBOLS) > word_count(t))
 SHOUTING = Rule("capitals", lambda t: 10 * n_chars_of(t, CAPITALS) > 3 * word_chars(t))
 EXCLAIMING = Rule("exclamation_marks", lambda t: 10 * n_chars_of(t, "!") > word_count(t))

@@ -88,7 +88,7 @@ ORACLE = {
         w AS (SELECT r, regexp_extract_all(text, '{_SPACE.replace("[", "[^")}+') AS words FROM d),
         win AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
         tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM win),
-        rep AS (SELECT r, count(DISTINCT at) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS at FROM tri WHERE n > 1) GROUP BY r),
+        rep AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM tri WHERE n > 1) GROUP BY r),
         lines AS (SELECT r, count(line) - count(DISTINCT line) AS n_dup_lines, count(line) AS n_lines
                   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
                   WHERE regexp_matches(line, '{_SPACE.replace("[", "[^")}') GROUP BY r),
