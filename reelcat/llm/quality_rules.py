@@ -24,15 +24,7 @@ from reelcat.llm.common import SPACES, word_count
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SAMPLE_ROWS = 2000
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``rejects``: text (never null) -> boolean column."""
-
-    name: str
-    rejects: Callable[[Column], Column]
+SAMPLE_ROWS = 500
 
 
 def words(text: Column) -> Column:
@@ -71,25 +63,55 @@ def n_repeat_words(found: Column) -> Column:
     def marked(pairs: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(pairs) - 1)
         twice = F.filter(at, lambda j: F.coalesce(pairs[j]["h"] == F.get(pairs, j - 1)["h"], F.lit(False)) | F.coalesce(pairs[j]["h"] == F.get(pairs, j + 1)["h"], F.lit(False)))
-        places = F.array_sort(F.transform(twice, lambda j: pairs[j]["i"]))
+        places = F.sort_array(F.transform(twice, lambda j: pairs[j]["i"]))
         return F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
                            lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
 
     def counted(windows: Column) -> Column:
-        pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(_bind(pairs, marked))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(found) - 3), lambda i: F.xxhash64(found[i], found[i + 1], found[i + 2]))
     return F.when(F.size(found) < 4, 0).otherwise(_bind(windows, counted)).cast("long")
 
 
-LEAST_WORDS = Rule("least_words", lambda t: word_count(t) < 50)
-REPEATS = Rule("repeated_windows", lambda t: 100 * _bind(words(t), n_repeat_words) > 50 * word_count(t))
-SYMBOL_RATIO = Rule("symbols", lambda t: 10 * n_chars_of(t, SYMBOLS) > word_count(t))
-SHOUTING = Rule("capitals", lambda t: 10 * n_chars_of(t, CAPITALS) > 3 * word_chars(t))
-EXCLAIMING = Rule("exclamation_marks", lambda t: 10 * n_chars_of(t, "!") > word_count(t))
-SAME_LINES = Rule("duplicate_lines", lambda t: 2 * n_dup_lines(t) > F.size(_lines(t)))
-WORD_LENGTH = Rule("word_length", lambda t: (word_chars(t) < 2 * word_count(t)) | (word_chars(t) > 15 * word_count(t)))
+class Measures:
+    """Measures of a text as columns: those in ``known`` are there already, others are computed where a rule asks."""
+
+    def __init__(self, text: Column, known: dict[str, Column] | None = None):
+        self.text, self.known = text, known or {}
+
+    def __getattr__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else _MEASURES[name](self.text)
+
+
+_MEASURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": word_count,
+    "word_chars": word_chars,
+    "n_symbols": lambda t: n_chars_of(t, SYMBOLS),
+    "n_capitals": lambda t: n_chars_of(t, CAPITALS),
+    "n_marks": lambda t: n_chars_of(t, "!"),
+    "n_lines": lambda t: F.size(_lines(t)).cast("long"),
+    "n_dup_lines": n_dup_lines,
+    "n_repeat_words": lambda t: _bind(words(t), n_repeat_words),
+}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``rejects``: measures of a text -> boolean column."""
+
+    name: str
+    rejects: Callable[[Measures], Column]
+
+
+LEAST_WORDS = Rule("least_words", lambda m: m.n_words < 50)
+REPEATS = Rule("repeated_windows", lambda m: 100 * m.n_repeat_words > 50 * m.n_words)
+SYMBOL_RATIO = Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words)
+SHOUTING = Rule("capitals", lambda m: 10 * m.n_capitals > 3 * m.word_chars)
+EXCLAIMING = Rule("exclamation_marks", lambda m: 10 * m.n_marks > m.n_words)
+SAME_LINES = Rule("duplicate_lines", lambda m: 2 * m.n_dup_lines > m.n_lines)
+WORD_LENGTH = Rule("word_length", lambda m: ~m.word_chars.between(2 * m.n_words, 15 * m.n_words))
 #: beyond the two base rules
 FURTHER = (SYMBOL_RATIO, SHOUTING, EXCLAIMING, SAME_LINES, WORD_LENGTH)
 RULES = (LEAST_WORDS, REPEATS, *FURTHER)
@@ -97,8 +119,9 @@ RULES = (LEAST_WORDS, REPEATS, *FURTHER)
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, part rejected) by rejection per cost, measured on at most ``sample_rows`` rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sample = docs.select(text.alias("_text")).limit(sample_rows).persist()
+    text = F.coalesce(F.col("text"), F.lit("")).alias("_text")
+    rows = docs.select(text).take(sample_rows)  # as many input splits as that takes, not all of them
+    sample = docs.sparkSession.createDataFrame(rows, "_text string").persist()
 
     def measured(rejects: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
@@ -110,26 +133,25 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
         floor = measured(F.lit(False))[0]
         out = []
         for r in rules:
-            took, n, gone = measured(r.rejects(F.col("_text")))
+            took, n, gone = measured(r.rejects(Measures(F.col("_text"))))
             out.append((r, max(took - floor, 1e-4), gone / n if n else 0.0))
     finally:
         sample.unpersist()
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
-def verdict(text: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
+def verdict(measures: Measures, rules: list[Rule] | tuple[Rule, ...]) -> Column:
     """Name of the first rule in order that rejects the text; null if none does.  Later rules aren't evaluated."""
-    text = F.coalesce(text, F.lit(""))
     out = F.when(F.lit(False), F.lit(""))
     for r in rules:
-        out = out.when(r.rejects(text), F.lit(r.name))
+        out = out.when(r.rejects(measures), F.lit(r.name))
     return out.otherwise(F.lit(None).cast("string"))
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects."""
     order = [r for r, _, _ in ordered_rules(docs, rules, sample_rows)]
-    return docs.where(verdict(F.col("text"), order).isNull())
+    return docs.where(verdict(Measures(F.coalesce(F.col("text"), F.lit(""))), order).isNull())
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = FURTHER, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -140,11 +162,11 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = FURTHER, sample_ro
     """
     order = [r for r, _, _ in ordered_rules(docs, rules, sample_rows)]
     text = F.col("_text")
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     parts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_words", words(text))
-    measured = parts.select(
-        "doc_id", "_text", F.size("_words").cast("long").alias("n_words"), word_chars(text).alias("word_chars"),
-        n_chars_of(text, SYMBOLS).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("_words")).alias("n_repeat_words"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    own = {"n_words": F.size("_words").cast("long"), "n_repeat_words": n_repeat_words(F.col("_words"))}
+    measured = parts.select("doc_id", "_text", *((own[n] if n in own else _MEASURES[n](text)).alias(n) for n in base))
+    known = Measures(text, {n: F.col(n) for n in base})
+    failed = LEAST_WORDS.rejects(known) | REPEATS.rejects(known)
     return measured.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(text, order).isNull()).alias("kept"))
+        "doc_id", *base, "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(known, order).isNull()).alias("kept"))
