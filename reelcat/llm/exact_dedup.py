@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelcat.llm.common import NO_ID, ordered_id
+from reelcat.llm.common import NO_ID, ordered_id, settle
 
 
 def content_hash(text: Column) -> Column:
@@ -29,17 +29,19 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", content: Callable[[Col
     groups.  The aggregation is partial, so copies collapse to one row in every
     map task before the shuffle, however large their group is.  What goes back to
     the documents is keyed by hash and SHA-256; two different texts that agreed in
-    both would stop the job instead of being merged.
+    both would stop the job instead of being merged.  Groups are written to the shared
+    checkpoint folder, so that the join back is between two exchanges and a large
+    group's rows can be split over tasks.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     base = docs.select(F.col("doc_id"), ordered_id().alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     base = base.withColumn("_hash", content(F.col("_text")))
     same_bytes = base.groupBy("_hash", "_text").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = (same_bytes.select("_hash", F.sha2(F.col("_text"), 256).alias("text_sha256"), "_keep", "group_size")
-              .groupBy("_hash", "text_sha256")
-              .agg(F.max("_keep").alias("_keep"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_n"))
-              .withColumn("_keep", F.when(F.col("_n") == 1, F.col("_keep")).otherwise(
-                  F.raise_error(F.lit("two different texts agree in both hashes")).cast("long"))))
+    groups = settle(same_bytes.select("_hash", F.sha2(F.col("_text"), 256).alias("text_sha256"), "_keep", "group_size")
+                    .groupBy("_hash", "text_sha256")
+                    .agg(F.max("_keep").alias("_keep"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_n"))
+                    .withColumn("_keep", F.when(F.col("_n") == 1, F.col("_keep")).otherwise(
+                        F.raise_error(F.lit("two different texts agree in both hashes")).cast("long"))))
     rows = base.select("doc_id", "_id", "_hash", F.sha2(F.col("_text"), 256).alias("text_sha256"))
     return rows.join(groups, ["_hash", "text_sha256"]).select(
         "doc_id", F.nullif(F.col("_keep"), F.lit(NO_ID)).alias("keep_id"), "group_size",
