@@ -33,7 +33,9 @@ from reelcat.llm.common import column, per_worker
 
 #: the tokenizer's splitting rule on normalised text, where the only white space is a space (fixed value)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: rows in an outgoing batch
+SLICE = 500
 _SPLIT, _LETTER, _NUMBER = regex.compile(PIECES).findall, regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
 
 
@@ -136,18 +138,19 @@ class ForcedBoundaryBPE:
             return " ".join(names[k] for k in ids if k in names)
 
 
-def _encoded(spec):
+def _encoded(spec, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = per_worker(("bpe", hash(spec.value)), lambda: ForcedBoundaryBPE(spec.value))
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in column(b, "_text").to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            for lo in range(0, len(ids), 2000):  # offsets of a list array are 32-bit
-                hi = min(lo + 2000, len(ids))
-                values = np.concatenate([np.empty(0, np.int32), *ids[lo:hi]])
-                found = pa.ListArray.from_arrays(pa.array((ends[lo:hi + 1] - ends[lo]).astype(np.int32)), pa.array(values))
-                kept = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns) if b.schema.names[i] != "_text"]
-                yield pa.RecordBatch.from_arrays([*kept, found], names=[*(n for n in b.schema.names if n != "_text"), "_ids"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                ids = [bpe.encode(t or "") for t in column(b, "_text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))]
+                if decode:
+                    found.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+                own = [n for n in b.schema.names if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*(column(b, n) for n in own), *found], names=[*own, "_ids", *["_decoded"] * decode])
 
     return run
 
@@ -155,11 +158,11 @@ def _encoded(spec):
 def _decoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = per_worker(("bpe", hash(spec.value)), lambda: ForcedBoundaryBPE(spec.value))
-        for b in batches:
-            found = column(b, "_ids")
-            flat, ends = found.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *found.value_lengths().fill_null(0).to_pylist()])
-            texts = [bpe.decode(flat[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "_decoded"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                texts = [bpe.decode(x or ()) for x in column(b, "_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "_decoded"])
 
     return run
 
@@ -169,12 +172,14 @@ def read_spec(docs: DataFrame, tokenizer_json: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and ids (array of int) for every row."""
+def encode_documents(docs: DataFrame, tokenizer_json: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
+    """The columns in ``keep`` and ids (array of int) for every row; with ``decode`` also the text decoded from the ids."""
     own = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
-    out = own.drop("_text").withColumn("_ids", F.array().cast("array<int>")).schema
-    named = own.mapInArrow(_encoded(read_spec(docs, tokenizer_json)), out)
-    return named.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_ids").alias("ids"))
+    out = own.drop("_text").withColumn("_ids", F.array().cast("array<int>"))
+    out = out.withColumn("_decoded", F.lit("")) if decode else out
+    found = own.mapInArrow(_encoded(read_spec(docs, tokenizer_json), decode), out.schema)
+    names = {**{f"_k{i}": c for i, c in enumerate(keep)}, "_ids": "ids", "_decoded": "decoded"}
+    return found.select(*(F.col(c).alias(names[c]) for c in found.columns))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
