@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = training_labels(labels)
     n = known.count()
     own = docs.select(F.col("doc_id").alias("_id"), "text")
-    ratio, seen = log_count_ratios(own.join(known, "_id").select("text", "_quality"))
+    ratio, seen = log_count_ratios(own.join(known.hint("merge"), "_id").select("text", "_quality"))
     if not seen.all():
         return Model(ratio, np.zeros(PLACES + 1), 1.0, 0.0, float(seen[1] / seen.sum()) if seen.sum() else 0.5)
     part = min(1.0, fit_rows / max(n, 1))
