@@ -33,7 +33,7 @@ from reelcat.llm.common import column, per_worker
 
 #: the tokenizer's splitting rule on normalised text, where the only white space is a space (fixed value)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: rows in an outgoing batch
 SLICE = 500
 _SPLIT, _LETTER, _NUMBER = regex.compile(PIECES).findall, regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
