@@ -1,7 +1,7 @@
 """Quality classifier: linear support vectors on Naive Bayes features.
 
-A text's features are indicators of the n-grams it has: words, pairs of words and
-byte trigrams, hashed to a fixed number of places.  The log-count ratio of the two
+A text's features are indicators of the n-grams it has: words, pairs of words,
+byte trigrams and repeats of a word by the next 1, 2, 4 or 8 words, hashed to a fixed number of places.  The log-count ratio of the two
 classes is counted over all labelled training rows; indicators are scaled by it, and a
 linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of
 these rows (``fit_rows``).  Margins become scores from 0 to 1 by a logistic curve
@@ -47,7 +47,11 @@ class Features:
         b = np.frombuffer(text, np.uint8).astype(np.uint32)
         with np.errstate(over="ignore"):
             tri = np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:]).astype(U64) if len(b) > 2 else np.empty(0, U64)
-            found = np.concatenate([mix(tri + U64(1)), mix(words + U64(2)), mix(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:] + U64(3))])
+            again = np.concatenate([[False], words[1:] == words[:-1], [False]]) if len(words) else np.zeros(1, bool)
+            turns = np.flatnonzero(again[1:] != again[:-1])
+            longest = int((turns[1::2] - turns[::2]).max(initial=0))
+            stutter = np.array([n for n in (1, 2, 4, 8) if n <= longest], U64)
+            found = np.concatenate([mix(stutter), mix(tri + U64(1 << 32)), mix(words + U64(2)), mix(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:] + U64(3))])
         return np.unique(found >> U64(64 - 18)).astype(np.int64)
 
 
@@ -86,11 +90,9 @@ def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Weights (bias last) of min |w|^2/2 + sum of weighted hinge losses; rows are unit vectors of scaled indicators."""
+    """Weights (bias last) of min |w|^2/2 + cost * sum of hinge losses; rows are unit vectors of scaled indicators."""
     w = np.zeros(PLACES + 1)
     bias = PLACES
-    share = np.array([np.mean(y < 0), np.mean(y > 0)])
-    limit = np.where(y > 0, 0.5 / share[1], 0.5 / share[0]) * cost
     values = [_scaled(r, ratio) for r in rows]
     norms = np.array([v @ v + 1.0 for v in values])
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
@@ -99,7 +101,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
         for i in order.permutation(len(y)):
             r, v = rows[i], values[i]
             slope = y[i] * (w[r] @ v + w[bias]) - 1.0
-            after = min(max(alpha[i] - slope / norms[i], 0.0), limit[i])
+            after = min(max(alpha[i] - slope / norms[i], 0.0), cost)
             if after != alpha[i]:
                 step = (after - alpha[i]) * y[i]
                 w[r] += step * v
