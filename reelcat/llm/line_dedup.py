@@ -168,18 +168,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(at, b.schema.field(at), pa.array([x.decode() for x in _kept(b)], b.schema.field(at).type))
 
 
-def _with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
+def _with_bitmaps(docs: DataFrame, min_chars: int, *own) -> DataFrame:
+    """Columns ``own``, text and the bitmap of each row."""
     maps = _bitmaps(docs, min_chars).select("_id", "_th", F.col("n_lines").alias("_lines"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_map"))
-    return _keyed(docs).join(maps, ["_id", "_th"])
+    return _keyed(docs.select("doc_id", "text", *own)).join(maps, ["_id", "_th"])
 
 
 def dedup_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of what the bitmaps keep; one row per input row."""
-    both = _with_bitmaps(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").cast("long"), "text", "_lines", "_dropped", "_map")
+    both = _with_bitmaps(docs, min_chars).select(F.col("doc_id").cast("long"), "text", "_lines", "_dropped", "_map")
     return both.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with only their kept lines (null texts become empty); other columns as they are."""
-    both = _with_bitmaps(docs, min_chars).select(*docs.columns, "_lines", "_map")
-    return both.mapInArrow(_texts, both.schema).select(*docs.columns)
+    both = _with_bitmaps(docs, min_chars, F.struct("*").alias("_row")).select("_row", "text", "_lines", "_map")
+    return both.mapInArrow(_texts, both.schema).select(*((F.col("text") if c == "text" else F.col("_row")[c].alias(c)) for c in docs.columns))

@@ -155,12 +155,8 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents with each row repeated as often as the mix takes it; rows not taken go.
-
-    Rows are matched to the plan by id and text, without moving texts of rows that aren't taken
-    twice through more than one exchange.
-    """
+    """The documents with each row repeated as often as the mix takes it; rows not taken go."""
     plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.max("times").cast("int").alias("_times"))
-    keyed = docs.withColumns({"_h": F.xxhash64(F.col("text"))})
-    both = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))).where("_times > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_h"))
+    both = rows.join(plan.where("_times > 0"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -16,7 +16,7 @@ Nothing is capped.
 
 Defined cases: null and empty texts have no shingles and are copies of each other,
 with no links; a null id is smaller than any other and returned as null; rows that
-repeat are copies; rows that share an id are one document, in one class; an empty
+repeat are copies; rows that share an id are in one class (their links are counted for each text); an empty
 table gives an empty result.
 """
 
@@ -106,7 +106,7 @@ class _Node:
         self.rep, th = t.column("_rep").to_numpy(), t.column("_th").to_numpy()
         _, once = np.unique(np.stack([self.rep, th]), axis=1, return_index=True)  # a row that repeats counts once
         self.at = np.sort(once)
-        self.rep, labels, block = self.rep[self.at], labels[self.at], t.column("_block").to_numpy()[self.at]
+        self.rep, self.th, labels, block = self.rep[self.at], th[self.at], labels[self.at], t.column("_block").to_numpy()[self.at]
         node = np.int64(t.column("_node")[0].as_py()).astype(U64)
         tree = int(np.flatnonzero(labels[0] == node)[0])
         self.pairs = np.triu(np.ones((len(self.at),) * 2, bool), 1) & (self.rep[:, None] != self.rep)
@@ -189,7 +189,7 @@ def _verified(similarity: float):
             n = np.bincount(np.concatenate([i, j]), minlength=len(sets))
             root = _smallest_reached(len(sets), i, j, node.rep)
             has = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(node.rep[has]), pa.array(n[has]), pa.array(root[has])], names=["_rep", "_n", "_root"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (node.rep, node.th, n, root)], names=["_rep", "_th", "_n", "_root"])
 
     return run
 
@@ -222,15 +222,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     order = [x.split()[0] for x in names.split(", ")]
     meeting = settle(_grouped(rows.select(*order)).mapInArrow(_meeting, names))
     texts = keyed.select(F.col("_id").alias("_rep"), "_th", "text")
-    verified = settle(_grouped(meeting.join(texts, ["_rep", "_th"]).select(*order, "text")).mapInArrow(_verified(similarity), "_rep long, _n long, _root long"))
-    degrees = verified.groupBy("_rep").agg(F.sum("_n").alias("_links"))
+    verified = settle(_grouped(meeting.join(texts, ["_rep", "_th"]).select(*order, "text")).mapInArrow(_verified(similarity), "_rep long, _th long, _n long, _root long"))
+    degrees = verified.groupBy("_rep", "_th").agg(F.sum("_n").alias("_links"))
     roots = components(verified.select(F.col("_rep").alias("a"), F.col("_root").alias("b"))).select(F.col("node").alias("_rep"), F.col("root").alias("_class"))
-    known = (classes.select("_s1", "_s2", "_rep", "_copies").join(degrees, "_rep", "left").join(roots, "_rep", "left"))
+    known = (classes.select("_s1", "_s2", "_rep", "_th", "_copies").join(degrees, ["_rep", "_th"], "left").join(roots, "_rep", "left"))
 
     def real(c):
         return F.nullif(c, F.lit(NO_ID))
 
-    return signed.join(known, ["_s1", "_s2"]).select(
+    return signed.select("_id", "_s1", "_s2").join(settle(known.drop("_th")), ["_s1", "_s2"]).select(
         real(F.col("_id")).alias("doc_id"), real(F.coalesce("_class", "_rep")).alias("class_id"), F.coalesce("_links", F.lit(0)).alias("n_links"),
         real(F.col("_rep")).alias("copy_of"), F.col("_copies").alias("n_copies"))
 
@@ -247,4 +247,5 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest id of each class; of rows that repeat that id, one stays."""
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = found.select(ordered_id().alias("_id"), ordered_id("class_id").alias("_class")).where("_id = _class").select("_id").distinct()
-    return docs.withColumn("_id", ordered_id()).join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), ordered_id().alias("_id"))
+    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
