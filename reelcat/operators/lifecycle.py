@@ -30,8 +30,6 @@ from reelcat.functions import objects as O
 from reelcat.operators.scan import running
 
 STATUS_EVENTS = K.TASK_STATUSES
-# claimed batches up to this many rows are broadcast back onto the snapshot
-CLAIM_BROADCAST_MAX = 100_000
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -61,9 +59,7 @@ def claim_batch(tasks: DataFrame, n: int, now: str) -> tuple[DataFrame, DataFram
                .select("id", "video_url", "webhook_url", "created_at",
                        F.to_timestamp_ntz(F.lit(now)).alias("claimed_at")))
     ids = claimed.select("id", F.lit(True).alias("_claimed"))
-    if n <= CLAIM_BROADCAST_MAX:
-        ids = F.broadcast(ids)  # at most n rows: a proven bound
-    # larger batches: a plain join, planned by AQE from runtime sizes
+    # planned by AQE from runtime sizes
     snap = (tasks.join(ids, "id", "left")
             .withColumn("status", F.when(F.col("_claimed"), F.lit("processing")).otherwise(F.col("status")))
             .withColumn("updated_at", F.when(F.col("_claimed"), F.to_timestamp_ntz(F.lit(now)))
@@ -82,7 +78,8 @@ def stuck_tasks(tasks: DataFrame, now: str, limit_s: int = K.OVERALL_TIMEOUT_S)
     """Tasks still ``processing`` whose last update is more than ``limit_s`` before ``now``."""
     now_c = F.to_timestamp_ntz(F.lit(now))
     age = seconds_between(F.col("updated_at"), now_c)
-    return (tasks.where((F.col("status") == "processing") & (age > limit_s))
+    bound = now_c - F.make_dt_interval(secs=F.lit(limit_s))  # reaches the scan as a filter on the stored column
+    return (tasks.where((F.col("status") == "processing") & (F.col("updated_at") < bound) & (age > limit_s))
             .select("id", "status", "updated_at", age.alias("stuck_for_s")))
 
 

@@ -100,17 +100,13 @@ def warning_counts(warnings: DataFrame) -> DataFrame:
 
 
 def warning_flags(warnings: DataFrame) -> DataFrame:
-    """Per task: the warning array (vocabulary order) and ``partial_success``.
-
-    One ``max(flag)`` per known warning keeps the aggregate hash-based and the
-    array bounded by the vocabulary size.
-    """
-    flags = [F.max((F.col("warning") == w).cast("int")).alias(f"_w{i}") for i, w in enumerate(K.WARNINGS)]
-    arr = F.array_compact(F.array(*[F.when(F.col(f"_w{i}") == 1, F.lit(w)) for i, w in enumerate(K.WARNINGS)]))
-    partial = F.lit(False)
-    for w in K.PARTIAL_WARNINGS:
-        partial = partial | F.array_contains(F.col("warnings"), w)
-    return (warnings.groupBy("id").agg(*flags)
+    """Per task: its distinct warnings (known ones in vocabulary order, then any others
+    by name) and ``partial_success``.  A task's list is bounded by the warnings there are."""
+    known = F.array(*[F.lit(w) for w in K.WARNINGS])
+    own = F.col("_own")
+    arr = F.concat(F.filter(known, lambda w: F.array_contains(own, w)), F.array_sort(F.array_except(own, known)))
+    partial = F.arrays_overlap("warnings", F.array(*[F.lit(w) for w in K.PARTIAL_WARNINGS]))
+    return (warnings.groupBy("id").agg(F.collect_set("warning").alias("_own"))
             .select("id", arr.alias("warnings"))
             .withColumn("partial_success", partial))
 

@@ -74,15 +74,25 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
     carry = (edge.select(
                 "_part", *kcols, (kstruct == F.col("_first")).alias("_is_first"),
                 F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_n"),
-                *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_c_{s}") for s in sums],
+                *[F.sum(f"_t_{s}").over(before).alias(f"_c_{s}") for s in sums],
                 *[F.lag(f"_last_{c}").over(byk).alias(f"_cl_{c}") for c in lags])
              .where("_is_first").drop("_is_first"))
 
-    joined = local.join(F.broadcast(carry), ["_part", *kcols], "left")
+    # keys are matched null-safely: rows without a key are one key, as in a window
+    carry = carry.select(*[F.col(c).alias(f"_k_{c}") if c in ("_part", *kcols) else F.col(c) for c in carry.columns])
+    same = F.col("_part") == F.col("_k__part")
+    for c in kcols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    joined = local.join(F.broadcast(carry), same, "left")
+
+    def total(s: str) -> Column:
+        """Local sum plus carry; null only while no row so far had a value."""
+        return F.coalesce(F.col(f"_ls_{s}") + F.col(f"_c_{s}"), F.col(f"_ls_{s}"), F.col(f"_c_{s}"))
+
     out = joined.select(
         *[c for c in df.columns],
         (F.col("_lrn") + F.coalesce(F.col("_c_n"), F.lit(0))).cast("bigint").alias(rn_col),
-        *[(F.col(f"_ls_{s}") + F.coalesce(F.col(f"_c_{s}"), F.lit(0))).alias(s) for s in sums],
+        *[total(s).alias(s) for s in sums],
         *[F.when(F.col("_lrn") == 1, F.col(f"_cl_{c}")).otherwise(F.col(f"_lg_{c}")).alias(f"prev_{c}")
           for c in lags])
     return out

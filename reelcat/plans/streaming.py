@@ -22,9 +22,10 @@ PROGRESS_WINDOW = "1 hour"
 
 
 def _ntz(df: DataFrame) -> DataFrame:
-    """Event time was cast to ``timestamp`` for the watermark; report it as wall-clock ``timestamp_ntz``
-    (session zone UTC), the type of the input tables."""
-    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c)
+    """Event times are instants in UTC for the watermark; report them as zone-less times, the type of
+    the input tables, whatever the session zone."""
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return df.select(*[F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch).alias(c) if t == "timestamp" else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -81,7 +82,8 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
-    return _ntz(spark.read.parquet(J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox")))
+    out = J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox", foreach_batch=J.outbox_batch)
+    return _ntz(spark.read.parquet(out).drop("epoch"))
 
 
 QUERIES = {

@@ -42,6 +42,8 @@ def get_spark(master: str | None = None, app_name: str = "reelcat", **conf: str)
     """
     active = SparkSession.getActiveSession()
     if active is not None:
+        for key, value in conf.items():
+            active.conf.set(key, value)  # raises for settings that a running session can't change
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -6,10 +6,11 @@ it with ``trigger(availableNow=True)`` into a Parquet folder under the shared
 checkpoint directory.
 
 State is always bounded: every stateful step has an event-time watermark
-(``dropDuplicatesWithinWatermark``, windowed aggregation, interval join), and
-table-level facts that must hold for ever (the task primary key, the task
-snapshot) are enforced in ``foreachBatch`` against the stored table rather
-than in unbounded streaming state.
+(windowed aggregation, interval join), and table-level facts that must hold for
+ever (the task primary key, one delivery per event, the task snapshot) are
+enforced in ``foreachBatch`` against the stored table rather than in streaming
+state.  No row is dropped for being late in these: arrival order and file layout
+don't change what is accepted.
 """
 
 from __future__ import annotations
@@ -30,33 +31,46 @@ TERMINAL_OR_REQUEUE = ["queued", "completed", "failed"]
 
 # ---- sources ----------------------------------------------------------------
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers see them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream one table file of ``sf_dir`` (the folder is watched, one file name is matched)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream one table of ``sf_dir``: a folder of part files, or one file (its folder is watched, one file name matched)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    fs, p = _hadoop(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def utc_instant(col: str):
+    """A zone-less time read as UTC, whatever the session zone (watermarks reject zone-less times)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(col)))
 
 
-def task_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task events as a stream, event time cast to ``timestamp`` (watermarks reject NTZ)."""
-    ev = spark.sql(X.TASK_EVENTS_SQL, events=table_stream(spark, sf_dir, "events"))
-    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+def task_event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """Task events as a stream, event time as an instant in UTC."""
+    ev = spark.sql(X.TASK_EVENTS_SQL, events=table_stream(spark, sf_dir, "events", max_files))
+    return ev.withColumn("ts", utc_instant("ts"))
 
 
-def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = spark.sql(X.TASKS_SQL, orders=table_stream(spark, sf_dir, "orders"))
+def submission_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    tasks = spark.sql(X.TASKS_SQL, orders=table_stream(spark, sf_dir, "orders", max_files))
     subs = spark.sql(X.SUBMISSIONS_SQL, tasks=tasks)
-    return subs.withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
+    return subs.withColumn("submitted_at", utc_instant("submitted_at"))
 
 
 # ---- jobs -------------------------------------------------------------------
 
-def stream_submissions(subs: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Validated, hashed submissions, repeats of a task id within the watermark dropped."""
-    queued = I.submit_tasks(subs)
-    return queued.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
+def stream_submissions(subs: DataFrame) -> DataFrame:
+    """Validated, hashed submissions; ``new_tasks_batch`` keeps the first of each task id."""
+    return I.submit_tasks(subs)
 
 
 def stream_failure_rate(events: DataFrame, duration: str = "1 day", slide: str | None = None,
@@ -122,11 +136,9 @@ def stream_progress(events: DataFrame, window: str = "1 hour", watermark: str =
                     "bytes", "n_chunks", F.round(F.col("bytes") / secs / 1024, 6).alias("kbps")))
 
 
-def stream_outbox(events: DataFrame, watermark: str = "10 minutes",
-                  max_attempts: int = K.WEBHOOK_MAX_ATTEMPTS) -> DataFrame:
-    """One outbox row per delivery attempt for each new terminal event, emitted once."""
-    term = (events.where(F.col("event").isin(K.TERMINAL_STATUSES)).withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(["event_id"]))
+def stream_outbox(events: DataFrame, max_attempts: int = K.WEBHOOK_MAX_ATTEMPTS) -> DataFrame:
+    """One outbox row per delivery attempt for each terminal event; ``outbox_batch`` writes each event's rows once."""
+    term = events.where(F.col("event").isin(K.TERMINAL_STATUSES))
     att = F.explode(F.sequence(F.lit(1), F.lit(max_attempts))).alias("attempt")
     delay = F.pow(F.lit(2), F.col("attempt") - 1).cast("bigint") - 1
     return (term.select("task_id", "event_id", "event", "ts", att)
@@ -154,11 +166,24 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", foreach_batch=N
     return out
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # the folder does not exist yet
-        return None
+def _versions(spark: SparkSession, out: str, name: str, before: int | None = None) -> list[int]:
+    """Numbers of the complete ``name=<n>`` folders of ``out`` (those with Spark's success mark), ascending."""
+    fs, p = _hadoop(spark, out)
+    if not fs.exists(p):
+        return []
+    found = []
+    for f in fs.listStatus(p):
+        label = f.getPath().getName()
+        if label.startswith(f"{name}=") and fs.exists(_hadoop(spark, f"{out}/{label}/_SUCCESS")[1]):
+            found.append(int(label.partition("=")[2]))
+    return sorted(n for n in found if before is None or n < before)
+
+
+def _earlier_epochs(spark: SparkSession, out: str, epoch: int, schema: str) -> DataFrame | None:
+    """Columns ``schema`` of what complete earlier epochs wrote; nothing if there are none.  A broken file raises."""
+    found = _versions(spark, out, "epoch", epoch)
+    # with a schema, epochs that wrote no row are read as such
+    return spark.read.schema(schema).parquet(*(f"{out}/epoch={n}" for n in found)) if found else None
 
 
 # stored task ids are partitioned by a hash bucket of the id, so a batch reads only its buckets
@@ -178,9 +203,9 @@ def write_known_tasks(tasks: DataFrame, path: str) -> str:
 
 def new_tasks_batch(known_path: str):
     """``foreachBatch`` body for T1: keep tasks whose id is neither stored nor
-    written by an earlier epoch (the primary key holds for ever), and write
-    them to ``out/epoch=<n>/id_bucket=<b>/``.  Rewriting an epoch on replay is
-    idempotent.
+    written by an earlier epoch (the primary key holds for ever), of repeats within the
+    batch the one submitted first, and write them to ``out/epoch=<n>/id_bucket=<b>/``.
+    Rewriting an epoch on replay is idempotent.
 
     The batch's distinct id buckets (at most ``ID_BUCKETS`` numbers) prune the
     stored table and the earlier epochs to the partitions that can hold a
@@ -188,21 +213,31 @@ def new_tasks_batch(known_path: str):
     """
     def body(batch: DataFrame, epoch: int, out: str) -> None:
         spark = batch.sparkSession
-        b = batch.withColumn("id_bucket", id_bucket()).persist()
+        rest = F.struct(*(c for c in batch.columns if c != "id"))
+        first = batch.groupBy("id").agg(F.min_by(rest, F.struct("created_at", "video_url")).alias("_first")).select("id", "_first.*")
+        b = first.select(*batch.columns, id_bucket().alias("id_bucket")).persist()
         try:
             buckets = [r[0] for r in b.select("id_bucket").distinct().collect()]
-            known = spark.read.parquet(known_path).where(F.col("id_bucket").isin(buckets)).select("id")
+            known = spark.read.schema("id string, id_bucket int").parquet(known_path).where(F.col("id_bucket").isin(buckets)).select("id")
             fresh = b.join(known, "id", "left_anti")
-            earlier = _read_or_none(spark, out)
+            earlier = _earlier_epochs(spark, out, epoch, "id string, id_bucket int")
             if earlier is not None:
-                prior = earlier.where((F.col("epoch") < epoch) & F.col("id_bucket").isin(buckets)).select("id")
-                fresh = fresh.join(prior, "id", "left_anti")
+                fresh = fresh.join(earlier.where(F.col("id_bucket").isin(buckets)).select("id"), "id", "left_anti")
             fresh.write.mode("overwrite").partitionBy("id_bucket").parquet(f"{out}/epoch={epoch}")
         finally:
             b.unpersist()
     return body
 
 
+def outbox_batch(batch: DataFrame, epoch: int, out: str) -> None:
+    """``foreachBatch`` body for T6: rows of events that no earlier epoch wrote, each once."""
+    fresh = batch.dropDuplicates(["event_id", "attempt"])
+    earlier = _earlier_epochs(batch.sparkSession, out, epoch, "event_id long")
+    if earlier is not None:
+        fresh = fresh.join(earlier.select("event_id").distinct(), "event_id", "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
 def snapshot_merge_batch(batch: DataFrame, epoch: int, out: str) -> None:
     """``foreachBatch`` body for T2: merge a batch of status events into a versioned snapshot.
 
@@ -214,20 +249,17 @@ def snapshot_merge_batch(batch: DataFrame, epoch: int, out: str) -> None:
     """
     spark = batch.sparkSession
     rows = batch.select("task_id", "status", "updated_at", "event_id")
-    prior = _read_or_none(spark, out)
-    if prior is not None:
-        prev_v = prior.where(F.col("v") < epoch).agg(F.max("v")).first()[0]
-        if prev_v is not None:
-            rows = prior.where(F.col("v") == prev_v).drop("v").unionByName(rows)
+    before = _versions(spark, out, "v", epoch)
+    if before:
+        rows = spark.read.parquet(f"{out}/v={before[-1]}").unionByName(rows)
     last = F.max_by(F.struct("status", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
     merged = rows.groupBy("task_id").agg(last.alias("l")).select("task_id", "l.status", "l.updated_at", "l.event_id")
     merged.write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
 
 def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """The newest complete snapshot version (a scalar subquery picks it)."""
-    allv = spark.read.parquet(out)
-    return allv.where(F.col("v") == allv.select(F.max("v")).scalar()).drop("v")
+    """The newest complete snapshot version."""
+    return spark.read.parquet(f"{out}/v={_versions(spark, out, 'v')[-1]}")
 
 
 def timeout_decisions_batch(history, max_retries: int = K.MAX_RETRIES):

@@ -275,12 +275,12 @@ def test_url_match_case_flag(spark):
     assert got.exact is False
 
 
-def test_large_claim_batches_are_not_broadcast(spark):
+def test_claim_batches_are_planned_alike_at_every_size(spark):
     import contextlib
     import io
     t = X.tasks(spark, SF_SMALL)
     small = L.claim_batch(t, 10, "1998-08-03 00:00:00")[1]
-    big = L.claim_batch(t, L.CLAIM_BROADCAST_MAX + 1, "1998-08-03 00:00:00")[1]
+    big = L.claim_batch(t, 100_001, "1998-08-03 00:00:00")[1]
 
     def hinted(df):
         buf = io.StringIO()
@@ -288,5 +288,5 @@ def test_large_claim_batches_are_not_broadcast(spark):
             df.explain(True)
         return "BROADCAST" in buf.getvalue().upper().split("== OPTIMIZED LOGICAL PLAN ==")[0]
 
-    assert hinted(small) and not hinted(big)
+    assert not hinted(small) and not hinted(big)
     assert big.where("status = 'processing'").count() == t.where("status in ('queued', 'processing')").count()

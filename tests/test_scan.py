@@ -52,3 +52,14 @@ def test_exact_percentiles_match_builtin(spark):
     for r in ref.collect():
         for n in ps:
             assert abs(g[r.k][n] - r[n]) < 1e-9, (r.k, n, g[r.k][n], r[n])
+
+
+def test_null_keys_and_null_values_equal_a_plain_window(spark):
+    rows = [(None if i % 3 == 0 else "k" if i % 3 == 1 else f"u{i}", i, None if i < 600 or i % 5 == 0 else i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    got = running(df, ["k"], ["i"], sums={"s": F.col("v")}, lags=["v"], n_parts=9)
+    w = Window.partitionBy("k").orderBy("i")
+    want = df.select("k", "i", "v", F.row_number().over(w).cast("bigint").alias("rn"), F.sum("v").over(w).alias("s"), F.lag("v").over(w).alias("prev_v"))
+    cols = ["k", "i", "rn", "s", "prev_v"]
+    key = lambda r: r["i"]
+    assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)

@@ -1,5 +1,6 @@
 """Streams (availableNow) equal their batch twins on the rows the watermark closed."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelcat.operators import identity as I
@@ -7,7 +8,8 @@ from reelcat.operators import lifecycle as L
 from reelcat.operators import metrics as M
 from reelcat.plans import streaming as PS
 from reelcat.sources import fixtures as X
-from tests.conftest import SF_MID
+from reelcat.streaming import jobs as J
+from tests.conftest import SF_MID, SF_SMALL
 
 
 def _same(a, b):
@@ -90,3 +92,60 @@ def test_new_tasks_batch_keeps_primary_key_across_epochs(spark):
     accepted, _ = I.dedupe_submissions(X.submissions(spark, SF_MID), X.tasks(spark, SF_MID))
     assert stored.where("epoch = 1").count() == 0
     assert _same(stored.select("id"), accepted.select("id"))
+
+
+# ---- input layout, broken state, session zone --------------------------------
+
+def _layouts(spark, tmp_path, name):
+    """The same table as one file, and as a folder of four files dealt by hash."""
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir(), many.mkdir()
+    (one / f"{name}.parquet").symlink_to(f"{SF_SMALL}/{name}.parquet")
+    spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(4).write.parquet(str(many / f"{name}.parquet"))
+    return str(one), str(many)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_outbox_is_the_same_for_one_file_and_four(spark, tmp_path):
+    found = []
+    for sf, files in zip(_layouts(spark, tmp_path, "events"), (None, 1)):
+        out = J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf, files)), "t-outbox", foreach_batch=J.outbox_batch)
+        found.append(_rows(spark.read.parquet(out).select("event_id", "attempt", "send_after")))
+    assert found[0] == found[1]
+    assert len(found[0]) == M.event_outbox(X.task_events(spark, SF_SMALL)).count()
+
+
+def test_submissions_are_the_same_for_one_file_and_four(spark, tmp_path):
+    known = J.write_known_tasks(X.tasks(spark, SF_SMALL).limit(0), J.scratch(spark, "t-known"))
+    found = []
+    for sf, files in zip(_layouts(spark, tmp_path, "orders"), (None, 1)):
+        out = J.run_to_table(J.stream_submissions(J.submission_stream(spark, sf, files)), "t-submissions", foreach_batch=J.new_tasks_batch(known))
+        found.append(_rows(spark.read.parquet(out).select("id", "status")))
+    assert found[0] == found[1]
+    assert len({r[0] for r in found[0]}) == len(found[0])
+
+
+def test_task_state_from_four_files_and_a_broken_version(spark, tmp_path):
+    _, many = _layouts(spark, tmp_path, "events")
+    out = J.run_to_table(J.stream_task_state(J.task_event_stream(spark, many, 1)), "t-state", foreach_batch=J.snapshot_merge_batch)
+    state = J.latest_snapshot(spark, out)
+    batch = L.latest_task_state(X.task_events(spark, SF_SMALL))
+    assert _rows(state.select("task_id", "event_id")) == _rows(batch.select("task_id", "event_id"))
+    bad = str(tmp_path / "state")
+    (tmp_path / "state" / "v=0").mkdir(parents=True)
+    (tmp_path / "state" / "v=0" / "part-0.parquet").write_bytes(b"not parquet")
+    (tmp_path / "state" / "v=0" / "_SUCCESS").write_bytes(b"")
+    with pytest.raises(Exception):
+        J.snapshot_merge_batch(state.limit(1), 1, bad)
+
+
+def test_failure_rate_does_not_follow_the_session_zone(spark):
+    want = _rows(PS.q_stream_failure_rate(spark, SF_SMALL))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert _rows(PS.q_stream_failure_rate(spark, SF_SMALL)) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
