@@ -183,7 +183,7 @@ def _earlier_epochs(spark: SparkSession, out: str, epoch: int, schema: str) -> D
     """Columns ``schema`` of what complete earlier epochs wrote; nothing if there are none.  A broken file raises."""
     found = _versions(spark, out, "epoch", epoch)
     # with a schema, epochs that wrote no row are read as such
-    return spark.read.schema(schema).parquet(*(f"{out}/epoch={n}" for n in found)) if found else None
+    return spark.read.schema(schema).option("basePath", out).parquet(*(f"{out}/epoch={n}" for n in found)) if found else None
 
 
 # stored task ids are partitioned by a hash bucket of the id, so a batch reads only its buckets
