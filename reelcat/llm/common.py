@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -30,6 +31,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that written tables have replaced, instead of whenever the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ordered_id(col: str = "doc_id") -> Column:
     """Document id for comparisons; a null id counts as smaller than any other."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))

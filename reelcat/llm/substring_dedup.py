@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelcat.llm.common import BASES, U64, Rolling, WordHashes, column, mix, ordered_id, raw, settle
+from reelcat.llm.common import BASES, U64, Rolling, WordHashes, column, mix, ordered_id, raw, release, settle
 
 WINDOW = 50
 GRAM = 10
@@ -153,11 +153,13 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     several = index.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor", F.lit(True).alias("_several"))
     index = index.join(settle(several), "_anchor", "left").select("_h1", "_h2", "_first", "_several")
     parsed = settle(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
+    release(docs.sparkSession)
     whole = parsed.where("_whole").select("_id", "_place")
     edges = parsed.where("not _whole").groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
     windows = settle(keyed.join(edges, ["_id", "_th"]).select("_id", "_th", "text", "_places")
                      .mapInArrow(_windows, "_w1 long, _w2 long, _id long, _place long"))
     firsts = settle(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_w1", "_w2", "_first"))
+    release(docs.sparkSession)
     single = windows.join(firsts, ["_w1", "_w2"]).where("_id > _first").select("_id", "_place")
     return whole.unionByName(single).groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
 
