@@ -7,11 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from reelcat.plans import all_queries
 from reelcat.sources import fixtures as X
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
+QUERIES = all_queries()
 
 
 def plan_of(df) -> str:
