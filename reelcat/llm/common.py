@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``settle``, as a compressed Parquet table: a checkpoint's rows take about twice the space."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that written tables have replaced, instead of whenever the driver next collects garbage."""
     gc.collect()

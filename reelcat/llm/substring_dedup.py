@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelcat.llm.common import BASES, U64, Rolling, WordHashes, column, mix, ordered_id, raw, release, settle
+from reelcat.llm.common import BASES, U64, Rolling, WordHashes, column, mix, ordered_id, raw, release, written
 
 WINDOW = 50
 GRAM = 10
@@ -146,19 +146,19 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     found = keyed.select("_id", "_th", "text").mapInArrow(_blocks, "_anchor long, _id long, _place long, _h1 long, _h2 long")
     # anchors of at least two documents; tables to be joined back are written first, so that both
     # sides of each join are exchanges and a frequent key's rows can be split over tasks
-    anchors = settle(found.groupBy("_anchor").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_anchor"))
-    shared = settle(found.join(anchors, "_anchor", "left_semi"))
+    anchors = written(found.groupBy("_anchor").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_anchor"))
+    shared = written(found.join(anchors, "_anchor", "left_semi"))
     # the index: each distinct block once, with the smallest document that holds it
-    index = settle(shared.groupBy("_h1", "_h2", "_anchor").agg(F.min("_id").alias("_first")))
+    index = written(shared.groupBy("_h1", "_h2", "_anchor").agg(F.min("_id").alias("_first")))
     several = index.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor", F.lit(True).alias("_several"))
-    index = index.join(settle(several), "_anchor", "left").select("_h1", "_h2", "_first", "_several")
-    parsed = settle(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
+    index = index.join(written(several), "_anchor", "left").select("_h1", "_h2", "_first", "_several")
+    parsed = written(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
     release(docs.sparkSession)
     whole = parsed.where("_whole").select("_id", "_place")
     edges = parsed.where("not _whole").groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
-    windows = settle(keyed.join(edges, ["_id", "_th"]).select("_id", "_th", "text", "_places")
+    windows = written(keyed.join(edges, ["_id", "_th"]).select("_id", "_th", "text", "_places")
                      .mapInArrow(_windows, "_w1 long, _w2 long, _id long, _place long"))
-    firsts = settle(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_w1", "_w2", "_first"))
+    firsts = written(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_w1", "_w2", "_first"))
     release(docs.sparkSession)
     single = windows.join(firsts, ["_w1", "_w2"]).where("_id > _first").select("_id", "_place")
     return whole.unionByName(single).groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
