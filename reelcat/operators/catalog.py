@@ -69,23 +69,30 @@ def _last_slot(ftype: str, fields=SLOT_FIELDS) -> Column:
 
 
 def video_catalog(files: DataFrame, slots=(*K.FILE_TYPES, K.UNKNOWN_FILE_TYPE)) -> DataFrame:
-    """One row per processing id: created_at, object count and the last object per file type.
+    """One row per processing id: created_at, object count, the last object of each type
+    in ``slots`` as columns, and ``files``: the last object of every type there is, as a JSON
+    array in type order.
 
-    When the listing carries no content type, it is a function of the key, so
-    it is derived once per winning key after the aggregate instead of being
-    carried through every aggregation buffer.
+    Objects are first reduced to one row per id and type, with a map-side combine, so the
+    second aggregation sees at most as many rows of an id as it has types.  When the
+    listing carries no content type, it is derived once per winning key.
     """
     given = "content_type" in files.columns
     parsed = parse_listing(files, with_content_type=False)
     carried = SLOT_FIELDS if given else ("key", "size")
-    aggs = [F.min("last_modified").alias("created_at"), F.count(F.lit(1)).alias("n_files")]
-    aggs += [_last_slot(t, carried).alias(f"_{t}") for t in slots]
-    grouped = parsed.groupBy(F.col("pid").alias("processing_id")).agg(*aggs)
-    out = ["processing_id", "created_at", "n_files"]
-    for t in slots:
-        out += [F.col(f"_{t}.key").alias(f"{t}_key"), F.col(f"_{t}.size").alias(f"{t}_size"),
-                (F.col(f"_{t}.content_type") if given else O.content_type(f"_{t}.key")).alias(f"{t}_content_type")]
-    return grouped.select(*out)
+    last = F.max_by(F.struct(*carried), F.struct("last_modified", "key"))
+    per_type = parsed.groupBy("pid", "ftype").agg(F.min("last_modified").alias("created_at"), F.count(F.lit(1)).alias("n"), last.alias("o"))
+    kind = F.col("o.content_type") if given else O.content_type("o.key")
+    entry = F.struct(F.col("ftype").alias("file_type"), "o.key", "o.size", kind.alias("content_type"))
+    grouped = per_type.groupBy(F.col("pid").alias("processing_id")).agg(
+        F.min("created_at").alias("created_at"), F.sum("n").alias("n_files"), F.sort_array(F.collect_list(entry)).alias("_files"))
+
+    def slot(t: str) -> Column:
+        return F.get(F.filter("_files", lambda f: f["file_type"] == t), F.lit(0))
+
+    return grouped.select("processing_id", "created_at", "n_files",
+                          *[slot(t)[f].alias(f"{t}_{f}") for t in slots for f in SLOT_FIELDS],
+                          F.to_json("_files", {"ignoreNullFields": "false"}).alias("files"))
 
 
 def check_page(page: int, limit: int, max_limit: int = K.PAGE_MAX_LIMIT) -> tuple[int, int]:
@@ -210,7 +217,8 @@ def delete_videos(files: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
 
 def object_exists(files: DataFrame, probes: DataFrame) -> DataFrame:
     """Exact-key existence for each distinct probe key (no prefix matching)."""
-    present = files.select("key").distinct().withColumn("hit", F.lit(True))
-    return (probes.select("key").distinct()
-            .join(present, "key", "left")
+    asked = probes.select("key").distinct()
+    # only objects that are asked for are made distinct
+    present = files.select("key").join(asked, "key", "left_semi").distinct().withColumn("hit", F.lit(True))
+    return (asked.join(present, "key", "left")
             .select("key", F.coalesce(F.col("hit"), F.lit(False)).alias("exists")))

@@ -6,9 +6,7 @@ Scale notes
 -----------
 * All metrics are grouped aggregates with map-side combine; conditional
   counts are ``sum(cast(cond))`` so they stay in the hash aggregate.
-* Warning lists per task are built from one boolean flag per known warning
-  (a fixed vocabulary), so the per-task array is bounded by the vocabulary
-  size, not by the data.
+* Warning lists per task hold each distinct warning once.
 * Percentiles: exact ones are computed by rank over a range-partitioned sort
   (no group's values are held in one task); ``percentile_approx`` is the
   one-pass bounded-sketch alternative.
@@ -22,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelcat import constants as K
+from reelcat import schemas as S
+from reelcat.functions import objects as O
 from reelcat.functions import urls as U
 from reelcat.operators.lifecycle import seconds_between, task_error_text
 
@@ -94,6 +94,25 @@ def timeout_counts(tasks: DataFrame) -> DataFrame:
                  F.sum(is_timeout(failed).cast("bigint")).alias("n_timeouts")))
 
 
+def timeout_stage_counts(parsed: DataFrame) -> DataFrame:
+    """Timeouts in a parsed log per day and stage: the last stage the task had logged before
+    (null when it had logged none).
+
+    Each task's stage lines are numbered by the segmented scan; a timeout then joins the
+    one stage line with the number reached so far, so a task's lines are never held in one task.
+    """
+    from reelcat.operators.scan import running
+    lines = parsed.where(F.col("stage").isNotNull() | (F.col("pattern") == "timeout"))
+    seen = running(lines.select("task_tag", "logged_at", "event_id", "stage", "pattern"), ["task_tag"], ["logged_at", "event_id"],
+                   sums={"n_stages": F.col("stage").isNotNull().cast("bigint")})
+    stages = seen.where(F.col("stage").isNotNull()).select(F.col("task_tag").alias("_tag"), F.col("n_stages").alias("_n"), F.col("stage").alias("_stage"))
+    late = seen.where(F.col("pattern") == "timeout").select("task_tag", "n_stages", "logged_at")
+    hit = F.col("task_tag").eqNullSafe(F.col("_tag")) & (F.col("n_stages") == F.col("_n"))
+    return (late.join(stages, hit, "left")
+            .groupBy(F.date_trunc("day", "logged_at").cast("timestamp_ntz").alias("day"), F.col("_stage").alias("stage"))
+            .agg(F.count(F.lit(1)).alias("n_timeouts")))
+
+
 def warning_counts(warnings: DataFrame) -> DataFrame:
     """Histogram of warnings: tasks per warning."""
     return warnings.groupBy("warning").agg(F.countDistinct("id").alias("n_tasks"))
@@ -121,25 +140,42 @@ def partial_share(tasks: DataFrame, warnings: DataFrame) -> DataFrame:
                  ).withColumn("partial_share", _share(F.col("n_partial"), F.col("n_completed")))
 
 
-def result_documents(tasks: DataFrame, slots: DataFrame, warnings: DataFrame) -> DataFrame:
+def result_documents(tasks: DataFrame, slots: DataFrame, warnings: DataFrame, videos: DataFrame | None = None,
+                     min_parts: int = 5) -> DataFrame:
     """Assemble the result document of each terminal task.
 
     ``slots`` has one row per task ``processing_id`` with ``{video,metadata,thumbnail}_{key,url,size}``
-    (see ``catalog.video_details``).  Completed tasks get the success form,
-    failed tasks the failure form.  Returns flat columns plus ``document`` (JSON).
+    (see ``catalog.video_details``); ``videos`` has ``id`` and the info ``record`` (``schemas.MEDIA_INFO``).
+    Completed tasks get the success form, failed tasks the failure form.
+
+    A document whose video has the direct path's file name (it starts with the task id) is the direct
+    form: ``direct_processing`` is true, its record has the formats instead of the file fields, and
+    ``storage`` names only what was stored.  Other missing members are written as null.  The
+    original id follows ``identity.original_ids`` (the stored ``base_id`` if ``tasks`` has ``result``).
+    Returns flat columns plus ``document`` (JSON).
     """
     term = tasks.where(F.col("status").isin(K.TERMINAL_STATUSES))
     flags = warning_flags(warnings)
     s = slots.select(F.col("processing_id").alias("id"),
                      *[F.col(f"{t}_{f}").alias(f"s_{t}_{f}") for t in K.FILE_TYPES for f in ("key", "url", "size")])
     j = term.join(s, "id", "left").join(flags, "id", "left")
+    if videos is None:
+        j = j.withColumn("_video", F.lit(None).cast(S.MEDIA_INFO))
+    else:
+        j = j.join(videos.select("id", F.col("record").cast(S.MEDIA_INFO).alias("_video")), "id", "left")
     ok = F.col("status") == "completed"
+    direct = F.coalesce(O.base_name("s_video_key").startswith(F.concat("id", F.lit("_"))), F.lit(False))
+    stored = F.get_json_object("result", "$.base_id") if "result" in tasks.columns else F.lit(None).cast("string")
+    own = F.when(U.is_composite("id", min_parts), F.coalesce(stored, U.processing_id("id", min_parts))).otherwise(F.col("id"))
 
     def slot(t: str) -> Column:
         return F.when(F.col(f"s_{t}_key").isNotNull(),
                       F.struct(F.col(f"s_{t}_key").alias("key"), F.col(f"s_{t}_url").alias("url"),
                                F.col(f"s_{t}_size").alias("size")))
 
+    def record(*extra: str) -> Column:
+        return F.when(F.col("_video").isNotNull(), F.struct(*[F.col("_video")[f].alias(f) for f in (*S.SCALAR_NAMES, *extra)]))
+
     warns = F.coalesce(F.col("warnings"), F.array().cast("array<string>"))
     partial = F.coalesce(F.col("partial_success"), F.lit(False))
     match = U.url_match("video_url", "processed_url")
@@ -147,26 +183,33 @@ def result_documents(tasks: DataFrame, slots: DataFrame, warnings: DataFrame) ->
     details = task_error_text(term)
     # missing members are written as null, as the service's JSON documents do
     keep_nulls = {"ignoreNullFields": "false"}
-    success_doc = F.to_json(F.struct(
-        F.lit(True).alias("success"), F.col("id").alias("processing_id"), F.col("base_id").alias("original_id"),
-        F.col("video_url").alias("original_url"), F.col("processed_url").alias("processed_url"),
-        match.alias("url_match"),
-        F.struct(slot("video").alias("video"), slot("metadata").alias("metadata"),
-                 slot("thumbnail").alias("thumbnail")).alias("storage"),
-        warns.alias("warnings"), partial.alias("partial_success")), keep_nulls)
+    storage = F.create_map(*[x for t in K.FILE_TYPES for x in (F.lit(t), slot(t))])
+
+    def success(video: Column, objects: Column, *more: Column) -> Column:
+        return F.to_json(F.struct(
+            F.lit(True).alias("success"), F.col("id").alias("processing_id"), own.alias("original_id"),
+            F.col("video_url").alias("original_url"), F.col("processed_url").alias("processed_url"),
+            match.alias("url_match"), video.alias("video_info"), objects.alias("storage"),
+            warns.alias("warnings"), partial.alias("partial_success"), *more), keep_nulls)
+
     failure_doc = F.to_json(F.struct(
         F.lit(False).alias("success"), F.col("id").alias("processing_id"), err.alias("error"),
         details.alias("error_details")), keep_nulls)
+    direct_doc = success(record("formats"), F.map_filter(storage, lambda _, o: o.isNotNull()), F.lit(True).alias("direct_processing"))
     return j.select(
         "id", ok.alias("success"),
+        F.when(ok, own).alias("original_id"),
         F.when(ok, match).alias("url_match"),
+        F.when(ok, F.col("_video.title")).alias("video_title"),
         F.when(ok, F.col("s_video_key")).alias("video_key"),
         F.when(ok, F.col("s_metadata_key")).alias("metadata_key"),
         F.when(ok, F.col("s_thumbnail_key")).alias("thumbnail_key"),
         F.when(ok, F.size(warns)).cast("bigint").alias("n_warnings"),
         F.when(ok, partial).alias("partial_success"),
+        F.when(ok, direct).alias("direct_processing"),
         F.when(~ok, err).alias("error"),
-        F.when(ok, success_doc).otherwise(failure_doc).alias("document"))
+        F.when(~ok, failure_doc).when(direct, direct_doc)
+        .otherwise(success(record("file_size", "file_extension"), storage)).alias("document"))
 
 
 def webhook_outbox(docs: DataFrame, tasks: DataFrame, max_attempts: int = K.WEBHOOK_MAX_ATTEMPTS) -> DataFrame:

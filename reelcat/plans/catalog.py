@@ -70,6 +70,12 @@ def q_delete_remaining(spark: SparkSession, sf: str) -> DataFrame:
     return remaining
 
 
+def q_deleted_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys that a deletion removes."""
+    _, _, deleted = C.delete_videos(X.files(spark, sf), delete_request(spark, sf))
+    return deleted.select("processing_id", "key")
+
+
 def exists_probes(files: DataFrame) -> DataFrame:
     """Probe keys (one scan): every stored key, its extension-less prefix, and a
     sibling that does not exist (``key + '.bak'``)."""
@@ -91,12 +97,16 @@ QUERIES = {
     "upsert_objects": q_upsert_objects,
     "delete_videos": q_delete_videos,
     "delete_remaining": q_delete_remaining,
+    "deleted_objects": q_deleted_objects,
     "object_exists": q_object_exists,
 }
 
 
 # --- oracle -------------------------------------------------------------------
 
+_LASTS = """lasts AS (
+ SELECT pid, ftype, key, size, content_type FROM parsed
+ QUALIFY row_number() OVER (PARTITION BY pid, ftype ORDER BY last_modified DESC, key DESC) = 1)"""
 _PARSED = f"""parsed AS (
  SELECT {sql_key_pid('key')} AS pid, key, size, last_modified, coalesce(file_type, 'unknown') AS ftype,
   {sql_content_type('key')} AS content_type
@@ -113,7 +123,9 @@ def _catalog_sql() -> str:
     for t in SLOTS:
         cols += _slot_sql(t, C.SLOT_FIELDS)
     return (f"SELECT pid AS processing_id, min(last_modified) AS created_at, count(*) AS n_files,\n "
-            + ",\n ".join(cols) + "\nFROM parsed WHERE pid IS NOT NULL GROUP BY pid")
+            + ",\n ".join(cols) + ",\n (SELECT to_json(list(struct_pack(file_type := ftype, key := key, size := size, content_type := content_type) "
+            "ORDER BY ftype))::VARCHAR FROM lasts WHERE lasts.pid = parsed.pid) AS files"
+            "\nFROM parsed WHERE pid IS NOT NULL GROUP BY pid")
 
 
 def _details_sql() -> str:
@@ -142,8 +154,8 @@ _DELETE_IDS = """req AS (
  WHERE pid IS NOT NULL)"""
 
 ORACLE = {
-    "video_catalog": with_views(["files"], f"WITH {_PARSED}\n{_catalog_sql()}"),
-    "video_listing": with_views(["files"], f"""WITH {_PARSED}, cat AS ({_catalog_sql()}),
+    "video_catalog": with_views(["files"], f"WITH {_PARSED}, {_LASTS}\n{_catalog_sql()}"),
+    "video_listing": with_views(["files"], f"""WITH {_PARSED}, {_LASTS}, cat AS ({_catalog_sql()}),
  tot AS (SELECT count(*) AS total FROM cat)
 SELECT cat.*, cast({(LISTING_PAGE - 1) * LISTING_LIMIT} + row_number() OVER (ORDER BY created_at DESC, processing_id) AS bigint) AS position,
  cast({LISTING_PAGE} AS bigint) AS page, cast({LISTING_LIMIT} AS bigint) AS page_limit, (SELECT total FROM tot) AS total,
@@ -172,6 +184,8 @@ FROM req LEFT JOIN c ON req.pid = c.pid"""),
     "delete_remaining": with_views(["files", "tasks"], f"""WITH {_DELETE_IDS}
 SELECT processing_id, key, file_type, size, last_modified FROM files
 WHERE {sql_key_pid('key')} IS NULL OR {sql_key_pid('key')} NOT IN (SELECT pid FROM req)"""),
+    "deleted_objects": with_views(["files", "tasks"], f"""WITH {_DELETE_IDS}
+SELECT processing_id, key FROM files WHERE {sql_key_pid('key')} IN (SELECT pid FROM req)"""),
     "object_exists": with_views(["files"], """WITH probes AS (
   SELECT key FROM files
   UNION ALL SELECT regexp_replace(key, '\\.[^./]*$', '') AS key FROM files
@@ -180,59 +194,74 @@ SELECT DISTINCT p.key, p.key IN (SELECT key FROM files) AS "exists" FROM probes
 }
 
 
-# --- object files (binaryFile source) ------------------------------------------
+# --- stored objects ------------------------------------------------------------
 
-OBJECT_NAME = "index.html"
 _STAGED: dict = {}
 
 
-def _staged_pages(spark: SparkSession, sf: str) -> str:
-    """Store every page body as an object file, once per application and input folder."""
+def page_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Three objects per page: its HTML as the video, an info document, its URL as the thumbnail.
+    Ids are text with leading zeros."""
+    from reelcat.sources.tables import read_table
+    pid = F.concat(F.lit("00"), F.col("page_id").cast("string"))
+    info = F.to_json(F.struct(pid.alias("id"), F.col("url").alias("webpage_url")), {"ignoreNullFields": "false"})
+
+    def one(file_type: str, suffix: str, body) -> F.Column:
+        meta = F.create_map(F.lit("processing_id"), pid, F.lit("file_type"), F.lit(file_type))
+        return F.struct(F.concat(pid, F.lit(suffix)).alias("file_name"), body.cast("binary").alias("content"), meta.alias("metadata"))
+
+    three = F.array(one("video", ".mp4", F.col("html")), one("metadata", K.METADATA_SUFFIX, info),
+                    one("thumbnail", ".jpg", F.col("url")))
+    return (read_table(spark, sf, "pages").select(pid.alias("processing_id"), F.explode(three).alias("o"))
+            .select("processing_id", "o.*"))
+
+
+def _stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored objects of all pages, written once per application and input folder."""
     from reelcat.sources import objects as SO
     from reelcat.sources.media import scratch_path
-    from reelcat.sources.tables import read_table
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STAGED:
-        _STAGED[key] = SO.stage_objects(read_table(spark, sf, "pages"), "page_id", "html",
-                                        scratch_path(spark, "objects"))
-    return _STAGED[key]
+        _STAGED[key] = SO.store_objects(SO.new_objects(page_objects(spark, sf), BUCKET), scratch_path(spark, "objects"))
+    return spark.read.parquet(_STAGED[key])
+
+
+MANIFEST = ("key", "processing_id", "bucket", "size", "content_type", "file_type")
 
 
 def q_ingest_objects(spark: SparkSession, sf: str) -> DataFrame:
     from reelcat.sources import objects as SO
-    root = _staged_pages(spark, sf)
-    return SO.ingest_objects(spark, root, OBJECT_NAME).select("key", "processing_id", "size", "content_type")
+    return SO.manifest_of(_stored_pages(spark, sf)).select(*MANIFEST)
 
 
 def q_read_objects(spark: SparkSession, sf: str) -> DataFrame:
     from reelcat.sources import objects as SO
-    files = SO.object_files(spark, _staged_pages(spark, sf))
-    manifest = SO.manifest_of(files, OBJECT_NAME)
+    store = _stored_pages(spark, sf)
     # every stored key, plus one missing sibling per key
-    keys = manifest.select(F.explode(F.array(F.col("key"), F.concat("key", F.lit(".missing")))).alias("key"))
-    return (SO.read_objects(files, manifest, keys)
-            .select("key", "length", F.sha2("content", 256).alias("content_sha256")))
+    keys = store.select(F.explode(F.array(F.col("key"), F.concat("key", F.lit(".missing")))).alias("key"))
+    return SO.read_objects(store, keys).select("key", F.col("size").alias("length"), F.sha2("content", 256).alias("content_sha256"))
 
 
 def q_manifest_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Ingest, write the manifest as a bucketed Parquet table, read it back."""
+    """Ingest, write the manifest as a Parquet table sorted by id, read it back."""
     from reelcat.sources import objects as SO
     from reelcat.sources.media import scratch_path
-    manifest = SO.ingest_objects(spark, _staged_pages(spark, sf), OBJECT_NAME)
-    path = SO.write_manifest(manifest, scratch_path(spark, "manifest"))
-    return spark.read.parquet(path).select("key", "processing_id", "size", "content_type")
+    path = SO.write_manifest(SO.manifest_of(_stored_pages(spark, sf)), scratch_path(spark, "manifest"))
+    return spark.read.parquet(path).select(*MANIFEST)
 
 
 QUERIES["ingest_objects"] = q_ingest_objects
 QUERIES["manifest_table"] = q_manifest_table
 QUERIES["read_objects"] = q_read_objects
-ORACLE["ingest_objects"] = f"""
-SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, cast(page_id as varchar) AS processing_id,
- (strlen(html) + 1)::BIGINT AS size, CAST(NULL AS VARCHAR) AS content_type FROM pages"""
+_OBJECTS = f"""p AS (SELECT '00' || cast(page_id as varchar) AS pid, url, html FROM pages),
+ o AS (SELECT pid, 'video' AS file_type, 'video/mp4' AS content_type, pid || '.mp4' AS name, html AS body FROM p
+  UNION ALL SELECT pid, 'metadata', 'application/json', pid || '.info.json', to_json(struct_pack(id := pid, webpage_url := url))::VARCHAR FROM p
+  UNION ALL SELECT pid, 'thumbnail', 'image/jpeg', pid || '.jpg', url FROM p),
+ objects AS (SELECT 'videos/' || pid || '/' || name AS key, pid AS processing_id, '{BUCKET}' AS bucket,
+  coalesce(strlen(body), 0)::BIGINT AS size, content_type, file_type, coalesce(body, '') AS body FROM o)"""
+ORACLE["ingest_objects"] = f"WITH {_OBJECTS} SELECT {', '.join(MANIFEST)} FROM objects"
 ORACLE["manifest_table"] = ORACLE["ingest_objects"]
-ORACLE["read_objects"] = f"""
-SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS length,
- sha256(html || chr(10)) AS content_sha256 FROM pages"""
+ORACLE["read_objects"] = f"WITH {_OBJECTS} SELECT key, size AS length, sha256(body) AS content_sha256 FROM objects"
 
 
 # --- paging (L2): a deeper page of the catalogue ------------------------------
@@ -258,17 +287,14 @@ QUALIFY position > {(PAGE_N - 1) * PAGE_LIMIT} AND position <= {PAGE_N * PAGE_LI
 
 
 def q_list_stored_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """Prefix listing over the manifest of the stored object files."""
+    """Prefix listing over the manifest of the stored objects."""
     from reelcat.sources import objects as SO
-    manifest = SO.ingest_objects(spark, _staged_pages(spark, sf), OBJECT_NAME)
-    return C.list_objects(manifest.select("key", "size", F.lit(None).cast("timestamp_ntz").alias("last_modified"),
-                                          "content_type", F.lit("page").alias("file_type")),
-                          LIST_PREFIX, K.LIST_DEFAULT_LIMIT).drop("last_modified")
+    manifest = SO.manifest_of(_stored_pages(spark, sf))
+    return C.list_objects(manifest, STORED_PREFIX, K.LIST_DEFAULT_LIMIT).drop("last_modified")
 
 
+STORED_PREFIX = "videos/001"
 QUERIES["list_stored_objects"] = q_list_stored_objects
-ORACLE["list_stored_objects"] = f"""
-SELECT 'videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}' AS key, (strlen(html) + 1)::BIGINT AS size,
- CAST(NULL AS VARCHAR) AS content_type, 'page' AS file_type
-FROM pages WHERE starts_with('videos/' || cast(page_id as varchar) || '/{OBJECT_NAME}', '{LIST_PREFIX}')
-ORDER BY key LIMIT {K.LIST_DEFAULT_LIMIT}"""
+ORACLE["list_stored_objects"] = f"""WITH {_OBJECTS}
+SELECT key, size, content_type, file_type FROM objects
+WHERE starts_with(key, '{STORED_PREFIX}') ORDER BY key LIMIT {K.LIST_DEFAULT_LIMIT}"""

@@ -16,11 +16,14 @@ NOW = "1998-08-03 00:00:00"
 
 def task_objects(spark: SparkSession, sf: str) -> DataFrame:
     """The object listing re-keyed under each task's full id: objects of order
-    ``k`` belong to the task whose ``src_key`` is ``k``."""
+    ``k`` belong to the task whose ``src_key`` is ``k``.  Objects of every fourth order
+    are named as the direct path names them."""
     files = X.files(spark, sf)
     tasks = X.tasks(spark, sf).select(F.col("src_key").cast("string").alias("processing_id"), F.col("id").alias("tid"))
     return (files.join(tasks, "processing_id")
-            .select(F.concat_ws("/", F.lit(K.KEY_ROOT), "tid", F.substring_index("key", "/", -1)).alias("key"),
+            .select(F.concat(F.lit(f"{K.KEY_ROOT}/"), "tid", F.lit("/"),
+                             F.when(F.col("processing_id").cast("bigint") % 4 == 0, F.concat("tid", F.lit("_"))).otherwise(F.lit("")),
+                             F.substring_index("key", "/", -1)).alias("key"),
                     "file_type", "size", "last_modified"))
 
 
@@ -64,7 +67,7 @@ _ATT = """ea AS (
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS attempt
  FROM task_events)"""
 _TASK_OBJECTS = """tobj AS (
- SELECT 'videos/' || t.id || '/' || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
+ SELECT 'videos/' || t.id || '/' || CASE WHEN t.src_key % 4 = 0 THEN t.id || '_' ELSE '' END || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
  FROM files f JOIN tasks t ON f.processing_id = cast(t.src_key as varchar))"""
 _ERR_TEXT = sql_error_text()
 _STAGES = ", ".join(f"{{'stage': '{s}', 'limit_s': {v}}}" for s, v in K.STAGE_LIMITS)

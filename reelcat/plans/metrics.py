@@ -13,10 +13,11 @@ from reelcat.operators import metrics as M
 from reelcat.plans.catalog import BASE_URL, BUCKET
 from reelcat.plans.lifecycle import task_objects
 from reelcat.plans.oracle_views import (
-    sql_content_type, sql_domain, sql_error_text, sql_key_pid, sql_norm, sql_object_url, sql_url_ext, sql_video_id,
+    sql_content_type, sql_domain, sql_error_text, sql_key_pid, sql_norm, sql_object_url, sql_processing_id, sql_url_ext, sql_video_id,
     with_views,
 )
 from reelcat.sources import fixtures as X
+from reelcat.sources.media import media_records
 from reelcat.sources.tables import read_table
 
 FAILURE_WINDOW = "1 day"
@@ -27,7 +28,12 @@ SLIDE = "12 hours"
 
 def q_result_documents(spark: SparkSession, sf: str) -> DataFrame:
     slots = C.video_details(task_objects(spark, sf), BASE_URL, BUCKET)
-    return M.result_documents(X.tasks(spark, sf), slots, X.task_warnings(spark, sf))
+    tasks = X.tasks(spark, sf)
+    records = media_records(spark, sf)
+    videos = (records.select(F.col("id").alias("video"), F.struct("*").alias("record"))
+              .join(tasks.select(F.concat(F.lit("v"), F.col("src_key").cast("string")).alias("video"), "id"), "video")
+              .select("id", "record"))
+    return M.result_documents(tasks, slots, X.task_warnings(spark, sf), videos)
 
 
 def q_webhook_outbox(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +75,7 @@ QUERIES = {
     "completion_rates": lambda s, sf: M.completion_rates(X.tasks(s, sf)),
     "processing_time": lambda s, sf: M.processing_time(X.tasks(s, sf)),
     "timeout_counts": lambda s, sf: M.timeout_counts(X.tasks(s, sf)),
+    "timeout_stage_counts": lambda s, sf: M.timeout_stage_counts(M.parse_log_lines(X.log_lines(s, sf))),
     "warning_counts": lambda s, sf: M.warning_counts(X.task_warnings(s, sf)),
     "partial_share": lambda s, sf: M.partial_share(X.tasks(s, sf), X.task_warnings(s, sf)),
     "result_documents": lambda s, sf: q_result_documents(s, sf).drop("document"),
@@ -96,7 +103,7 @@ QUERIES = {
 _SECS = "(epoch_us({b}) - epoch_us({a})) / 1000000.0"
 _ERR_TEXT = sql_error_text()
 _TASK_OBJECTS = """tobj AS (
- SELECT 'videos/' || t.id || '/' || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
+ SELECT 'videos/' || t.id || '/' || CASE WHEN t.src_key % 4 = 0 THEN t.id || '_' ELSE '' END || regexp_extract(f.key, '[^/]*$') AS key, f.file_type, f.size, f.last_modified
  FROM files f JOIN tasks t ON f.processing_id = cast(t.src_key as varchar))"""
 _SLOTS = f"""slots AS (
  SELECT {sql_key_pid('key')} AS id,
@@ -107,7 +114,7 @@ _SLOTS = f"""slots AS (
 _PARTIAL_IN = "('" + "','".join(K.PARTIAL_WARNINGS) + "')"
 _KNOWN_IN = "('" + "','".join(K.WARNINGS) + "')"
 _WFLAGS = f"""wf AS (
- SELECT id, count(DISTINCT CASE WHEN warning IN {_KNOWN_IN} THEN warning END) AS n_w,
+ SELECT id, count(DISTINCT warning) AS n_w,
   bool_or(warning IN {_PARTIAL_IN}) AS partial
  FROM task_warnings GROUP BY id)"""
 
@@ -117,9 +124,13 @@ def _url_match(o: str, p: str) -> str:
     return sql_url_match(o, p)
 
 
+_IS_DIRECT = "coalesce(starts_with(regexp_extract(s.video_key, '[^/]*$'), t.id || '_'), false)"
 _RESULT_FLAT = f"""WITH {_TASK_OBJECTS}, {_SLOTS}, {_WFLAGS}
 SELECT t.id, t.status = 'completed' AS success,
  CASE WHEN t.status = 'completed' THEN {_url_match('t.video_url', 't.processed_url')} END AS url_match,
+ CASE WHEN t.status = 'completed' THEN {sql_processing_id('t.id')} END AS original_id,
+ CASE WHEN t.status = 'completed' THEN {_IS_DIRECT} END AS direct_processing,
+ CASE WHEN t.status = 'completed' THEN 'Order video ' || cast(t.src_key as varchar) END AS video_title,
  CASE WHEN t.status = 'completed' THEN s.video_key END AS video_key,
  CASE WHEN t.status = 'completed' THEN s.metadata_key END AS metadata_key,
  CASE WHEN t.status = 'completed' THEN s.thumbnail_key END AS thumbnail_key,
@@ -147,11 +158,12 @@ pl2 AS (
 
 def _warning_list_sql() -> str:
     items = ", ".join(f"CASE WHEN w.f{i} THEN '{w}' END" for i, w in enumerate(K.WARNINGS))
-    return f"coalesce(list_filter([{items}], lambda x: x IS NOT NULL), [])"
+    return f"list_concat(coalesce(list_filter([{items}], lambda x: x IS NOT NULL), []), coalesce(w.others, []))"
 
 
 _WFLAGS_EACH = "wl AS (SELECT id, " + ", ".join(
-    f"bool_or(warning = '{w}') AS f{i}" for i, w in enumerate(K.WARNINGS)) + " FROM task_warnings GROUP BY id)"
+    f"bool_or(warning = '{w}') AS f{i}" for i, w in enumerate(K.WARNINGS)) + (
+    f", list_sort(list(DISTINCT warning) FILTER (WHERE warning NOT IN {_KNOWN_IN})) AS others FROM task_warnings GROUP BY id)")
 
 
 def _slot_doc(t: str) -> str:
@@ -171,18 +183,45 @@ _SLOTS_FULL = f"""slots AS (
 
 _PARTIAL_ANY = " OR ".join(f"w.f{K.WARNINGS.index(x)}" for x in K.PARTIAL_WARNINGS)
 
-_DOC_CTES = f"{_TASK_OBJECTS}, {_SLOTS_FULL}, {_WFLAGS_EACH}"
-_DOC_SELECT = f"""SELECT t.id, CASE WHEN t.status = 'completed' THEN to_json(struct_pack(
-   success := true, processing_id := t.id, original_id := t.base_id, original_url := t.video_url,
-   processed_url := t.processed_url, url_match := {_url_match('t.video_url', 't.processed_url')},
-   storage := struct_pack(video := {_slot_doc('video')}, metadata := {_slot_doc('metadata')},
-                          thumbnail := {_slot_doc('thumbnail')}),
-   warnings := {_warning_list_sql()}, partial_success := coalesce({_PARTIAL_ANY}, false)))::VARCHAR
- ELSE to_json(struct_pack(success := false, processing_id := t.id,
+_ORIGINAL_ID = sql_processing_id("t.id")
+_INFO = """v AS (
+ SELECT o_orderkey AS src_key, struct_pack(id := 'v' || cast(o_orderkey as varchar), title := 'Order video ' || cast(o_orderkey as varchar),
+  description := CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END, duration := o_totalprice / 100,
+  uploader := 'uploader' || cast(o_custkey as varchar), upload_date := strftime(o_orderdate, '%Y%m%d'),
+  view_count := o_orderkey * 37 % 100000, like_count := CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END,
+  thumbnail := 'https://img.example.com/' || cast(o_orderkey as varchar) || '.jpg',
+  webpage_url := 'https://www.youtube.com/watch?v=V' || cast(o_orderkey as varchar),
+  extractor := CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'youtube' END) AS info,
+  [struct_pack(format_id := cast(o_orderkey as varchar) || '-360', ext := 'mp4', width := 640, height := 360,
+    filesize := cast(floor(o_totalprice) as bigint) * 10, vcodec := 'avc1', acodec := 'mp4a'),
+   struct_pack(format_id := cast(o_orderkey as varchar) || '-1080', ext := 'webm', width := 1920,
+    height := CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 1080 END, filesize := cast(floor(o_totalprice) as bigint) * 40,
+    vcodec := CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE 'vp9' END, acodec := NULL),
+   struct_pack(format_id := cast(o_orderkey as varchar) || '-a', ext := 'm4a', width := NULL, height := NULL,
+    filesize := cast(floor(o_totalprice) as bigint), vcodec := 'none', acodec := 'mp4a'),
+   struct_pack(format_id := cast(o_orderkey as varchar) || '-720', ext := 'mp4', width := 1280, height := 720,
+    filesize := CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE cast(floor(o_totalprice) as bigint) * 20 END, vcodec := NULL, acodec := 'mp4a')] AS formats,
+  CASE WHEN o_orderstatus = 'F' THEN cast(floor(o_totalprice) as bigint) * 1000 END AS file_size,
+  CASE WHEN o_orderstatus = 'F' THEN 'mp4' END AS file_extension FROM orders)"""
+
+
+def _success_sql(video: str, storage: str, more: str = "") -> str:
+    return f"""to_json(struct_pack(success := true, processing_id := t.id, original_id := {_ORIGINAL_ID}, original_url := t.video_url,
+   processed_url := t.processed_url, url_match := {_url_match('t.video_url', 't.processed_url')}, video_info := {video},
+   storage := {storage}, warnings := {_warning_list_sql()}, partial_success := coalesce({_PARTIAL_ANY}, false){more}))::VARCHAR"""
+
+
+_ALL_SLOTS = f"struct_pack(video := {_slot_doc('video')}, metadata := {_slot_doc('metadata')}, thumbnail := {_slot_doc('thumbnail')})"
+_OWN_SLOTS = "map_from_entries(list_filter([" + ", ".join(
+    f"struct_pack(k := '{t}', v := {_slot_doc(t)})" for t in K.FILE_TYPES) + "], lambda x: x.v IS NOT NULL))"
+_DOC_CTES = f"{_TASK_OBJECTS}, {_SLOTS_FULL}, {_WFLAGS_EACH}, {_INFO}"
+_DOC_SELECT = f"""SELECT t.id, CASE WHEN t.status <> 'completed' THEN to_json(struct_pack(success := false, processing_id := t.id,
    error := CASE WHEN t.error_code = 'TIMEOUT' THEN '{K.FAILURE_TIMEOUT}' ELSE '{K.FAILURE_OTHER}' END,
    error_details := {_ERR_TEXT.replace('error_class', 't.error_class').replace('error_message', 't.error_message')
-                     .replace('video_url', 't.video_url').replace('error_code', 't.error_code')}))::VARCHAR END AS document
-FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wl w ON t.id = w.id
+                     .replace('video_url', 't.video_url').replace('error_code', 't.error_code')}))::VARCHAR
+ WHEN {_IS_DIRECT} THEN {_success_sql("struct_insert(v.info, formats := v.formats)", _OWN_SLOTS, ", direct_processing := true")}
+ ELSE {_success_sql("struct_insert(v.info, file_size := v.file_size, file_extension := v.file_extension)", _ALL_SLOTS)} END AS document
+FROM tasks t LEFT JOIN slots s ON t.id = s.id LEFT JOIN wl w ON t.id = w.id LEFT JOIN v ON v.src_key = t.src_key
 WHERE t.status IN ('completed', 'failed')"""
 _RESULT_JSON = f"WITH {_DOC_CTES}\n{_DOC_SELECT}"
 
@@ -217,6 +256,10 @@ SELECT date_trunc('day', updated_at)::TIMESTAMP AS day, count(*) AS n_failed,
  sum(CASE WHEN coalesce(error_code = 'TIMEOUT', false) OR coalesce(contains(lower({_ERR_TEXT}), 'timeout')
    OR contains(lower({_ERR_TEXT}), 'timed out'), false) THEN 1 ELSE 0 END)::BIGINT AS n_timeouts
 FROM tasks WHERE status = 'failed' GROUP BY 1"""),
+    "timeout_stage_counts": with_views(["log_lines"], f"""WITH {_PARSED_LOG},
+ s AS (SELECT *, last_value(stage IGNORE NULLS) OVER (PARTITION BY task_tag ORDER BY logged_at, event_id) AS at_stage FROM pl2)
+SELECT date_trunc('day', logged_at)::TIMESTAMP AS day, at_stage AS stage, count(*) AS n_timeouts
+FROM s WHERE pattern = 'timeout' GROUP BY 1, 2"""),
     "warning_counts": with_views(["task_warnings"], """
 SELECT warning, count(DISTINCT id) AS n_tasks FROM task_warnings GROUP BY warning"""),
     "partial_share": with_views(["tasks", "task_warnings"], f"""WITH {_WFLAGS},

@@ -53,7 +53,7 @@ SELECT cast(l_orderkey as varchar) AS processing_id,
   || '_' || cast(l_suppkey as varchar)
   || CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linestatus='F' THEN '.mp4' ELSE '.webm' END WHEN 'N' THEN '.info.json'
      ELSE CASE WHEN l_linestatus='F' THEN '.jpg' ELSE '.webp' END END AS key,
- CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag='A' THEN 'video' WHEN l_returnflag='N' THEN 'metadata'
+ CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_returnflag='R' THEN 'subtitle' WHEN l_returnflag='A' THEN 'video' WHEN l_returnflag='N' THEN 'metadata'
    ELSE 'thumbnail' END AS file_type,
  cast(round(l_extendedprice * 100) as bigint) AS size, l_shipdate AS last_modified
 FROM lineitem""",
@@ -83,7 +83,8 @@ SELECT id, warning FROM (
  SELECT id, 'url_mismatch' AS warning, processed_url IS NULL AS hit FROM tasks WHERE status = 'completed'
  UNION ALL SELECT id, 'metadata_upload_failed', substr(md5(id),1,1) IN ('0','1') FROM tasks WHERE status = 'completed'
  UNION ALL SELECT id, 'thumbnail_upload_failed', substr(md5(id),1,1) IN ('1','2') FROM tasks WHERE status = 'completed'
- UNION ALL SELECT id, 'info_url_generation_failed', substr(md5(id),1,1) = '3' FROM tasks WHERE status = 'completed') x
+ UNION ALL SELECT id, 'info_url_generation_failed', substr(md5(id),1,1) = '3' FROM tasks WHERE status = 'completed'
+ UNION ALL SELECT id, 'subtitle_upload_failed', substr(md5(id),1,1) IN ('3','4') FROM tasks WHERE status = 'completed') x
 WHERE hit""",
     "log_lines": """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' - src.tasks - '

@@ -57,7 +57,7 @@ SELECT cast(l_orderkey as string) AS processing_id,
   || '_' || cast(l_suppkey as string)
   || CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linestatus='F' THEN '.mp4' ELSE '.webm' END WHEN 'N' THEN '.info.json'
      ELSE CASE WHEN l_linestatus='F' THEN '.jpg' ELSE '.webp' END END AS key,
- CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag='A' THEN 'video' WHEN l_returnflag='N' THEN 'metadata'
+ CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_returnflag='R' THEN 'subtitle' WHEN l_returnflag='A' THEN 'video' WHEN l_returnflag='N' THEN 'metadata'
    ELSE 'thumbnail' END AS file_type,
  cast(round(l_extendedprice * 100) as bigint) AS size, l_shipdate AS last_modified
 FROM {lineitem}
@@ -101,7 +101,8 @@ SELECT id, w.warning FROM (
    named_struct('warning', 'url_mismatch', 'hit', processed_url IS NULL),
    named_struct('warning', 'metadata_upload_failed', 'hit', substr(md5(id),1,1) IN ('0','1')),
    named_struct('warning', 'thumbnail_upload_failed', 'hit', substr(md5(id),1,1) IN ('1','2')),
-   named_struct('warning', 'info_url_generation_failed', 'hit', substr(md5(id),1,1) = '3')
+   named_struct('warning', 'info_url_generation_failed', 'hit', substr(md5(id),1,1) = '3'),
+   named_struct('warning', 'subtitle_upload_failed', 'hit', substr(md5(id),1,1) IN ('3','4'))
   ), x -> x.hit)) AS w
  FROM {tasks} WHERE status = 'completed')
 """

@@ -1,12 +1,14 @@
-"""Object files as a source: bulk ingest into a manifest, and reads by key.
+"""Stored objects: bulk upload, manifest and reads by key.
 
-Objects live under ``root/pid=<processing id>/``.  ``binaryFile`` lists and
-reads them in parallel; partition discovery turns the folder into a ``pid``
-column, so
+A store is a Parquet table of objects (key, bucket, bytes, content type, metadata), range-partitioned
+and sorted by key, so
 
-* a manifest scan never reads file bodies (``content`` is not selected), and
-* reading a batch of keys joins on ``pid``, letting dynamic partition pruning
-  skip every folder that holds no requested object.
+* many small objects share a file, and none needs a folder that the driver would have to list;
+* a manifest reads no object bytes (they are a column that is not selected);
+* a key or a prefix reaches the scan as a filter, and row groups outside it are skipped;
+* a bucket or id that holds a third of all objects is split over many files.
+
+``object_files`` uploads real files of any kind: their bytes as they are, their names from their paths.
 """
 
 from __future__ import annotations
@@ -17,55 +19,51 @@ from pyspark.sql import functions as F
 from reelcat.functions import objects as O
 
 
-def stage_objects(payloads: DataFrame, pid_col: str, body_col: str, root: str) -> str:
-    """Write each payload as an object file under ``root/pid=<id>/``."""
-    (payloads.select(F.col(pid_col).cast("string").alias("pid"), F.col(body_col).alias("value"))
-     .repartition("pid").write.mode("overwrite").partitionBy("pid").text(root))
-    return root
-
-
 def object_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """The object files with their ``pid`` partition column (content read lazily)."""
-    reader = spark.read.format("binaryFile")
+    """processing_id, file_name, content, metadata of the files at ``root/<id>/<name>``.
+
+    The id is text taken from the path (``007`` stays ``007``); the file type follows
+    the name, as for downloaded files.  Spark's file sources pass over files without bytes.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root)
-
-
-def manifest_of(files: DataFrame, file_name: str) -> DataFrame:
-    """Manifest rows for a ``binaryFile`` DataFrame: key ``videos/{pid}/{file_name}``, size,
-    content type, time, path (the content column is not read)."""
-    f = files.select("path", "modificationTime", "length", "pid")
-    key = O.object_key(F.col("pid").cast("string"), F.lit(file_name))
-    return f.select(key.alias("key"), F.col("pid").cast("string").alias("processing_id"),
-                    F.col("length").alias("size"), O.content_type(key).alias("content_type"),
-                    F.col("modificationTime").alias("last_modified"), "path", "pid")
-
-
-def ingest_objects(spark: SparkSession, root: str, file_name: str, glob: str | None = None) -> DataFrame:
-    """Manifest of the objects stored under ``root`` (one listing of the folder)."""
-    return manifest_of(object_files(spark, root, glob), file_name)
-
+    pid, name = F.element_at(F.split("path", "/"), -2), O.base_name("path")
+    return reader.load(root).select(
+        pid.alias("processing_id"), name.alias("file_name"), "content",
+        F.create_map(F.lit("processing_id"), pid, F.lit("file_type"), O.file_kind(name)).alias("metadata"))
+
+
+def new_objects(uploads: DataFrame, bucket: str) -> DataFrame:
+    """Objects for uploads (processing_id, file_name, content, metadata): key, bucket, size,
+    content type by the file name (null when unknown), upload time.  A null content is empty."""
+    key = O.object_key("processing_id", "file_name")
+    content = F.coalesce("content", F.lit("").cast("binary"))
+    return uploads.select(
+        key.alias("key"), F.lit(bucket).alias("bucket"), F.octet_length(content).cast("long").alias("size"),
+        O.content_type("file_name").alias("content_type"), "metadata",
+        F.current_timestamp().cast("timestamp_ntz").alias("last_modified"), content.alias("content"))
+
+
+def store_objects(objects: DataFrame, path: str, mode: str = "append") -> str:
+    """Write objects to the store at ``path``, sorted by bucket and key."""
+    (objects.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.mode(mode).parquet(path))
+    return path
 
-def read_objects(files: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Bodies of the requested keys (unknown keys are absent).
 
-    ``files`` is the ``binaryFile`` DataFrame the manifest was built from, so the
-    folder is listed once; the join on the raw ``pid`` partition column lets
-    dynamic partition pruning skip folders when the request is selective.
-    """
-    wanted = manifest.join(keys.select("key").distinct(), "key", "left_semi").select("key", "pid", "path")
-    bodies = files.select("pid", "path", "length", "content")
-    return bodies.join(wanted, ["pid", "path"]).select("key", "length", "content")
+def manifest_of(store: DataFrame) -> DataFrame:
+    """The store without object bytes; the id and the file type as columns."""
+    return store.select("key", O.key_processing_id("key").alias("processing_id"), "bucket", "size", "content_type",
+                        F.col("metadata")["file_type"].alias("file_type"), "last_modified")
 
 
-MANIFEST_BUCKETS = 64
+def read_objects(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored objects with the given keys (unknown keys are absent)."""
+    return store.join(keys.select("key").distinct(), "key", "left_semi")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> str:
-    """Store a manifest partitioned by a hash bucket of the processing id, so
-    lookups by id read one bucket; the ``path`` column is kept for reads."""
-    bucket = F.pmod(F.xxhash64("processing_id"), F.lit(MANIFEST_BUCKETS)).cast("int")
-    (manifest.drop("pid").withColumn("pid_bucket", bucket).repartition("pid_bucket")
-     .write.mode("overwrite").partitionBy("pid_bucket").parquet(path))
+    """Store a manifest sorted by processing id, so a look-up by id skips other row groups."""
+    (manifest.repartitionByRange("processing_id", "key").sortWithinPartitions("processing_id", "key")
+     .write.mode("overwrite").parquet(path))
     return path

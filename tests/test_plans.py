@@ -50,15 +50,15 @@ def test_task_table_reads_are_pruned(spark):
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(created_at.*LessThan\(created_at", plan)
 
 
-def test_selective_object_read_uses_dynamic_partition_pruning(spark):
-    from reelcat.plans.catalog import OBJECT_NAME, _staged_pages
+def test_object_bytes_are_read_only_when_asked_for(spark):
+    from reelcat.plans.catalog import _stored_pages
     from reelcat.sources import objects as SO
-    files = SO.object_files(spark, _staged_pages(spark, SF_SMALL))
-    manifest = SO.manifest_of(files, OBJECT_NAME)
-    keys = manifest.where(F.col("processing_id").isin("3", "17")).select("key")
-    df = SO.read_objects(files, manifest, keys)
-    assert "dynamicpruningexpression(pid" in plan_of(df)
-    assert df.count() == 2
+    store = _stored_pages(spark, SF_SMALL)
+    assert "content:binary" not in plan_of(SO.manifest_of(store).where("processing_id = '003'"))
+    one = store.where("key = 'videos/003/003.mp4'")
+    assert "EqualTo(key,videos/003/003.mp4)" in plan_of(one)
+    keys = SO.manifest_of(store).where(F.col("processing_id").isin("003", "0017")).select("key")
+    assert SO.read_objects(store, keys).count() == 6
 
 
 def test_segmented_scan_is_range_partitioned(spark):

@@ -32,6 +32,37 @@ def test_upload_list_delete(spark):
     assert C.list_objects(remaining, prefix=f"videos/{PID}/").count() == 0
 
 
+def test_real_files_are_stored_as_they_are(spark, tmp_path):
+    from reelcat.sources import objects as SO
+    bodies = {"007": {"clip one.mp4": b"\x00\xff\r\n", "clip.info.json": b"{}", "clip.webp": b"RIFF"},
+              "7": {"a+b%20.bin": b"no newline"}}
+    for pid, named in bodies.items():
+        (tmp_path / "in" / pid).mkdir(parents=True)
+        for name, body in named.items():
+            (tmp_path / "in" / pid / name).write_bytes(body)
+    path = SO.store_objects(SO.new_objects(SO.object_files(spark, str(tmp_path / "in")), "media"), str(tmp_path / "store"))
+    store = spark.read.parquet(path)
+    got = {(r.processing_id, r.key.split("/")[-1]): (r.size, r.content_type, r.file_type, r.bucket) for r in SO.manifest_of(store).collect()}
+    assert got == {("007", "clip one.mp4"): (4, "video/mp4", "video", "media"),
+                   ("007", "clip.info.json"): (2, "application/json", "metadata", "media"),
+                   ("007", "clip.webp"): (4, "image/webp", "thumbnail", "media"),
+                   ("7", "a+b%20.bin"): (10, None, "video", "media")}
+    keys = spark.createDataFrame([Row(key="videos/007/clip one.mp4"), Row(key="videos/7/none"), Row(key="videos/7/a+b%20.bin")])
+    assert {r.key: bytes(r.content) for r in SO.read_objects(store, keys).collect()} == {
+        "videos/007/clip one.mp4": b"\x00\xff\r\n", "videos/7/a+b%20.bin": b"no newline"}
+
+
+def test_any_file_type_is_listed(spark):
+    t = dt.datetime(2025, 1, 1)
+    files = spark.createDataFrame([Row(key="videos/p/a.mp4", size=1, last_modified=t, file_type="video"),
+                                   Row(key="videos/p/a.srt", size=2, last_modified=t, file_type="subtitle"),
+                                   Row(key="videos/p/b.srt", size=3, last_modified=t, file_type="subtitle")])
+    row = C.video_catalog(files).first()
+    assert (row.n_files, row.video_key) == (3, "videos/p/a.mp4")
+    assert row.files == ('[{"file_type":"subtitle","key":"videos/p/b.srt","size":3,"content_type":null},'
+                         '{"file_type":"video","key":"videos/p/a.mp4","size":1,"content_type":"video/mp4"}]')
+
+
 def test_upsert_overwrites_by_key(spark):
     t1, t2 = dt.datetime(2025, 1, 1), dt.datetime(2024, 1, 1)
     cur = spark.createDataFrame([Row(key="videos/p/a.mp4", size=1, last_modified=t1, file_type="video")])
