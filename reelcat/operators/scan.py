@@ -111,13 +111,21 @@ def exact_percentiles(df: DataFrame, key: list[str], value: str, tie: str, ps: d
     vals = df.select(*key, value, tie).where(F.col(value).isNotNull())
     ranked = running(vals, key, [value, tie], rn_col="_rn")
     counts = vals.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"))
-    j = ranked.join(counts, key)
-    aggs = []
+    # the (key, rank) pairs that are needed, two per fraction: a join on both columns spreads a
+    # key with most of the rows over all tasks
+    picks = []
     for name, p in ps.items():
         pos = (F.col("_cnt") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        v_lo = F.max(F.when(F.col("_rn") == lo, F.col(value)))
-        v_hi = F.max(F.when(F.col("_rn") == hi, F.col(value)))
-        frac = F.max(pos - F.floor(pos))
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picks.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (pos - F.floor(pos)).alias("frac"),
+                                  (rank.cast("bigint") + 1).alias("rank")))
+    wanted = counts.select(*key, F.explode(F.array(*picks)).alias("_w")).select(*key, F.col("_w.rank").alias("_rn"), "_w")
+    found = ranked.join(wanted, [*key, "_rn"])
+    aggs = []
+    for name in ps:
+        own = F.col("_w.name") == name
+        v_lo = F.max(F.when(own & (F.col("_w.side") == "lo"), F.col(value)))
+        v_hi = F.max(F.when(own & (F.col("_w.side") == "hi"), F.col(value)))
+        frac = F.max(F.when(own, F.col("_w.frac")))
         aggs.append((v_lo + (v_hi - v_lo) * frac).cast("double").alias(name))
-    return j.groupBy(*key).agg(*aggs)
+    return found.groupBy(*key).agg(*aggs)

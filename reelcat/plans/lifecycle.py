@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelcat import constants as K
 from reelcat.operators import lifecycle as L
-from reelcat.plans.oracle_views import sql_error_text, with_views
+from reelcat.plans.oracle_views import sql_error_text, sql_hash, with_views
 from reelcat.sources import fixtures as X
 
 CLAIM_N = 100
@@ -177,6 +177,24 @@ SELECT id, video_url, created_at, updated_at FROM tasks
 WHERE status = 'queued' AND created_at >= TIMESTAMP '{QUEUE_FROM}' AND created_at < TIMESTAMP '{QUEUE_TO}'""")
 
 
+def q_appended_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """The task table after all submissions were appended to it."""
+    from reelcat.sources.media import scratch_path
+    from reelcat.sources.task_table import append_submissions, read_task_table, write_task_table
+    path = write_task_table(X.tasks(spark, sf), scratch_path(spark, "appended-tasks"))
+    append_submissions(spark, path, X.submissions(spark, sf))
+    return read_task_table(spark, path).select("id", "base_id", "video_url", "status", "created_at", "updated_at")
+
+
+QUERIES["appended_tasks"] = q_appended_tasks
+ORACLE["appended_tasks"] = with_views(["submissions", "tasks"], f"""
+WITH q AS (SELECT base_id || '-' || {sql_hash('url')} AS id, base_id, url, submitted_at FROM submissions
+           WHERE base_id IS NOT NULL AND url IS NOT NULL),
+ f AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM tasks)
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY submitted_at, url) = 1)
+SELECT id, base_id, video_url, status, created_at, updated_at FROM tasks
+UNION ALL SELECT id, base_id, url, 'queued', submitted_at, submitted_at FROM f""")
+
 RETENTION_DAYS = 365
 
 QUERIES["expired_tasks"] = lambda s, sf: L.expired_tasks(X.tasks(s, sf), NOW, RETENTION_DAYS)

@@ -44,8 +44,7 @@ def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     known = _known_tasks(spark, sf)
     out = J.run_to_table(J.stream_submissions(J.submission_stream(spark, sf)), "stream-submissions",
                          foreach_batch=J.new_tasks_batch(known))
-    # the winning row of a repeated id depends on arrival order; report the id-determined columns
-    return spark.read.parquet(out).select("id", "base_id", "url_hash", "status")
+    return _ntz(spark.read.parquet(out).select("id", "base_id", "video_url", "url_hash", "status", "created_at", "updated_at"))
 
 
 def q_stream_failure_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,9 +138,11 @@ _WM = "INTERVAL 10 MINUTE"
 _STATUS_IN = "('queued', 'processing', 'completed', 'failed')"
 
 ORACLE["stream_submissions"] = with_views(["submissions", "tasks"], f"""
-WITH q AS (SELECT DISTINCT base_id || '-' || {sql_hash('url')} AS id, base_id, {sql_hash('url')} AS url_hash
+WITH q AS (SELECT base_id || '-' || {sql_hash('url')} AS id, base_id, url, {sql_hash('url')} AS url_hash, submitted_at
            FROM submissions WHERE base_id IS NOT NULL AND url IS NOT NULL)
-SELECT id, base_id, url_hash, 'queued' AS status FROM q WHERE id NOT IN (SELECT id FROM tasks)""")
+SELECT id, base_id, url AS video_url, url_hash, 'queued' AS status, submitted_at AS created_at, submitted_at AS updated_at
+FROM q WHERE id NOT IN (SELECT id FROM tasks)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY submitted_at, url) = 1""")
 ORACLE["stream_failure_rate"] = with_views(["task_events"], f"""
 WITH e AS (SELECT ts, event FROM task_events WHERE event IN {_STATUS_IN}),
  w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events,

@@ -27,12 +27,22 @@ _SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+# widths for one machine; never set on a cluster
+_LOCAL_WIDTHS = {
     "spark.sql.shuffle.partitions": "8",
     # file listing runs as a Spark job of up to 10,000 tasks by default; locally a few suffice
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "16",
 }
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Does the session run in one JVM on this machine (``local`` or ``local[n]``, not ``local-cluster``)?"""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def get_spark(master: str | None = None, app_name: str = "reelcat", **conf: str) -> SparkSession:
     """Return the active session, or build one.
 
@@ -53,7 +63,7 @@ def get_spark(master: str | None = None, app_name: str = "reelcat", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     configured = spark.sparkContext.getConf()
-    for key, value in _SQL_DEFAULTS.items():
+    for key, value in (_SQL_DEFAULTS | _LOCAL_WIDTHS if is_local(spark) else _SQL_DEFAULTS).items():
         if key not in conf and not configured.contains(key):
             spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,7 +79,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        if not sc.master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         # local runs only: a private folder on this machine
         current = tempfile.mkdtemp(prefix="reelcat-ckpt-")

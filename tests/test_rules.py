@@ -267,6 +267,31 @@ def test_catalog_with_one_video_holding_a_third_of_objects(spark):
     assert len(cat) == C.video_catalog(files.where(~hot)).count() + 1
 
 
+def test_submissions_are_appended_to_the_task_table_once(spark):
+    from reelcat.sources.task_table import append_submissions, read_task_table, write_task_table
+    from reelcat.streaming.jobs import scratch
+    path = write_task_table(X.tasks(spark, SF_SMALL), scratch(spark, "t-append"))
+    before = read_task_table(spark, path).count()
+    subs = X.submissions(spark, SF_SMALL)
+    append_submissions(spark, path, subs)
+    after = read_task_table(spark, path)
+    n = after.count()
+    assert n > before and n == after.select("id").distinct().count()
+    append_submissions(spark, path, subs)  # every id is there already
+    assert read_task_table(spark, path).count() == n
+
+
+def test_timeouts_are_counted_at_the_last_logged_stage(spark):
+    import datetime as dt
+    t = dt.datetime(2025, 1, 1)
+    rows = [(1, "a", 1, None), (2, "a", 2, None), (3, "a", None, "timeout"), (4, "a", None, "timeout"), (5, "b", None, "timeout"),
+            (6, None, 3, None), (7, None, None, "timeout"), (8, "a", 1, None)]
+    parsed = spark.createDataFrame([(i, t + dt.timedelta(seconds=i), tag, st, p) for i, tag, st, p in rows],
+                                   "event_id long, logged_at timestamp_ntz, task_tag string, stage long, pattern string")
+    got = {r.stage: r.n_timeouts for r in M.timeout_stage_counts(parsed).collect()}
+    assert got == {2: 2, None: 1, 3: 1}
+
+
 def test_url_match_case_flag(spark):
     df = spark.createDataFrame([Row(o="https://youtu.be/AbC", p="https://www.youtube.com/watch?v=abc")])
     got = df.select(U.url_match("o", "p").alias("default"),
