@@ -283,12 +283,14 @@ def test_submissions_are_appended_to_the_task_table_once(spark):
 
 def test_timeouts_are_counted_at_the_last_logged_stage(spark):
     import datetime as dt
+
+    from reelcat.operators.metrics import timeout_stage_counts
     t = dt.datetime(2025, 1, 1)
     rows = [(1, "a", 1, None), (2, "a", 2, None), (3, "a", None, "timeout"), (4, "a", None, "timeout"), (5, "b", None, "timeout"),
             (6, None, 3, None), (7, None, None, "timeout"), (8, "a", 1, None)]
     parsed = spark.createDataFrame([(i, t + dt.timedelta(seconds=i), tag, st, p) for i, tag, st, p in rows],
                                    "event_id long, logged_at timestamp_ntz, task_tag string, stage long, pattern string")
-    got = {r.stage: r.n_timeouts for r in M.timeout_stage_counts(parsed).collect()}
+    got = {r.stage: r.n_timeouts for r in timeout_stage_counts(parsed).collect()}
     assert got == {2: 2, None: 1, 3: 1}
 
 
