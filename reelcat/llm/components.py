@@ -9,7 +9,7 @@ from reelcat.llm.common import settle
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of ``links`` (a, b: longs, not null).
+    """node, root (the smallest node of its component) for every node of ``links`` (a, b: not null, of one type that has an order).
 
     Each round takes the smallest root among a node's neighbours, then its root's root,
     so the rounds grow with the logarithm of the longest path.  Roots are written to the

@@ -11,12 +11,13 @@ equal prefixes in the sorted order.
 Every pair that meets is verified exactly, once, in the first tree where it meets.  A node of
 many texts is cut into blocks; each pair of blocks is one group of bounded size, so no
 task holds a node, and pairs stay inside the task: what leaves it is one row per text
-(its number of links) and one link per text to the smallest text it hangs together with.
+(its number of links) and one link per text to the smallest text (by id and hash) it hangs together with.
 Nothing is capped.
 
 Defined cases: null and empty texts have no shingles and are copies of each other,
 with no links; a null id is smaller than any other and returned as null; rows that
-repeat are copies; rows that share an id are in one class (their links are counted for each text); an empty
+repeat are copies; rows that share an id (null too) but not the text are texts of their own, known by
+the id and 64 bits of the text's hash, and are in one class only if links hang them together; an empty
 table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelcat.llm.common import BASES, NO_ID, U64, Rolling, WordHashes, column, mix, ordered_id, raw, runs_of, settle
@@ -105,11 +106,11 @@ class _Node:
         labels = np.frombuffer(b"".join(t.column("_labels").to_pylist()), U64).reshape(t.num_rows, -1)
         self.rep, th = t.column("_rep").to_numpy(), t.column("_th").to_numpy()
         _, once = np.unique(np.stack([self.rep, th]), axis=1, return_index=True)  # a row that repeats counts once
-        self.at = np.sort(once)
+        self.at = np.sort(once)  # rows come sorted by (_rep, _th)
         self.rep, self.th, labels, block = self.rep[self.at], th[self.at], labels[self.at], t.column("_block").to_numpy()[self.at]
         node = np.int64(t.column("_node")[0].as_py()).astype(U64)
         tree = int(np.flatnonzero(labels[0] == node)[0])
-        self.pairs = np.triu(np.ones((len(self.at),) * 2, bool), 1) & (self.rep[:, None] != self.rep)
+        self.pairs = np.triu(np.ones((len(self.at),) * 2, bool), 1)
         if t.column("_lo")[0].as_py() != t.column("_hi")[0].as_py():
             self.pairs &= block[:, None] != block
         for k in range(tree):  # these met in an earlier tree
@@ -164,9 +165,9 @@ def linked(sets: list[np.ndarray], pairs: np.ndarray, similarity: float) -> tupl
     return i[good], j[good]
 
 
-def _smallest_reached(n: int, i: np.ndarray, j: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """For each of n texts, the smallest representative it hangs together with by the links."""
-    root = rep.copy()
+def _smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n texts, the first of them that it hangs together with by the links."""
+    root = np.arange(n)
     while len(i):
         low = np.minimum(root[i], root[j])
         if (low == root[i]).all() and (low == root[j]).all():
@@ -187,9 +188,10 @@ def _verified(similarity: float):
             sets = [shingles(texts[k].split(), hasher) for k in node.at]
             i, j = linked(sets, node.pairs, similarity)
             n = np.bincount(np.concatenate([i, j]), minlength=len(sets))
-            root = _smallest_reached(len(sets), i, j, node.rep)
+            root = _smallest_reached(len(sets), i, j)
             has = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (node.rep, node.th, n, root)], names=["_rep", "_th", "_n", "_root"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (node.rep, node.th, n, node.rep[root], node.th[root])],
+                                             names=["_rep", "_th", "_n", "_root", "_root_th"])
 
     return run
 
@@ -198,15 +200,17 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "_rep", "_th")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> DataFrame:
-    """doc_id, class_id, n_links, copy_of, n_copies for every row.
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-    ``class_id``: smallest id of the texts that hang together by links; ``n_links``: number of
-    other texts (not counting copies) with at least the wanted similarity;
-    ``copy_of``: smallest id with the same shingles, ``n_copies`` of them.
+
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _th, shingle hash) and copies (shingle hash, _rep and _th of the smallest, _copies, _links, _class).
+
+    ``_class`` is the smallest (id, text hash) that a group of copies hangs together with; null without links.
     """
     depth = prefix_length(similarity, recall, trees)
-    keyed = docs.select("doc_id", ordered_id().alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text"))
+    keyed = docs.select(ordered_id().alias("_id"), _text_hash().alias("_th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = settle(keyed.select("_id", "_th", "text").mapInArrow(_signatures(trees, depth), "_id long, _th long, _s1 long, _s2 long, _labels binary"))
     classes = settle(signed.groupBy("_s1", "_s2").agg(F.min(F.struct("_id", "_th", "_labels")).alias("_m"), F.count(F.lit(1)).alias("_copies"))
                      .select("_s1", "_s2", F.col("_m._id").alias("_rep"), F.col("_m._th").alias("_th"), F.col("_m._labels").alias("_labels"), "_copies"))
@@ -222,15 +226,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     order = [x.split()[0] for x in names.split(", ")]
     meeting = settle(_grouped(rows.select(*order)).mapInArrow(_meeting, names))
     texts = keyed.select(F.col("_id").alias("_rep"), "_th", "text")
-    verified = settle(_grouped(meeting.join(texts, ["_rep", "_th"]).select(*order, "text")).mapInArrow(_verified(similarity), "_rep long, _th long, _n long, _root long"))
+    verified = settle(_grouped(meeting.join(texts, ["_rep", "_th"]).select(*order, "text")).mapInArrow(_verified(similarity), "_rep long, _th long, _n long, _root long, _root_th long"))
     degrees = verified.groupBy("_rep", "_th").agg(F.sum("_n").alias("_links"))
-    roots = components(verified.select(F.col("_rep").alias("a"), F.col("_root").alias("b"))).select(F.col("node").alias("_rep"), F.col("root").alias("_class"))
-    known = (classes.select("_s1", "_s2", "_rep", "_th", "_copies").join(degrees, ["_rep", "_th"], "left").join(roots, "_rep", "left"))
+    roots = components(verified.select(_node_of("_rep", "_th").alias("a"), _node_of("_root", "_root_th").alias("b")))
+    roots = roots.select(F.col("node.id").alias("_rep"), F.col("node.th").alias("_th"), F.col("root").alias("_class"))
+    return signed, (classes.drop("_labels").join(degrees, ["_rep", "_th"], "left").join(roots, ["_rep", "_th"], "left"))
+
+
+def _node_of(rep: str, th: str) -> Column:
+    return F.struct(F.col(rep).alias("id"), F.col(th).alias("th"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of, n_copies for every row.
+
+    ``class_id``: smallest id of the texts that hang together by links; ``n_links``: number of
+    other texts (not counting copies) with at least the wanted similarity;
+    ``copy_of``: smallest id with the same shingles, ``n_copies`` of them.  Different classes may have
+    the same ``class_id`` where texts share an id; ``one_per_class`` tells them apart.
+    """
+    signed, known = _classes(docs, **options)
+    known = known.select("_s1", "_s2", "_rep", "_copies", "_links", F.col("_class.id").alias("_class"))
 
     def real(c):
         return F.nullif(c, F.lit(NO_ID))
 
-    return signed.select("_id", "_s1", "_s2").join(settle(known.drop("_th")), ["_s1", "_s2"]).select(
+    return signed.select("_id", "_s1", "_s2").join(settle(known), ["_s1", "_s2"]).select(
         real(F.col("_id")).alias("doc_id"), real(F.coalesce("_class", "_rep")).alias("class_id"), F.coalesce("_links", F.lit(0)).alias("n_links"),
         real(F.col("_rep")).alias("copy_of"), F.col("_copies").alias("n_copies"))
 
@@ -244,8 +265,8 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each class; of rows that repeat that id, one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    kept = found.select(ordered_id().alias("_id"), ordered_id("class_id").alias("_class")).where("_id = _class").select("_id").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), ordered_id().alias("_id"))
-    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    """The row of each class with the smallest id (and text hash); of rows that repeat its id and text, one stays."""
+    _, known = _classes(docs.select("doc_id", "text"), **options)
+    kept = known.where(F.col("_class").isNull() | (F.col("_class") == _node_of("_rep", "_th"))).select(F.col("_rep").alias("_id"), "_th")
+    rows = docs.select(F.struct("*").alias("_row"), ordered_id().alias("_id"), _text_hash().alias("_th"))
+    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")

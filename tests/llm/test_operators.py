@@ -245,6 +245,40 @@ def test_one_per_class(docs):
     assert sorted((r.doc_id for r in kept.collect()), key=order) == sorted(want, key=order)
 
 
+def groups_of_shared_ids():
+    rng = random.Random(21)
+
+    def near(text, k):
+        w = text.split()
+        w[k] = "changed"
+        return " ".join(w)
+
+    base = [" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(100)) for _ in range(6)]
+    # two groups whose smallest member has a null id, two that share id 7, one link between two texts of id 9, one text alone
+    return base, [(None, base[0]), (1, near(base[0], 50)), (None, base[1]), (2, near(base[1], 50)), (7, base[2]), (8, near(base[2], 50)),
+                  (7, base[3]), (8, near(base[3], 50)), (9, base[4]), (9, near(base[4], 50)), (None, base[5]), (None, base[5])]
+
+
+def test_ngram_join_keeps_texts_that_share_an_id_apart(spark):
+    _, rows = groups_of_shared_ids()
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert as_rows(got, "doc_id", "class_id", "n_links", "copy_of") == expect(brute_join(rows))
+    assert {r.n_links for r in got.where("doc_id = 9").collect()} == {1}
+
+
+def test_one_per_class_keeps_one_row_of_each_group_of_shared_ids(spark):
+    base, rows = groups_of_shared_ids()
+    kept = ngram_join.one_per_class(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    same = {t: next(k for k, b in enumerate(base) if len(set(t.split()) & set(b.split())) > 50) for _, t in rows}
+    assert sorted(same[r.text] for r in kept) == [0, 1, 2, 3, 4, 5]
+    assert sorted((r.doc_id for r in kept), key=order) == [None, None, None, 7, 7, 9]
+
+
+def test_one_per_class_has_a_row_for_each_group_of_the_odd_table(docs):
+    kept = ngram_join.one_per_class(docs).collect()
+    assert sorted((r.doc_id for r in kept), key=order) == [None, None, *range(7, 21), 22]  # the copies of base, the empty texts, all others
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
