@@ -1,12 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash banding with exact verification.
 
 Each text is the set of its five-word shingles (all its words, if fewer).  Texts
 with equal sets are copies: one representative (the smallest id) goes on, however
-many copies there are.  A forest of ``TREES`` tries holds the representatives' MinHash
-signatures; two texts meet in a tree if their signatures agree in a prefix.  Prefixes start at
-``LONGEST`` hashes and are shortened by one until two texts of exactly the wanted
-similarity meet in some tree with the target recall; a node of a tree is then a run of
-equal prefixes in the sorted order.
+many copies there are.  Each representative has a MinHash prefix in each of ``TREES`` trees, as one
+hashed label; two texts meet in a tree if their labels are equal, and a node is all texts of a label.
+The length of the prefixes follows from the constants alone: the longest, from ``LONGEST`` hashes down, with
+which two texts of exactly the wanted similarity meet in some tree with the target recall.  So this is
+banding; no tries or sorted prefixes are built.
 
 Every pair that meets is verified exactly, once, in the first tree where it meets.  A node of
 many texts is cut into blocks; each pair of blocks is one group of bounded size, so no
