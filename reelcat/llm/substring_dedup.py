@@ -20,7 +20,7 @@ a third of all documents is one row per map task; no task holds a passage's docu
 
 Defined cases: a null text has no words; a null id is smaller than any other and is
 returned as null; rows that repeat (same id and text) are one document and get the same
-result; rows that share an id but not the text are one document with separate spans
+result; rows that share an id but not the text (told apart by 64 bits of its hash) are one document with separate spans
 (a window they share is no repeat by that alone); texts under ``WINDOW`` words lose nothing; an empty table gives an empty result.
 """
 
@@ -40,16 +40,16 @@ WINDOW = 50
 GRAM = 10
 #: words hashed together
 _BATCH = 200_000
-#: a place in a text as one long: 22 bits of the text's hash, 36 bits of word position, 6 bits of number of windows
-_POS, _LEN = 36, 6
+#: a place in a text as one long: word position, and in the lowest bits the number of windows
+_LEN = 6
 
 
-def _place(text_hash: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (text_hash << (_POS + _LEN)) | (pos << _LEN) | n
+def _place(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (pos << _LEN) | n
 
 
 def _of_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (place >> _LEN) & ((1 << _POS) - 1), place & ((1 << _LEN) - 1)
+    return place >> _LEN, place & ((1 << _LEN) - 1)
 
 
 def smallest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,9 +113,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             first, count, anchor, h1, h2 = blocks(hashes, doc)
             own = doc[first]
-            place = _place(th[start + own], first - begin[own], count)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U64 else x) for x in (anchor, ids[start + own], place, h1, h2)],
-                                             names=["_anchor", "_id", "_place", "_h1", "_h2"])
+            place = _place(first - begin[own], count)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U64 else x) for x in (anchor, ids[start + own], th[start + own], place, h1, h2)],
+                                             names=["_anchor", "_id", "_th", "_place", "_h1", "_h2"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,22 +128,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = hasher.of(text.split())
             at = np.repeat(pos - np.cumsum(n) + n, n) + np.arange(n.sum())
             both = [Rolling(hashes[:, c], BASES[c]).of(at, at + WINDOW).view(np.int64) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], both[1], np.full(len(at), ids[k]), _place(th[k], at, np.int64(1)))],
-                                             names=["_w1", "_w2", "_id", "_place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], both[1], np.full(len(at), ids[k]), np.full(len(at), th[k]), _place(at, np.int64(1)))],
+                                             names=["_w1", "_w2", "_id", "_th", "_place"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": ordered_id(), "_th": F.expr("shiftrightunsigned(xxhash64(coalesce(text, '')), 42)")})
-
-
-def _text_hash(place: str):
-    return F.expr(f"shiftrightunsigned({place}, {_POS + _LEN})")
+    return docs.withColumns({"_id": ordered_id(), "_th": F.expr("xxhash64(coalesce(text, ''))")})
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
     """_id, _th, _places: per text, the (position, number) of all its repeated windows."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    found = keyed.select("_id", "_th", "text").mapInArrow(_blocks, "_anchor long, _id long, _place long, _h1 long, _h2 long")
+    found = keyed.select("_id", "_th", "text").mapInArrow(_blocks, "_anchor long, _id long, _th long, _place long, _h1 long, _h2 long")
     # anchors of at least two documents; tables to be joined back are written first, so that both
     # sides of each join are exchanges and a frequent key's rows can be split over tasks
     anchors = written(found.groupBy("_anchor").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_anchor"))
@@ -152,16 +148,16 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     index = written(shared.groupBy("_h1", "_h2", "_anchor").agg(F.min("_id").alias("_first")))
     several = index.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor", F.lit(True).alias("_several"))
     index = index.join(written(several), "_anchor", "left").select("_h1", "_h2", "_first", "_several")
-    parsed = written(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
+    parsed = written(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_th", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
     release(docs.sparkSession)
-    whole = parsed.where("_whole").select("_id", "_place")
-    edges = parsed.where("not _whole").groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
+    whole = parsed.where("_whole").select("_id", "_th", "_place")
+    edges = parsed.where("not _whole").groupBy("_id", "_th").agg(F.collect_list("_place").alias("_places"))
     windows = written(keyed.join(edges, ["_id", "_th"]).select("_id", "_th", "text", "_places")
-                     .mapInArrow(_windows, "_w1 long, _w2 long, _id long, _place long"))
+                     .mapInArrow(_windows, "_w1 long, _w2 long, _id long, _th long, _place long"))
     firsts = written(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_w1", "_w2", "_first"))
     release(docs.sparkSession)
-    single = windows.join(firsts, ["_w1", "_w2"]).where("_id > _first").select("_id", "_place")
-    return whole.unionByName(single).groupBy("_id", _text_hash("_place").alias("_th")).agg(F.collect_list("_place").alias("_places"))
+    single = windows.join(firsts, ["_w1", "_w2"]).where("_id > _first").select("_id", "_th", "_place")
+    return whole.unionByName(single).groupBy("_id", "_th").agg(F.collect_list("_place").alias("_places"))
 
 
 def _covered(n_words: int, places: list[int] | None) -> tuple[np.ndarray, np.ndarray]:

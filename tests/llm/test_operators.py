@@ -13,6 +13,7 @@ import zlib
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -178,6 +179,27 @@ def test_substring_dedup_fuzz(spark):
     assert as_rows(got, "doc_id", "n_removed", "kept_sha256") == expect(want)
 
 
+def test_substring_dedup_texts_of_one_id_with_alike_hashes(spark):
+    rng = random.Random(8)
+
+    def some(n):
+        return " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+
+    def alike(short, long):
+        """Both texts with a word added, so that the upper 22 bits of their hashes are equal."""
+        seen = {xxhash.xxh64_intdigest(f"{short} s{k}".encode(), 42) >> 42: k for k in range(8000)}
+        return next((f"{short} s{seen[h]}", f"{long} l{k}") for k in range(8000) if (h := xxhash.xxh64_intdigest(f"{long} l{k}".encode(), 42) >> 42) in seen)
+
+    passage, other = some(60), some(60)
+    rows = [(1, passage), (2, f"{some(100)} {other}")]
+    rows += [(5, t) for t in alike(some(300), f"{some(100)} {passage} {some(100)}")]
+    rows += [(None, t) for t in alike(some(60), f"{some(200)} {other} {some(20)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert df.selectExpr("doc_id", "shiftrightunsigned(xxhash64(text), 42) AS h").where("doc_id = 5 or doc_id is null").distinct().count() == 2
+    got = substring_dedup.duplicate_spans(df)
+    assert as_rows(got, "doc_id", "n_words", "n_removed") == expect([(1, 60, 0), (2, 160, 60), (5, 301, 0), (5, 261, 60), (None, 61, 0), (None, 281, 0)])
+
+
 # n-gram join
 
 
