@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelcat.llm import bpe, classifier, exact_dedup, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, substring_dedup
+from reelcat.llm import bpe, classifier, exact_dedup, lexical_search, line_dedup, mixing, ngram_join, periodic_runs, quality_rules, recurrent_lm, secret_scan, sharding, substring_dedup
 from reelcat.llm.common import table
 
 
@@ -72,7 +72,38 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(table(spark, sf_dir))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) mod 10 is 0, the words from a place on repeat with a period that the id fixes.  A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    parts = docs.select("doc_id", "text", F.expr("{h} div 10".format(h="crc32(cast(cast(doc_id as string) as binary))")).alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
+    parts = parts.withColumn("_n", F.size("_words")).withColumn("_a", F.expr("_g % _n"))
+    parts = parts.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    planted = F.expr("array_join(transform(_words, (w, i) -> if(i >= _a, _words[cast(_a + (i - _a) % _p as int)], w)), ' ')")
+    return parts.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(table(spark, sf_dir)))
+    # exact quotients compared by cross products; runs come by start, then period, so the first of equals stays
+    best = F.expr("aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), element_at(runs, 1), (a, x) -> if(x.length * a.period > a.length * x.period, x, a))")
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return (found.withColumn("_best", F.when(F.size("runs") > 0, best))
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+                    F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+                    F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_mixing, op6_quality_rules, op7_secret_scan, op8_bpe, op9_line_dedup, op10_quality_classifier,
+                                 op11_lexical_search, op12_recurrent_lm, op13_periodic_runs)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -102,6 +133,21 @@ ORACLE = {
                     OR 10 * n_marks > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
         FROM m
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                          unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                   FROM documents),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM benchmark),
+        lengths AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+        totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+        tf AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term),
+        scored AS (SELECT item_id, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+                   FROM i JOIN tf USING (term) JOIN w USING (term) JOIN lengths USING (r), totals GROUP BY item_id, r)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op9_line_dedup": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
