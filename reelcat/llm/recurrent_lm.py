@@ -42,10 +42,11 @@ from reelcat.llm.common import column, raw, rows, written
 #: words that every task knows, and the longest of them in bytes
 HEAD, HEAD_BYTES = 262_144, 64
 #: words with a softmax of their own, and the classes they form
-SOFT, CLASSES = 4096, 48
+SOFT, CLASSES = 4096, 40
 HIDDEN = 16
 ROUNDS = 3
-LANES, WINDOW = 512, 16
+#: documents side by side in training and in scoring, and steps between updates
+LANES, SCORED_LANES, WINDOW = 512, 1024, 16
 RATE = 0.1
 #: tokens that are laid out in lanes together
 LAYOUT = 4_000_000
@@ -174,7 +175,7 @@ class Shape:
         v = {k: np.zeros(s) for k, s in self.parts().items()}
         v["inputs"] = rng.normal(0, 0.3, v["inputs"].shape)
         v["state"] = rng.normal(0, 1 / math.sqrt(self.hidden), v["state"].shape)
-        v["class_b"], v["word_b"] = np.log(self.mass), self.start
+        v["class_b"], v["word_b"] = np.log(self.mass / self.mass.sum()), self.start
         flat = np.concatenate([x.ravel() for x in v.values()]).astype(np.float32)
         return np.concatenate([flat, np.full(len(flat), 1.0, np.float32)])
 
@@ -205,22 +206,35 @@ class Network:
         for t in range(len(x)):
             h = h * keep[t]
             g = h @ U
-            zr = 0.5 * np.tanh(0.5 * (ahead[t, :, :2 * H] + g[:, :2 * H])) + 0.5
+            zr, n = ahead[t, :, :2 * H], ahead[t, :, 2 * H:]
+            zr += g[:, :2 * H]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(ahead[t, :, 2 * H:] + r * g[:, 2 * H:])
+            n += r * g[:, 2 * H:]
+            np.tanh(n, out=n)
             if trace is not None:
                 trace.append((h, z, r, n, g[:, 2 * H:]))
-            h = n + z * (h - n)
+            h = h - n
+            h *= z
+            h += n
             out[t] = h
         return out, h
 
+    def _shift(self, logits: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> None:
+        """Keep the logits in a range where float32 can take their exponentials; states lie between -1 and 1."""
+        if np.abs(weight).sum(1).max() + np.abs(bias).max() > 60:
+            logits -= logits.max(1, keepdims=True)
+
     def output(self, states: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of the words ``y`` after ``states``; with ``learn`` also the gradient of the states, and the output's own steps are taken."""
         s, v = self.shape, self.value
         cls, place = s.cls[y], np.arange(len(y))
         p = states @ v["class_w"]
         p += v["class_b"]
-        p -= p.max(1, keepdims=True)
+        self._shift(p, v["class_w"].T, v["class_b"])
         own = p[place, cls]
         np.exp(p, out=p)
         total = p.sum(1)
@@ -241,7 +255,7 @@ class Network:
             h, word = states[at], y[at] - lo
             q = h @ v["word_w"][lo:hi].T
             q += v["word_b"][lo:hi]
-            q -= q.max(1, keepdims=True)
+            self._shift(q, v["word_w"][lo:hi], v["word_b"][lo:hi])
             mine = q[np.arange(len(at)), word]
             np.exp(q, out=q)
             total = q.sum(1)
@@ -305,7 +319,7 @@ def train(net: Network, docs: list[np.ndarray], lanes: int = LANES) -> int:
     return sum(map(len, docs))
 
 
-def log_probabilities(net: Network, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
+def log_probabilities(net: Network, docs: list[np.ndarray], lanes: int = SCORED_LANES) -> np.ndarray:
     """Natural log probability of every document (ids with the end token last), its state carried from its first token to its last."""
     if not docs:
         return np.empty(0)
@@ -353,15 +367,17 @@ def _encoded(known):
         number = {w: k for k, w in enumerate(known.value)}
         other = len(number)
         for b in batches:
-            ids, outer = [], []
+            ids, outer, n, ends = [], [], [], [0]
             for text in raw(b):
                 own = words(text)
                 found = np.fromiter(map(number.get, own, repeat(other)), np.int32, len(own))
                 ids.append(np.append(found, np.int32(0)).tobytes())
                 strange = Counter(own[k] for k in np.flatnonzero(found == other).tolist())
-                outer.append([{"word": w.decode(), "n": n} for w, n in strange.items()])
-            one = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "held_out"), column(b, "_round"), pa.array(ids, pa.binary()), pa.array(outer, one)],
+                outer += strange
+                n += strange.values()
+                ends.append(len(outer))
+            each = pa.StructArray.from_arrays([pa.array(outer, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "held_out"), column(b, "_round"), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)],
                                              names=["doc_id", "held_out", "_round", "ids", "outer"])
 
     return run
