@@ -4,9 +4,8 @@ A merge can only make a token of the vocabulary, so two neighbouring bytes that
 stand next to each other in no token are never merged: the place between them is a
 certain cut.  Every piece of a text (after the tokenizer's normalisation and its
 splitting rule) falls into fragments at such cuts; each fragment is merged on its
-own and the ids are put together.  Spaces stand in no token, so words are fragments
-that can be remembered; each worker holds a fixed number
-of them, the latest.
+own, in time n log n, and the ids are put together.  Spaces stand in no token, so words are fragments
+that can be remembered; each worker holds the latest of them up to a fixed number of bytes (and the words of one text).
 
 The tokenizer file (``tokenizers`` JSON: BPE with byte letters and an end-of-word
 suffix) is read on the driver from a path that the caller gives and broadcast; its
@@ -21,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import numpy as np
@@ -33,7 +33,10 @@ from reelcat.llm.common import column, per_worker
 
 #: the tokenizer's splitting rule on normalised text, where the only white space is a space (fixed value)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
-REMEMBERED = 1_000_000
+#: bytes of remembered words and their ids in a worker, with what Python adds to each
+REMEMBERED, ADDED = 240_000_000, 200
+#: parts of a fragment up to which a plain search for the next merge is faster than a heap
+FEW = 48
 #: rows in an outgoing batch
 SLICE = 500
 _SPLIT, _LETTER, _NUMBER = regex.compile(PIECES).findall, regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
@@ -68,6 +71,7 @@ class ForcedBoundaryBPE:
         self.usual, self.odd = set(map(chr, range(33, 127))), set()
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.size = 0
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut wherever two bytes stand together in no token."""
@@ -79,6 +83,9 @@ class ForcedBoundaryBPE:
         parts = [self.letters[b] for b in fragment]
         if last:
             parts[-1] += self.end
+        return [self.vocab[p] for p in (self._few(parts) if len(parts) <= FEW else self._many(parts)) if p in self.vocab]
+
+    def _few(self, parts: list[str]) -> list[str]:
         never, rank = len(self.ranks), self.ranks.get
         ranks = [rank(pair, never) for pair in pairwise(parts)]
         while ranks and (best := min(ranks)) < never:
@@ -89,7 +96,28 @@ class ForcedBoundaryBPE:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
             if i < len(ranks):
                 ranks[i] = rank((parts[i], parts[i + 1]), never)
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        return parts
+
+    def _many(self, parts: list[str]) -> list[str]:
+        """The same with a heap of pairs over a linked list, in n log n; a pair that has changed since is passed over."""
+        rank, n = self.ranks.get, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, pair in enumerate(pairwise(parts)) if (r := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or rank((parts[i], parts[j])) != r:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heappush(heap, (r, h))
+        return [p for p in parts if p is not None]
 
     def pieces(self, word: str) -> list[str]:
         """By the splitting rule.  A letter that the library's Unicode tables class otherwise sends its word to the library's splitter."""
@@ -117,11 +145,12 @@ class ForcedBoundaryBPE:
     def _plain(self, text: str) -> bytes:
         """No token has a space inside, so the places beside spaces are forced boundaries for all texts."""
         words = text.encode().lower().split() if text.isascii() else self.normalize(text).encode().split(b" ")
-        if len(self.known) >= REMEMBERED // 2:
-            self.before, self.known = self.known, {}
+        if self.size >= REMEMBERED // 2:
+            self.before, self.known, self.size = self.known, {}, 0
         known, before = self.known, self.before
         for w in set(words).difference(known):
-            known[w] = before[w] if w in before else self.word(w)
+            ids = known[w] = before[w] if w in before else self.word(w)
+            self.size += len(w) + len(ids) + ADDED
         return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:

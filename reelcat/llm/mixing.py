@@ -10,7 +10,8 @@ every run and whole documents are taken.
 
 Defined cases: a null text or one without words has size 0 and is never taken; a
 null source is a source of its own, after all others; an empty membership gives
-nothing; rows that repeat (same id) are taken alike; an empty table gives an empty
+nothing; rows that repeat (same id, text and
+sources) are taken alike, rows that differ in one of them each by itself; an empty table gives an empty
 result.  ``max_patterns`` bounds what the driver holds; more patterns stop the job.
 """
 
@@ -106,6 +107,10 @@ def _edge(times: int, cut: Cut | None) -> tuple[int, int, int]:
     return (times, *(as_longs(cut.key) if cut else (_LEAST, _LEAST)))
 
 
+def _members(sources: Column | None) -> Column:
+    return F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources, F.array())))
+
+
 def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE,
                 max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 20_000) -> DataFrame:
     """doc_id, text_hash, size, sources, shares, times, taken for every row.
@@ -116,8 +121,7 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple =
     size and how often the row is taken for it; ``times`` is their sum and ``taken`` the words of that.
     """
     spark = docs.sparkSession
-    members = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources, F.array())))
-    base = settle(docs.select("doc_id", word_count(F.col("text")).alias("_w"), members.alias("_in"),
+    base = settle(docs.select("doc_id", word_count(F.col("text")).alias("_w"), _members(sources).alias("_in"),
                               F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_k1"), F.xxhash64(F.col("text")).alias("_k2")))
     found = base.groupBy("_in").agg(F.sum("_w").alias("w")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -154,9 +158,10 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple =
                     (F.col("times") * F.col("_w")).alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, sources: Column | None = None, **options) -> DataFrame:
     """The documents with each row repeated as often as the mix takes it; rows not taken go."""
-    plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.max("times").cast("int").alias("_times"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_h"))
-    both = rows.join(plan.where("_times > 0"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    plan = (mix_sources(docs, sources, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("sources").alias("_from"))
+            .agg(F.max("times").cast("int").alias("_times")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_h"), _members(sources).alias("_in"))
+    both = rows.join(plan.where("_times > 0"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & (F.col("_in") == F.col("_from")))
     return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -84,8 +84,8 @@ def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text; where crc32(doc_id) mod 10 is 0, the words from a place on repeat with a period that the id fixes.  A null id plants nothing."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    parts = docs.select("doc_id", "text", F.expr("{h} div 10".format(h="crc32(cast(cast(doc_id as string) as binary))")).alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
-    parts = parts.withColumn("_n", F.size("_words")).withColumn("_a", F.expr("_g % _n"))
+    parts = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
+    parts = parts.withColumn("_n", F.expr("nullif(greatest(size(_words), 0), 0)")).withColumn("_a", F.expr("_g % _n"))
     parts = parts.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
     planted = F.expr("array_join(transform(_words, (w, i) -> if(i >= _a, _words[cast(_a + (i - _a) % _p as int)], w)), ' ')")
     return parts.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))

@@ -47,7 +47,7 @@ HIDDEN = 16
 ROUNDS = 3
 #: documents side by side in training and in scoring, and steps between updates
 LANES, SCORED_LANES, WINDOW = 512, 1024, 16
-RATE = 0.1
+RATE = 0.2
 #: tokens that are laid out in lanes together
 LAYOUT = 4_000_000
 #: different words a task holds before it hands on its counts

@@ -1,6 +1,7 @@
 """Shards of near-equal bytes by histogram sort.
 
-Documents are ordered by (hash of the text, hash of the id).  The cut points of
+Documents are ordered by (hash of the text, hash of the id, hash of the row's number); the
+keys are written before anything is counted, so the row's number is settled.  The cut points of
 that order are found by counting exact bytes below candidate boundaries and
 refining them (:mod:`reelcat.llm.histogram`); then every document goes through
 one exchange to its place.  Equal texts are neighbours in the order: a group of
@@ -12,7 +13,7 @@ shard.
 
 Defined cases: null text has no bytes and the checksum of an empty text; a null
 id is a key like any other; rows that repeat (same id and text) are neighbours
-with different slots; an empty table gives an empty result.  Clashing extra
+with different slots, which may lie in different shards where they are many; an empty table gives an empty result.  Clashing extra
 columns are not looked at.
 """
 
@@ -26,10 +27,14 @@ from reelcat.llm.common import settle
 from reelcat.llm.histogram import as_struct, find_cuts, ordered
 
 
+#: low bits of the second key that come from the row's number, so that rows which repeat can be parted
+ROW_BITS = 24
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("_w"), F.crc32(text.cast("binary")).alias("_crc"),
-                       F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(4), F.col("doc_id")).alias("_k2"))
+                       F.xxhash64(text).alias("_k1"), F.expr(f"(xxhash64(4, doc_id) & {-1 << ROW_BITS}L) | (xxhash64(5, monotonically_increasing_id()) & {(1 << ROW_BITS) - 1}L)").alias("_k2"))
 
 
 def _reached(key: Column, cuts: list[Column]) -> Column:

@@ -16,7 +16,8 @@ document with it; each is kept once however many documents repeat it.
 Neighbouring factors join greedily into the longest spans.  Nothing is missed: any two equal
 windows lie in blocks with the same anchor, which are either equal or both looked
 up.  All look-ups are joins and partial aggregations on 128-bit hashes, so a passage in
-a third of all documents is one row per map task; no task holds a passage's documents.
+a third of all documents is one row per map task; no task holds a passage's documents.  Blocks
+are computed once and written; places are gathered as sets, so rows that repeat add nothing to a list.
 
 Defined cases: a null text has no words; a null id is smaller than any other and is
 returned as null; rows that repeat (same id and text) are one document and get the same
@@ -139,7 +140,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_places(docs: DataFrame) -> DataFrame:
     """_id, _th, _places: per text, the (position, number) of all its repeated windows."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    found = keyed.select("_id", "_th", "text").mapInArrow(_blocks, "_anchor long, _id long, _th long, _place long, _h1 long, _h2 long")
+    found = written(keyed.select("_id", "_th", "text").mapInArrow(_blocks, "_anchor long, _id long, _th long, _place long, _h1 long, _h2 long"))
     # anchors of at least two documents; tables to be joined back are written first, so that both
     # sides of each join are exchanges and a frequent key's rows can be split over tasks
     anchors = written(found.groupBy("_anchor").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_anchor"))
@@ -151,13 +152,13 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     parsed = written(shared.join(index, ["_h1", "_h2"]).where("_id > _first or _several").select("_id", "_th", "_place", (F.col("_id") > F.col("_first")).alias("_whole")))
     release(docs.sparkSession)
     whole = parsed.where("_whole").select("_id", "_th", "_place")
-    edges = parsed.where("not _whole").groupBy("_id", "_th").agg(F.collect_list("_place").alias("_places"))
+    edges = parsed.where("not _whole").groupBy("_id", "_th").agg(F.collect_set("_place").alias("_places"))
     windows = written(keyed.join(edges, ["_id", "_th"]).select("_id", "_th", "text", "_places")
                      .mapInArrow(_windows, "_w1 long, _w2 long, _id long, _th long, _place long"))
     firsts = written(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select("_w1", "_w2", "_first"))
     release(docs.sparkSession)
     single = windows.join(firsts, ["_w1", "_w2"]).where("_id > _first").select("_id", "_th", "_place")
-    return whole.unionByName(single).groupBy("_id", "_th").agg(F.collect_list("_place").alias("_places"))
+    return whole.unionByName(single).groupBy("_id", "_th").agg(F.collect_set("_place").alias("_places"))
 
 
 def _covered(n_words: int, places: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
