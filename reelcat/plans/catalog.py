@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelcat import constants as K
+from reelcat.functions import objects as O
 from reelcat.operators import catalog as C
 from reelcat.plans.oracle_views import sql_content_type, sql_key_pid, sql_object_url, with_views
 from reelcat.sources import fixtures as X
@@ -70,6 +71,32 @@ def q_delete_remaining(spark: SparkSession, sf: str) -> DataFrame:
     return remaining
 
 
+def _manifest_copy(spark: SparkSession, sf: str):
+    """A stored manifest of the listing, of this query's own: it's going to be changed."""
+    from reelcat.sources import objects as SO
+    from reelcat.sources.media import scratch_path
+    table = SO.stored_manifest(spark, scratch_path(spark, "changing-manifest"))
+    table.create(X.files(spark, sf).select("processing_id", "key", "file_type", "size", "last_modified"))
+    return table
+
+
+def q_stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored manifest after a second upload batch overwrote it by key."""
+    from reelcat.sources import objects as SO
+    table = _manifest_copy(spark, sf)
+    incoming = incoming_objects(X.files(spark, sf))
+    SO.stored_upsert(table, incoming.withColumn("processing_id", O.key_processing_id("key")))
+    return table.read().select("key", "size", "last_modified", "file_type")
+
+
+def q_stored_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored manifest after the objects of a batch of ids were deleted from it."""
+    from reelcat.sources import objects as SO
+    table = _manifest_copy(spark, sf)
+    SO.stored_delete(table, delete_request(spark, sf))
+    return table.read()
+
+
 def q_deleted_objects(spark: SparkSession, sf: str) -> DataFrame:
     """The keys that a deletion removes."""
     _, _, deleted = C.delete_videos(X.files(spark, sf), delete_request(spark, sf))
@@ -98,6 +125,8 @@ QUERIES = {
     "delete_videos": q_delete_videos,
     "delete_remaining": q_delete_remaining,
     "deleted_objects": q_deleted_objects,
+    "stored_upsert": q_stored_upsert,
+    "stored_delete": q_stored_delete,
     "object_exists": q_object_exists,
 }
 
@@ -181,6 +210,14 @@ FROM allv GROUP BY key"""),
  c AS (SELECT pid, count(*) AS n FROM f WHERE pid IN (SELECT pid FROM req) GROUP BY pid)
 SELECT req.pid AS processing_id, cast(coalesce(c.n, 0) AS bigint) AS n_deleted, c.n IS NOT NULL AS found
 FROM req LEFT JOIN c ON req.pid = c.pid"""),
+    "stored_upsert": with_views(["files"], f"""WITH {_INCOMING},
+ allv AS (SELECT key, size, last_modified, file_type, 0 AS version FROM files
+          UNION ALL SELECT key, size, last_modified, file_type, 1 AS version FROM incoming)
+SELECT key, size, last_modified, file_type FROM allv
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, last_modified DESC, size DESC) = 1"""),
+    "stored_delete": with_views(["files", "tasks"], f"""WITH {_DELETE_IDS}
+SELECT processing_id, key, file_type, size, last_modified FROM files
+WHERE {sql_key_pid('key')} IS NULL OR {sql_key_pid('key')} NOT IN (SELECT pid FROM req)"""),
     "delete_remaining": with_views(["files", "tasks"], f"""WITH {_DELETE_IDS}
 SELECT processing_id, key, file_type, size, last_modified FROM files
 WHERE {sql_key_pid('key')} IS NULL OR {sql_key_pid('key')} NOT IN (SELECT pid FROM req)"""),

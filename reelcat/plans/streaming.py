@@ -44,7 +44,7 @@ def q_stream_submissions(spark: SparkSession, sf: str) -> DataFrame:
     known = _known_tasks(spark, sf)
     out = J.run_to_table(J.stream_submissions(J.submission_stream(spark, sf)), "stream-submissions",
                          foreach_batch=J.new_tasks_batch(known))
-    return _ntz(spark.read.parquet(out).select("id", "base_id", "video_url", "url_hash", "status", "created_at", "updated_at"))
+    return _ntz(J.task_table(spark, out).read().select("id", "base_id", "video_url", "url_hash", "status", "created_at", "updated_at"))
 
 
 def q_stream_failure_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,10 +69,10 @@ def q_stream_timeouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_timeout_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    kept = J.run_to_table(J.attempt_starts(J.task_event_stream(spark, sf)), "stream-attempts", foreach_batch=J.attempt_starts_batch)
     df = J.stream_timeouts(J.task_event_stream(spark, sf), J.task_event_stream(spark, sf))
-    out = J.run_to_table(df, "stream-timeout-decisions",
-                         foreach_batch=J.timeout_decisions_batch(lambda: X.task_events(spark, sf)))
-    return _ntz(spark.read.parquet(out).drop("epoch"))
+    out = J.run_to_table(df, "stream-timeout-decisions", foreach_batch=J.timeout_decisions_batch(kept))
+    return _ntz(J.event_table(spark, out).read())
 
 
 def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox", foreach_batch=J.outbox_batch)
-    return _ntz(spark.read.parquet(out).drop("epoch"))
+    return _ntz(J.event_table(spark, out).read())
 
 
 QUERIES = {

@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelcat import constants as K
 from reelcat.functions import objects as O
+from reelcat.sources.keyed_table import KeyedTable
 
 
 def object_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -67,3 +69,51 @@ def write_manifest(manifest: DataFrame, path: str) -> str:
     (manifest.repartitionByRange("processing_id", "key").sortWithinPartitions("processing_id", "key")
      .write.mode("overwrite").parquet(path))
     return path
+
+
+# ---- a stored manifest that changes ---------------------------------------------
+
+def stored_manifest(spark: SparkSession, path: str) -> KeyedTable:
+    """The changing manifest at ``path``: one row per key, in ranges of the key."""
+    return KeyedTable(spark, path, "key")
+
+
+def stored_upsert(table: KeyedTable, incoming: DataFrame) -> int:
+    """Overwrite by key in the stored manifest: each key keeps its newest incoming record, by
+    ``(last_modified, size)``.  Only the ranges that hold an incoming key are written anew.  Returns the new version's number.
+
+    ``incoming`` has the manifest's columns; a null key isn't stored.  Without incoming rows nothing changes.
+    """
+    v = table.version()
+    fields = table.read(v).columns
+    rest = [c for c in fields if c != "key"]
+    rows = incoming.where(F.col("key").isNotNull()).select(*fields)
+    newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "size")).alias("w")).persist()
+    try:
+        if newest.isEmpty():
+            return v.number
+        own = table.touched(newest.select("key"), F.col("key"), F.col("key"), v)
+        kept = table.read(v, own).join(newest.select("key"), "key", "left_anti").select(*fields)
+        return table.replace(own, kept.unionByName(newest.select("key", "w.*").select(*fields)), v).number
+    finally:
+        newest.unpersist()
+
+
+def stored_delete(table: KeyedTable, ids: DataFrame) -> DataFrame:
+    """Delete the objects under ``videos/{id}/`` of a batch of ids from the stored manifest; report per
+    distinct id: processing_id, n_deleted, found.
+
+    Only ranges that overlap an id's prefix are read and, if an object goes, written anew.
+    """
+    v = table.version()
+    req = ids.select(F.col("processing_id").alias("pid")).where(F.col("pid").isNotNull()).distinct()
+    under = F.concat(F.lit(K.KEY_ROOT + "/"), F.col("pid"))
+    # the character after the slash ends the span of a prefix
+    own = table.touched(req, F.concat(under, F.lit("/")), F.concat(under, F.lit("0")), v)
+    held = table.read(v, own).withColumn("pid", O.key_processing_id("key"))
+    counts = held.join(req.select("pid"), "pid").groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    report = (req.join(counts, "pid", "left").select(F.col("pid").alias("processing_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_deleted"),
+                                                     F.col("n").isNotNull().alias("found")))
+    if own:
+        table.replace(own, held.join(req.select("pid"), "pid", "left_anti").drop("pid"), v)
+    return report

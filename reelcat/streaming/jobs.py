@@ -3,13 +3,14 @@
 Each job is a function from a streaming DataFrame to a streaming DataFrame
 (column logic shared with the batch operator), plus ``run_to_table`` to drive
 it with ``trigger(availableNow=True)`` into a Parquet folder under the shared
-checkpoint directory.
+checkpoint directory.  A job that is given its folder goes on where its last run stopped.
 
 State is always bounded: every stateful step has an event-time watermark
 (windowed aggregation, interval join), and table-level facts that must hold for
 ever (the task primary key, one delivery per event, the task snapshot) are
-enforced in ``foreachBatch`` against the stored table rather than in streaming
-state.  No row is dropped for being late in these: arrival order and file layout
+enforced in ``foreachBatch`` against a stored, versioned table (``KeyedTable``) rather than in streaming
+state.  A version names the epoch it came from, so a replayed batch is applied once, whatever marks
+the file system keeps; a batch reads only the parts that may hold its keys and writes what it adds.  No row is dropped for being late in these: arrival order and file layout
 don't change what is accepted.
 """
 
@@ -25,25 +26,20 @@ from reelcat import constants as K
 from reelcat.operators import identity as I
 from reelcat.session import checkpoint_dir
 from reelcat.sources import fixtures as X
+from reelcat.sources.keyed_table import KeyedTable, hadoop
 
 TERMINAL_OR_REQUEUE = ["queued", "completed", "failed"]
 
 
 # ---- sources ----------------------------------------------------------------
 
-def _hadoop(spark: SparkSession, path: str):
-    """(file system, path) as Spark's own readers see them."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """Stream one table of ``sf_dir``: a folder of part files, or one file (its folder is watched, one file name matched)."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     if fs.getFileStatus(p).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
@@ -152,10 +148,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", foreach_batch=None) -> str:
-    """Run ``df`` to completion with ``availableNow`` into a Parquet folder; return the folder."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", foreach_batch=None, root: str | None = None) -> str:
+    """Run ``df`` over all input there is with ``availableNow`` into a Parquet folder; return the folder.
+
+    With ``root``, the job's own folder, a run goes on from the checkpoint that the last one left there: input that
+    came since is read, and a batch that failed is repeated under its old number.  The folder holds
+    checkpoint and output, which belong together.
+    """
     spark = df.sparkSession
-    root = scratch(spark, name)
+    root = root or scratch(spark, name)
     out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if foreach_batch is not None:
@@ -166,121 +167,168 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", foreach_batch=N
     return out
 
 
-def _versions(spark: SparkSession, out: str, name: str, before: int | None = None) -> list[int]:
-    """Numbers of the complete ``name=<n>`` folders of ``out`` (those with Spark's success mark), ascending."""
-    fs, p = _hadoop(spark, out)
-    if not fs.exists(p):
-        return []
-    found = []
-    for f in fs.listStatus(p):
-        label = f.getPath().getName()
-        if label.startswith(f"{name}=") and fs.exists(_hadoop(spark, f"{out}/{label}/_SUCCESS")[1]):
-            found.append(int(label.partition("=")[2]))
-    return sorted(n for n in found if before is None or n < before)
-
+def task_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Tasks by id: stored ones, and those that the submission stream adds."""
+    return KeyedTable(spark, path, "id")
 
-def _earlier_epochs(spark: SparkSession, out: str, epoch: int, schema: str) -> DataFrame | None:
-    """Columns ``schema`` of what complete earlier epochs wrote; nothing if there are none.  A broken file raises."""
-    found = _versions(spark, out, "epoch", epoch)
-    # with a schema, epochs that wrote no row are read as such
-    return spark.read.schema(schema).option("basePath", out).parquet(*(f"{out}/epoch={n}" for n in found)) if found else None
 
-
-# stored task ids are partitioned by a hash bucket of the id, so a batch reads only its buckets
-ID_BUCKETS = 64
-
-
-def id_bucket(col: str = "id"):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BUCKETS)).cast("int")
+def event_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Rows by event id, in the order of the numbers."""
+    return KeyedTable(spark, path, F.lpad(F.col("event_id").cast("string"), 20, "0"))
 
 
 def write_known_tasks(tasks: DataFrame, path: str) -> str:
-    """Store task rows partitioned by ``id_bucket`` (the primary-key lookup structure)."""
-    (tasks.withColumn("id_bucket", id_bucket()).repartition("id_bucket")
-     .write.mode("overwrite").partitionBy("id_bucket").parquet(path))
+    """Store task rows in ranges of the id (the primary-key lookup structure)."""
+    task_table(tasks.sparkSession, path).create(tasks)
     return path
 
 
 def new_tasks_batch(known_path: str):
     """``foreachBatch`` body for T1: keep tasks whose id is neither stored nor
-    written by an earlier epoch (the primary key holds for ever), of repeats within the
-    batch the one submitted first, and write them to ``out/epoch=<n>/id_bucket=<b>/``.
-    Rewriting an epoch on replay is idempotent.
+    added by an earlier epoch (the primary key holds for ever), of repeats within the
+    batch the one submitted first, and append them to the table at ``out``.
 
-    The batch's distinct id buckets (at most ``ID_BUCKETS`` numbers) prune the
-    stored table and the earlier epochs to the partitions that can hold a
-    repeat, so a small batch does not scan every stored id.
+    Only parts whose range holds one of the batch's ids are read, of the stored table and of the stream's own.
     """
     def body(batch: DataFrame, epoch: int, out: str) -> None:
         spark = batch.sparkSession
+        added = task_table(spark, out)
+        if added.applied(epoch):
+            return
         rest = F.struct(*(c for c in batch.columns if c != "id"))
-        first = batch.groupBy("id").agg(F.min_by(rest, F.struct("created_at", "video_url")).alias("_first")).select("id", "_first.*")
-        b = first.select(*batch.columns, id_bucket().alias("id_bucket")).persist()
+        first = batch.groupBy("id").agg(F.min_by(rest, F.struct("created_at", "video_url")).alias("_first")).select("id", "_first.*").select(*batch.columns).persist()
         try:
-            buckets = [r[0] for r in b.select("id_bucket").distinct().collect()]
-            known = spark.read.schema("id string, id_bucket int").parquet(known_path).where(F.col("id_bucket").isin(buckets)).select("id")
-            fresh = b.join(known, "id", "left_anti")
-            earlier = _earlier_epochs(spark, out, epoch, "id string, id_bucket int")
-            if earlier is not None:
-                fresh = fresh.join(earlier.where(F.col("id_bucket").isin(buckets)).select("id"), "id", "left_anti")
-            fresh.write.mode("overwrite").partitionBy("id_bucket").parquet(f"{out}/epoch={epoch}")
+            fresh = first
+            for table in (task_table(spark, known_path), added):
+                if table.version() is not None:
+                    fresh = fresh.join(table.holding(first, F.col("id")).select("id"), "id", "left_anti")
+            added.append(fresh.select(*batch.columns), epoch)
+            added.compact(lambda rows: rows)
         finally:
-            b.unpersist()
+            first.unpersist()
     return body
 
 
 def outbox_batch(batch: DataFrame, epoch: int, out: str) -> None:
     """``foreachBatch`` body for T6: rows of events that no earlier epoch wrote, each once."""
-    fresh = batch.dropDuplicates(["event_id", "attempt"])
-    earlier = _earlier_epochs(batch.sparkSession, out, epoch, "event_id long")
-    if earlier is not None:
-        fresh = fresh.join(earlier.select("event_id").distinct(), "event_id", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    sent = event_table(batch.sparkSession, out)
+    if sent.applied(epoch):
+        return
+    fresh = batch.dropDuplicates(["event_id", "attempt"]).persist()
+    try:
+        new = fresh
+        if sent.version() is not None:
+            new = fresh.join(sent.holding(fresh, F.lpad(F.col("event_id").cast("string"), 20, "0")).select("event_id").distinct(), "event_id", "left_anti")
+        sent.append(new.select(*batch.columns), epoch)
+        sent.compact(lambda rows: rows)
+    finally:
+        fresh.unpersist()
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("status", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
+    return rows.groupBy("task_id").agg(last.alias("l")).select("task_id", "l.status", "l.updated_at", "l.event_id")
 
 
 def snapshot_merge_batch(batch: DataFrame, epoch: int, out: str) -> None:
-    """``foreachBatch`` body for T2: merge a batch of status events into a versioned snapshot.
+    """``foreachBatch`` body for T2: add a batch of status events to the stored snapshot.
 
-    Each epoch writes ``out/v=<epoch>`` from the newest earlier version plus the
-    batch, keeping the latest row by ``(updated_at, event_id)`` per task (an
-    aggregate with map-side combine).  Readers take the newest version, so the
-    snapshot being read is never overwritten, and a replayed epoch rewrites
-    only its own version.
+    Each epoch appends the latest row by ``(updated_at, event_id)`` of the tasks in its batch (an
+    aggregate with map-side combine), so it writes what the batch holds and not the table; ``compact`` folds small runs.
+    Versions that are being read stay; those before the newest few are removed.
     """
-    spark = batch.sparkSession
-    rows = batch.select("task_id", "status", "updated_at", "event_id")
-    before = _versions(spark, out, "v", epoch)
-    if before:
-        rows = spark.read.parquet(f"{out}/v={before[-1]}").unionByName(rows)
-    last = F.max_by(F.struct("status", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
-    merged = rows.groupBy("task_id").agg(last.alias("l")).select("task_id", "l.status", "l.updated_at", "l.event_id")
-    merged.write.mode("overwrite").parquet(f"{out}/v={epoch}")
+    state = KeyedTable(batch.sparkSession, out, "task_id")
+    if state.applied(epoch):
+        return
+    state.append(_latest(batch.select("task_id", "status", "updated_at", "event_id")), epoch)
+    state.compact(_latest)
+    state.vacuum(KEPT_VERSIONS)
+
+
+#: versions of the snapshot that stay readable beside the newest
+KEPT_VERSIONS = 4
 
 
 def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """The newest complete snapshot version."""
-    return spark.read.parquet(f"{out}/v={_versions(spark, out, 'v')[-1]}")
+    """The newest state of every task."""
+    return _latest(KeyedTable(spark, out, "task_id").read())
+
+
+# ---- timeout decisions from kept attempts ------------------------------------
+
+_DAY_S = 86_400
+
+
+def _day(ts: str):
+    return F.floor(F.unix_seconds(ts) / _DAY_S)
 
 
-def timeout_decisions_batch(history, max_retries: int = K.MAX_RETRIES):
+def _task_day(task: str = "task_id", day: str = "day"):
+    """Key of one task's starts on one day."""
+    return F.concat_ws("/", F.col(task), F.lpad(F.col(day).cast("string"), 8, "0"))
+
+
+def attempt_starts(events: DataFrame) -> DataFrame:
+    """``processing`` events as a stateless stream for ``attempt_starts_batch``."""
+    return events.where(F.col("event") == "processing").select("task_id", "event_id", "ts")
+
+
+def attempt_tables(spark: SparkSession, out: str) -> tuple[KeyedTable, KeyedTable]:
+    """(starts by task and day, number of starts of each task on each day by task) that ``attempt_starts_batch`` keeps at ``out``."""
+    return KeyedTable(spark, f"{out}/starts", _task_day()), KeyedTable(spark, f"{out}/counts", "task_id")
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("task_id", "day").agg(F.sum("n").alias("n"))
+
+
+def attempt_starts_batch(batch: DataFrame, epoch: int, out: str) -> None:
+    """``foreachBatch`` body that keeps attempts: appends a batch's starts, and adds its counts per task and day."""
+    starts, counts = attempt_tables(batch.sparkSession, out)
+    rows = batch.withColumn("day", _day("ts")).select("task_id", "day", "event_id", "ts")
+    if not starts.applied(epoch):
+        starts.append(rows, epoch)
+        starts.compact(lambda x: x)
+    if not counts.applied(epoch):
+        counts.append(rows.groupBy("task_id", "day").agg(F.count(F.lit(1)).alias("n")), epoch)
+        counts.compact(_summed)
+
+
+def kept_attempts(timeouts: DataFrame, out: str) -> DataFrame:
+    """task_id, event_id, attempt of the timeouts' starts: the kept counts of the task's earlier days plus the place
+    within its own day.  Reads only parts that may hold these tasks, and of starts only those days; a day with very
+    many starts of one task is numbered by the segmented scan."""
+    from reelcat.operators.scan import running
+
+    starts, counts = attempt_tables(timeouts.sparkSession, out)
+    asked = timeouts.select("task_id", _day("started_at").alias("day")).distinct().persist()
+    before = (_summed(counts.holding(asked, F.col("task_id"))).select(F.col("task_id").alias("_t"), F.col("day").alias("_d"), "n")
+              .join(asked, (F.col("_t") == F.col("task_id")) & (F.col("_d") < F.col("day")))
+              .groupBy("task_id", "day").agg(F.sum("n").alias("_before")))
+    own = starts.holding(asked, _task_day()).join(asked, ["task_id", "day"], "left_semi")
+    numbered = running(own.select("task_id", "day", "ts", "event_id"), ["task_id", "day"], ["ts", "event_id"], sums={"_place": F.lit(1).cast("bigint")})
+    return (numbered.join(before, ["task_id", "day"], "left")
+            .select("task_id", "event_id", (F.coalesce("_before", F.lit(0)) + F.col("_place")).cast("bigint").alias("attempt")))
+
+
+def timeout_decisions_batch(attempts: str, max_retries: int = K.MAX_RETRIES):
     """``foreachBatch`` body for T3's decision step: requeue or fail each timeout.
 
-    ``history`` returns the stored event log (a batch DataFrame).  Only the
-    history of the tasks in this batch is read (semi join), their attempts are
-    numbered with the segmented scan, and each timeout gets ``attempt``,
+    ``attempts`` is the folder that ``attempt_starts_batch`` keeps (its stream must have read the starts of these timeouts, which are emitted at
+    least the time limit after them).  Each timeout gets ``attempt``,
     ``retry`` and ``next_status`` (a timeout is a retryable TIMEOUT error, so
     it is requeued while the attempt number is below ``max_retries``).
-    Written to ``out/epoch=<n>`` (idempotent on replay).
     """
-    from reelcat.operators.lifecycle import event_attempts
-
     def body(batch: DataFrame, epoch: int, out: str) -> None:
-        tasks = batch.select("task_id").distinct()
-        attempts = event_attempts(history().join(tasks, "task_id", "left_semi")).select("event_id", "attempt")
-        decided = (batch.join(attempts, "event_id")
-                   .select("task_id", "event_id", "started_at", "deadline", "attempt",
-                           (F.col("attempt") < max_retries).alias("retry"),
-                           F.when(F.col("attempt") < max_retries, F.lit("queued")).otherwise(F.lit("failed"))
-                           .alias("next_status")))
-        decided.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        decided = event_table(batch.sparkSession, out)
+        if decided.applied(epoch):
+            return
+        rows = batch.persist()
+        try:
+            retry = F.col("attempt") < max_retries
+            decided.append(rows.join(kept_attempts(rows, attempts).drop("task_id"), "event_id")
+                           .select("task_id", "event_id", "started_at", "deadline", "attempt", retry.alias("retry"),
+                                   F.when(retry, F.lit("queued")).otherwise(F.lit("failed")).alias("next_status")), epoch)
+        finally:
+            rows.unpersist()
     return body
