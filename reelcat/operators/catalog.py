@@ -12,9 +12,8 @@ Scale notes
 * "Last wins" is made deterministic with ``(last_modified, key)`` as the
   ordering, so results do not depend on input order.
 * Paging is a top-k (``orderBy().offset().limit()`` -> TakeOrderedAndProject)
-  while ``page * limit`` is small; deeper pages rank every row with the
-  range-partitioned scan (``scan.running``).  Totals are a scalar subquery,
-  not a join.
+  while ``page * limit`` is small; for deeper pages rows are counted per range of the
+  order and only the range that holds the page is sorted (``scan.page_by_bounds``).
 * Key lookups (delete, exists) are equi/semi/anti joins; the broadcast choice
   is left to AQE, which checks the runtime size of each side against
   ``spark.sql.autoBroadcastJoinThreshold``.
@@ -28,6 +27,7 @@ from pyspark.sql.window import Window
 
 from reelcat import constants as K
 from reelcat.functions import objects as O
+from reelcat.operators.scan import Order, page_by_bounds
 
 SLOT_FIELDS = ("key", "size", "content_type")
 
@@ -104,32 +104,29 @@ def check_page(page: int, limit: int, max_limit: int = K.PAGE_MAX_LIMIT) -> tupl
     return page, min(limit, max_limit)
 
 
-# deepest slice served by a single top-k task; deeper pages use a range-partitioned rank
-TOPK_MAX_ROWS = 100_000
+# pages that end within this many rows are one top-k over the table; others are found by the bounds of the order
+TOPK_ROWS = 10_000
 
 
-def listing_page(df: DataFrame, order: list[Column], page: int = 1, limit: int = K.PAGE_DEFAULT_LIMIT,
+def listing_page(df: DataFrame, order: list[str], page: int = 1, limit: int = K.PAGE_DEFAULT_LIMIT,
                  max_limit: int = K.PAGE_MAX_LIMIT) -> DataFrame:
     """Slice page ``page`` of ``df`` in ``order`` and add page, limit, total, has_next, position.
 
-    ``order`` must be a total order (end with a unique key).  The total is a
-    scalar subquery over ``df``.  Shallow pages are a top-k of ``page * limit``
-    rows (TakeOrderedAndProject); pages deeper than ``TOPK_MAX_ROWS`` rank all
-    rows with the range-partitioned scan, so no task holds more than its
-    range partition.
+    ``order`` (names, ``-name`` for falling) must be a total order (end with a unique key).  A page among the first
+    ``TOPK_ROWS`` rows is a top-k (TakeOrderedAndProject), its total a scalar subquery.  A page beyond is found by
+    counts per range of the order (``scan.page_by_bounds``), whose sum is the total: only
+    the rows around the page are sorted, however deep it lies.
     """
     page, limit = check_page(page, limit, max_limit)
     start = (page - 1) * limit
-    total = df.select(F.count(F.lit(1))).scalar()
-    if start + limit <= TOPK_MAX_ROWS:
-        sliced = df.orderBy(*order).offset(start).limit(limit)
+    if start + limit <= TOPK_ROWS:
+        by = Order(order).columns()
         # at most `limit` (<= 100) rows reach this window
-        pos = F.row_number().over(Window.orderBy(*order)) + F.lit(start)
-        sliced = sliced.withColumn("position", pos.cast("bigint"))
+        pos = F.row_number().over(Window.orderBy(*by)) + F.lit(start)
+        sliced, total = df.orderBy(*by).offset(start).limit(limit).withColumn("position", pos.cast("bigint")), df.select(F.count(F.lit(1))).scalar()
     else:
-        from reelcat.operators.scan import running
-        ranked = running(df, [], order, rn_col="position")
-        sliced = ranked.where((F.col("position") > start) & (F.col("position") <= start + limit))
+        sliced, n = page_by_bounds(df, order, start, limit)
+        total = F.lit(n).cast("bigint")
     return (sliced
             .withColumn("page", F.lit(page).cast("bigint"))
             .withColumn("page_limit", F.lit(limit).cast("bigint"))
@@ -140,7 +137,7 @@ def listing_page(df: DataFrame, order: list[Column], page: int = 1, limit: int =
 def video_listing(files: DataFrame, page: int = 1, limit: int = K.PAGE_DEFAULT_LIMIT) -> DataFrame:
     """Page of videos, newest first (ties by processing id), with totals."""
     catalog = video_catalog(files)
-    return listing_page(catalog, [F.col("created_at").desc(), F.col("processing_id").asc()], page, limit)
+    return listing_page(catalog, ["-created_at", "processing_id"], page, limit)
 
 
 def video_details(files: DataFrame, base_url: str, bucket: str) -> DataFrame:

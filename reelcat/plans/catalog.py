@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelcat import constants as K
 from reelcat.functions import objects as O
 from reelcat.operators import catalog as C
+from reelcat.operators.scan import page_by_bounds
 from reelcat.plans.oracle_views import sql_content_type, sql_key_pid, sql_object_url, with_views
 from reelcat.sources import fixtures as X
 
@@ -304,14 +305,32 @@ ORACLE["read_objects"] = f"WITH {_OBJECTS} SELECT key, size AS length, sha256(bo
 # --- paging (L2): a deeper page of the catalogue ------------------------------
 
 PAGE_N, PAGE_LIMIT = 3, 50
+DEEP_LIMIT = 5
 
 
 def q_listing_page(spark: SparkSession, sf: str) -> DataFrame:
     cat = C.video_catalog(X.files(spark, sf)).select("processing_id", "created_at", "n_files")
-    return C.listing_page(cat, [F.col("created_at").desc(), F.col("processing_id").asc()], PAGE_N, PAGE_LIMIT)
+    return C.listing_page(cat, ["-created_at", "processing_id"], PAGE_N, PAGE_LIMIT)
+
+
+def deep_page(n_rows: int) -> int:
+    """A page of five rows past the middle of the table."""
+    return n_rows // 2 // DEEP_LIMIT + 1
+
+
+def q_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page in the middle of all objects, in order of size and key."""
+    files = X.files(spark, sf)
+    sliced, total = page_by_bounds(files.select("key", "size", "last_modified"), ["-size", "key"], (deep_page(files.count()) - 1) * DEEP_LIMIT, DEEP_LIMIT)
+    return sliced.withColumn("total", F.lit(total).cast("bigint"))
 
 
 QUERIES["listing_page"] = q_listing_page
+QUERIES["deep_page"] = q_deep_page
+ORACLE["deep_page"] = with_views(["files"], f"""WITH t AS (SELECT count(*) AS total FROM files),
+ r AS (SELECT key, size, last_modified, row_number() OVER (ORDER BY size DESC NULLS LAST, key) AS position FROM files)
+SELECT key, size, last_modified, cast(position AS bigint) AS position, total FROM r, t
+WHERE position > total // 2 // {DEEP_LIMIT} * {DEEP_LIMIT} AND position <= (total // 2 // {DEEP_LIMIT} + 1) * {DEEP_LIMIT}""")
 ORACLE["listing_page"] = with_views(["files"], f"""WITH {_PARSED},
  cat AS (SELECT pid AS processing_id, min(last_modified) AS created_at, count(*) AS n_files
          FROM parsed WHERE pid IS NOT NULL GROUP BY pid),

@@ -240,9 +240,9 @@ def test_expected_fixture_numbers(spark):
 
 def test_deep_page_uses_ranked_scan_and_matches_topk(spark, monkeypatch):
     cat = C.video_catalog(X.files(spark, SF_SMALL)).select("processing_id", "created_at", "n_files")
-    order = [F.col("created_at").desc(), F.col("processing_id").asc()]
+    order = ["-created_at", "processing_id"]
     shallow = C.listing_page(cat, order, page=7, limit=40).collect()
-    monkeypatch.setattr(C, "TOPK_MAX_ROWS", 10)
+    monkeypatch.setattr(C, "TOPK_ROWS", 10)
     deep = C.listing_page(cat, order, page=7, limit=40).collect()
     key = lambda r: r.position
     assert [tuple(r) for r in sorted(shallow, key=key)] == [tuple(r) for r in sorted(deep, key=key)]

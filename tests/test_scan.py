@@ -63,3 +63,68 @@ def test_null_keys_and_null_values_equal_a_plain_window(spark):
     cols = ["k", "i", "rn", "s", "prev_v"]
     key = lambda r: r["i"]
     assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)
+
+
+# ---- bounds as literals ----------------------------------------------------------
+
+def _odd_rows(spark):
+    import datetime
+    rows = [(None if i % 7 == 0 else i % 5, None if i % 11 == 0 else datetime.datetime(2024, 3, 31, 0, i % 60, i % 50, i), f"k{i}'\\", (i * 37) % 100 / 8) for i in range(3000)]
+    return spark.createDataFrame(rows, "a int, t timestamp_ntz, s string, d double")
+
+
+def test_ranges_follow_the_sort_order(spark):
+    from reelcat.operators.scan import Order, range_bounds, range_of
+    df = _odd_rows(spark)
+    zoned = df.withColumn("z", F.col("t").cast("timestamp"))
+    for names in (["a", "s"], ["-a", "t", "s"], ["t", "-s"], ["-d", "-t", "s"], ["-z", "s"], ["s"]):
+        by = Order(names)
+        bounds = range_bounds(zoned, by, 12)
+        assert len(bounds) == 11
+        got = [r.r for r in zoned.orderBy(*by.columns()).select(range_of(by, bounds).alias("r")).collect()]
+        assert got == sorted(got) and got[-1] == len(bounds)
+        assert max(got.count(r) for r in set(got)) <= 3 * 3000 / 12
+
+
+def test_a_range_is_the_same_in_every_pass(spark):
+    from reelcat.operators.scan import Order, range_bounds, range_of
+    df, by = _odd_rows(spark), Order(["t", "s"])
+    bounds = range_bounds(df, by, 9)
+    one, two = ({r.s: r.r for r in d.select("s", range_of(by, bounds).alias("r")).collect()} for d in (df, df.repartition(7)))
+    assert one == two
+
+
+def test_falling_order_and_no_checkpoint(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    df = _odd_rows(spark).where("t is not null")
+    got = running(df, ["a"], ["-t", "s"], sums={"x": F.col("d")}, n_parts=10).select("a", "s", "rn", "x")
+    w = Window.partitionBy("a").orderBy(F.col("t").desc(), "s")
+    want = df.select("a", "s", F.row_number().over(w).cast("bigint").alias("rn"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"))
+    key = lambda r: r["s"]
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)  # eighths add up exactly
+
+
+def test_pages_by_bounds(spark):
+    from reelcat.operators.scan import page_by_bounds
+    df = _odd_rows(spark).select("a", "s", "d")
+    for order in (["-a", "s"], ["d", "-s"], ["s"]):
+        from reelcat.operators.scan import Order
+        whole = df.orderBy(*Order(order).columns()).collect()
+        for start, limit, within in ((0, 5, 10), (1498, 7, 10), (1498, 7, 10_000), (2990, 50, 1), (5000, 5, 1)):
+            page, total = page_by_bounds(df, order, start, limit, within)
+            got = page.orderBy("position").collect()
+            assert total == 3000 and [r[:3] for r in got] == [tuple(r) for r in whole[start:start + limit]], (order, start)
+            assert [r.position for r in got] == list(range(start + 1, min(3000, start + limit) + 1))
+    empty, total = page_by_bounds(df.where("s = ''"), ["s"], 0, 5)
+    assert (empty.collect(), total) == ([], 0)
+
+
+def test_a_deep_page_sorts_the_rows_around_it_only(spark):
+    from reelcat.operators.scan import page_by_bounds
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    page, _ = page_by_bounds(spark.range(200_000).withColumn("x", F.col("id")), ["-x"], 150_000, 10, within=1000)
+    assert [r.id for r in page.collect()] == list(range(49_999, 49_989, -1))
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    offset = int(plan.split("Offset ")[1].split()[0].rstrip("\n"))
+    assert offset <= 1000
