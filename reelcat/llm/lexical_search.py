@@ -203,7 +203,7 @@ def _block(docs: DataFrame, texts: list[str], k: int) -> DataFrame:
     counts = [{number[w]: n for w, n in c.items()} for c in found]
     said, shared_root = spark.sparkContext.broadcast((counts, weights, root)), spark.sparkContext.broadcast(root)
     longest_first = (vectors.where(F.size("terms") > 0).mapInArrow(_impacts(n_docs, n_terms, shared_root), "_id long, length double, terms array<int>, impacts array<long>")
-                     .repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length")))
+                     .repartitionByRange(F.desc("length"), "_id").sortWithinPartitions(F.desc("length")))
     best = longest_first.mapInArrow(_search(said, k), "_item long, _id long, score long")
     place = F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("score"), "_id"))
     return (best.withColumn("rank", place).where(F.col("rank") <= k)

@@ -42,14 +42,14 @@ from reelcat.llm.common import column, raw, rows, written
 #: words that every task knows, and the longest of them in bytes
 HEAD, HEAD_BYTES = 262_144, 64
 #: words with a softmax of their own, and the classes they form
-SOFT, CLASSES = 4096, 40
+SOFT, CLASSES = 3072, 28
 HIDDEN = 16
 ROUNDS = 3
 #: documents side by side in training and in scoring, and steps between updates
-LANES, SCORED_LANES, WINDOW = 512, 1024, 16
+LANES, SCORED_LANES, WINDOW = 768, 1024, 16
 RATE = 0.2
 #: tokens that are laid out in lanes together
-LAYOUT = 4_000_000
+LAYOUT = 2_000_000
 #: different words a task holds before it hands on its counts
 COUNTED = 400_000
 #: parameters in a row while models are averaged, and models that one task adds up
