@@ -77,8 +77,8 @@ def best_format(formats: DataFrame, key: str = "video_id", tie: str = "format_id
 # ---- info records -----------------------------------------------------------
 
 def media_info(docs: DataFrame) -> DataFrame:
-    """The 11 scalar fields of an info record (missing -> null) and the parsed upload day."""
-    return docs.select(*S.SCALAR_NAMES, F.to_date("upload_date", "yyyyMMdd").alias("upload_day"))
+    """The 11 scalar fields of an info record (missing -> null) and the parsed upload day (null where the text is no date)."""
+    return docs.select(*S.SCALAR_NAMES, F.try_to_date("upload_date", "yyyyMMdd").alias("upload_day"))
 
 
 def parse_media_json(lines: DataFrame, col: str = "value") -> DataFrame:

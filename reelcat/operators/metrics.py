@@ -16,7 +16,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelcat import constants as K
@@ -27,7 +27,7 @@ from reelcat.operators.lifecycle import seconds_between, task_error_text
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.round(part / whole, 6)
+    return F.round(F.try_divide(part, whole), 6)
 
 
 def supported_sites(urls: DataFrame, url_col: str = "url", shown: int = K.SUPPORTED_SITES_SHOWN) -> DataFrame:
@@ -234,7 +234,10 @@ def webhook_outbox(docs: DataFrame, tasks: DataFrame, max_attempts: int = K.WEBH
 
 def parse_log_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     """Split log lines into time, logger, level and message; extract the task
-    tag, the stage number and the first documented pattern that matches."""
+    tag, the stage number and the first documented pattern that matches.
+
+    A line outside the format has no time, logger, level or pattern and an empty message; a time that is no
+    time of day, or a stage number beyond 64 bits, is null.  ``log_records`` puts such lines under the record they follow."""
     line = F.col(col)
     msg = F.regexp_extract(line, K.LOG_LINE_PATTERN, 4)
     pattern = F.lit(None).cast("string")
@@ -243,16 +246,48 @@ def parse_log_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     stage = F.nullif(F.regexp_extract(msg, K.LOG_STAGE_PATTERN, 1), F.lit(""))
     return lines.select(
         "event_id",
-        F.to_timestamp_ntz(F.regexp_extract(line, K.LOG_LINE_PATTERN, 1), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
-        .alias("logged_at"),
+        F.replace(F.regexp_extract(line, K.LOG_LINE_PATTERN, 1), F.lit(","), F.lit(".")).try_cast("timestamp_ntz").alias("logged_at"),
         F.nullif(F.regexp_extract(line, K.LOG_LINE_PATTERN, 2), F.lit("")).alias("logger"),
         F.nullif(F.regexp_extract(line, K.LOG_LINE_PATTERN, 3), F.lit("")).alias("level"),
         msg.alias("message"),
         F.nullif(F.regexp_extract(msg, K.LOG_TASK_TAG_PATTERN, 1), F.lit("")).alias("task_tag"),
-        stage.cast("bigint").alias("stage"),
+        stage.try_cast("bigint").alias("stage"),
         pattern.alias("pattern"))
 
 
+def log_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, block (where the split begins that read them), at (rising within a split) and line."""
+    read = spark.read.text(path)
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """One row per log record: the fields of its first line, and in ``trailing`` the lines that follow it without a header
+    of their own (a traceback, a message of several lines), as one text; null if there are none.
+
+    ``lines`` as of ``log_file_lines``.  A record may begin in one split of a file and end in the next: the segmented scan over
+    (file, block, at) numbers the headers, so a line knows the last header before it wherever that was read.  Only places and
+    trailing lines are exchanged; the lines with a header, most of a log, are parsed where they are.  Lines
+    before a file's first header are a record without fields.
+    """
+    from reelcat.operators.scan import running
+
+    header = F.coalesce(F.col("line").rlike(K.LOG_LINE_PATTERN), F.lit(False))
+    places = lines.select("file", "block", "at", header.alias("_header"), F.when(~header, F.coalesce("line", F.lit(""))).alias("_text"))
+    numbered = running(places, ["file"], ["block", "at"], sums={"_record": F.col("_header").cast("bigint")}, rn_col="_rn")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "_text"))), lambda x: x["_text"])
+    trailing = (numbered.where(~F.col("_header")).groupBy("file", "_record").agg(F.concat_ws("\n", text).alias("trailing"))
+                .select(F.col("file").alias("_f"), F.col("_record").alias("_r"), "trailing"))
+    of_header = (numbered.where("_header").select("file", "at", "_record").join(trailing, (F.col("file") == F.col("_f")) & (F.col("_record") == F.col("_r")))
+                 .select(F.col("at").alias("_at"), F.col("_f"), "trailing"))
+    headed = lines.where(header).join(of_header, (F.col("at") == F.col("_at")) & (F.col("file") == F.col("_f")), "left")
+    none = F.lit(None).cast("string")
+    orphans = trailing.where("_r = 0").select(F.col("_f").alias("file"), none.alias("line"), "trailing")
+    found = headed.select("file", "line", "trailing").unionByName(orphans).withColumn("event_id", F.struct("file", "trailing"))
+    return parse_log_lines(found).select("event_id.*", "*").drop("event_id")
+
+
 def log_pattern_counts(parsed: DataFrame) -> DataFrame:
     return (parsed.groupBy("pattern", "level")
             .agg(F.count(F.lit(1)).alias("n_lines"), F.min("logged_at").alias("first_at"),

@@ -330,3 +330,37 @@ def q_log_file_events(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["log_file_events"] = q_log_file_events
 ORACLE["log_file_events"] = with_views(["log_lines"], f"WITH {_PARSED_LOG}\nSELECT * EXCLUDE (event_id) FROM pl2")
 
+
+
+def _log_with_tracebacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines as a worker writes them to a file: an error goes on over several lines, some times and stage numbers are broken, some uploads are retried."""
+    lines = X.log_lines(spark, sf)
+    i = F.col("event_id")
+    line = (F.when(i % 89 == 0, F.regexp_replace("line", r"^(\d{4})-\d\d", "$1-19"))
+            .when(i % 83 == 0, F.regexp_replace("line", "Stage 2", "Stage 99999999999999999999"))
+            .when(i % 79 == 0, F.regexp_replace("line", " - ([A-Z]+) - .*$", " - WARNING - Retrying in 2 seconds...")).otherwise(F.col("line")))
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n  File \"worker.py\", line "), i.cast("string"), F.lit(", in run\n\nTimeoutError: limit"))
+    return lines.select(F.concat(line, F.when(F.col("line").contains(" - ERROR - "), trace).otherwise(F.lit(""))).alias("value"))
+
+
+def q_log_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Write a worker log with tracebacks and malformed fields as text files, read it back record by record."""
+    from reelcat.sources.media import scratch_path
+    path = scratch_path(spark, "records")
+    _log_with_tracebacks(spark, sf).write.text(path)
+    return M.log_records(M.log_file_lines(spark, path)).drop("file")
+
+
+QUERIES["log_records"] = q_log_records
+ORACLE["log_records"] = with_views(["log_lines"], rf"""WITH src AS (
+ SELECT event_id, CASE WHEN event_id % 89 = 0 THEN regexp_replace(line, '^(\d{{4}})-\d\d', '\1-19')
+   WHEN event_id % 83 = 0 THEN replace(line, 'Stage 2', 'Stage 99999999999999999999')
+   WHEN event_id % 79 = 0 THEN regexp_replace(line, ' - ([A-Z]+) - .*$', ' - WARNING - Retrying in 2 seconds...') ELSE line END AS line,
+  CASE WHEN line LIKE '% - ERROR - %' THEN 'Traceback (most recent call last):' || chr(10) || '  File "worker.py", line ' || event_id || ', in run' || chr(10) || chr(10) || 'TimeoutError: limit' END AS "trailing"
+ FROM log_lines),
+p AS (SELECT *, regexp_extract(line, '{_LOG}', 4) AS message FROM src)
+SELECT "trailing", try_strptime(regexp_extract(line, '{_LOG}', 1), '%Y-%m-%d %H:%M:%S,%g') AS logged_at,
+ nullif(regexp_extract(line, '{_LOG}', 2), '') AS logger, nullif(regexp_extract(line, '{_LOG}', 3), '') AS level, message,
+ nullif(regexp_extract(message, '{K.LOG_TASK_TAG_PATTERN}', 1), '') AS task_tag,
+ try_cast(nullif(regexp_extract(message, '{K.LOG_STAGE_PATTERN}', 1), '') AS BIGINT) AS stage,
+ {_PATTERN_CASE} AS pattern FROM p""")

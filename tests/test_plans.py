@@ -66,7 +66,7 @@ def test_segmented_scan_is_range_partitioned(spark):
     ev = X.task_events(spark, SF_SMALL)
     df = running(ev, ["task_id"], ["ts", "event_id"], sums={"b": F.col("bytes")})
     plan = plan_of(df)
-    # after the checkpoint the row-level windows run per (range partition, key); the
+    # the row-level windows run per (range partition, key); the
     # per-partition carry table (one row per partition) is broadcast back
     assert re.search(r"row_number\(\) windowspecdefinition\(_part#\d+, task_id#\d+L?, ts#", plan)
     assert "BroadcastExchange" in plan
