@@ -34,7 +34,7 @@ from reelcat.llm.common import column, per_worker
 #: the tokenizer's splitting rule on normalised text, where the only white space is a space (fixed value)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
 #: bytes of remembered words and their ids in a worker, with what Python adds to each
-REMEMBERED, ADDED = 240_000_000, 200
+REMEMBERED, ADDED = 120_000_000, 200
 #: parts of a fragment up to which a plain search for the next merge is faster than a heap
 FEW = 48
 #: rows in an outgoing batch
