@@ -49,7 +49,7 @@ ROUNDS = 3
 LANES, SCORED_LANES, WINDOW = 768, 1024, 16
 RATE = 0.2
 #: tokens that are laid out in lanes together
-LAYOUT = 2_000_000
+LAYOUT = 4_000_000
 #: different words a task holds before it hands on its counts
 COUNTED = 400_000
 #: parameters in a row while models are averaged, and models that one task adds up
@@ -166,8 +166,9 @@ class Shape:
         self.fixed = np.concatenate([np.zeros(self.soft), np.log(mass[self.soft:] / self.mass[self.cls[self.soft:n]]), [0.0]])
 
     def parts(self) -> dict[str, tuple]:
+        """Parameters; the last row of ``classes`` and the last column of ``words`` are biases."""
         h = self.hidden
-        return {"inputs": (self.n_rows, 3 * h), "state": (h, 3 * h), "class_w": (h, self.n_classes), "class_b": (self.n_classes,), "word_w": (self.soft, h), "word_b": (self.soft,)}
+        return {"inputs": (self.n_rows, 3 * h), "state": (h, 3 * h), "classes": (h + 1, self.n_classes), "words": (self.soft, h + 1)}
 
     def first(self, seed: int = 7) -> np.ndarray:
         """Starting values of all parameters, then of their squared steps."""
@@ -175,7 +176,7 @@ class Shape:
         v = {k: np.zeros(s) for k, s in self.parts().items()}
         v["inputs"] = rng.normal(0, 0.3, v["inputs"].shape)
         v["state"] = rng.normal(0, 1 / math.sqrt(self.hidden), v["state"].shape)
-        v["class_b"], v["word_b"] = np.log(self.mass / self.mass.sum()), self.start
+        v["classes"][-1], v["words"][:, -1] = np.log(self.mass / self.mass.sum()), self.start
         flat = np.concatenate([x.ravel() for x in v.values()]).astype(np.float32)
         return np.concatenate([flat, np.full(len(flat), 1.0, np.float32)])
 
@@ -199,104 +200,115 @@ class Network:
         self.value[k][own] -= RATE * gradient / np.sqrt(s)
 
     def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the inputs ``x`` (time, lane); ``keep`` is 0 where a document begins."""
-        H, U = self.shape.hidden, self.value["state"]
-        ahead = self.value["inputs"][self.shape.row[x]]
-        out = np.empty((*x.shape, H), np.float32)
+        """States (unit, time, lane) after each of the inputs ``x`` (time, lane), from the states ``h`` (unit, lane); ``keep`` is 0 where a document begins."""
+        H, U = self.shape.hidden, np.ascontiguousarray(self.value["state"].T)
+        # lanes last, so that every gate of all lanes is one stretch of memory
+        ahead = np.ascontiguousarray(self.value["inputs"].take(self.shape.row[x], 0).transpose(0, 2, 1))
+        out = np.empty((H, *x.shape), np.float32)
         for t in range(len(x)):
             h = h * keep[t]
-            g = h @ U
-            zr, n = ahead[t, :, :2 * H], ahead[t, :, 2 * H:]
-            zr += g[:, :2 * H]
+            g = U @ h
+            zr, n = ahead[t, :2 * H], ahead[t, 2 * H:]
+            zr += g[:2 * H]
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            z, r = zr[:, :H], zr[:, H:]
-            n += r * g[:, 2 * H:]
+            z, r = zr[:H], zr[H:]
+            n += r * g[2 * H:]
             np.tanh(n, out=n)
             if trace is not None:
-                trace.append((h, z, r, n, g[:, 2 * H:]))
+                trace.append((h, z, r, n, g[2 * H:]))
             h = h - n
             h *= z
             h += n
-            out[t] = h
+            out[:, t] = h
         return out, h
 
-    def _shift(self, logits: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> None:
-        """Keep the logits in a range where float32 can take their exponentials; states lie between -1 and 1."""
-        if np.abs(weight).sum(1).max() + np.abs(bias).max() > 60:
-            logits -= logits.max(1, keepdims=True)
-
     def output(self, states: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities of the words ``y`` after ``states``; with ``learn`` also the gradient of the states, and the output's own steps are taken."""
-        s, v = self.shape, self.value
-        cls, place = s.cls[y], np.arange(len(y))
-        p = states @ v["class_w"]
-        p += v["class_b"]
-        self._shift(p, v["class_w"].T, v["class_b"])
-        own = p[place, cls]
-        np.exp(p, out=p)
-        total = p.sum(1)
-        log = own.astype(np.float64) - np.log(total) + s.fixed[y]
-        back = None
+        """Log probabilities of the words ``y`` after ``states`` (unit, word); with ``learn`` also the gradient of the states (unit, word), and the output's own steps are taken."""
+        s, H = self.shape, self.shape.hidden
+        classes, inner = self.value["classes"], self.value["words"]
+        # words by class, each state with a 1 for the biases
+        by = np.argsort(s.cls[y].astype(np.uint16), kind="stable")
+        cls, word, place = s.cls[y].take(by), y.take(by), np.arange(len(y))
+        h = np.ones((len(y), H + 1), states.dtype)
+        h[:, :H] = states.T.take(by, 0)
+        # states lie between -1 and 1, so logits are at most the sums of the weights; beyond 60 the greatest is taken off
+        far = max(np.abs(classes).sum(0).max(), np.abs(inner).sum(1).max()) > 60
+
+        def exponentials(q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Exponentials of logits, their sums, and the log probability of each row's ``own``."""
+            if far:
+                q -= q.max(1, keepdims=True)
+            mine = q[place[:len(q)], own].astype(np.float64)
+            np.exp(q, out=q)
+            total = q @ np.ones(q.shape[1], q.dtype)
+            return q, total, mine - np.log(total)
+
+        def gradient(q: np.ndarray, total: np.ndarray, own: np.ndarray) -> np.ndarray:
+            q /= total[:, None]
+            q[place[:len(q)], own] -= 1
+            return q
+
+        p, total, log = exponentials(h @ classes, cls)
+        log += s.fixed[word]
+        back, steps = None, []
         if learn:
-            p /= total[:, None]
-            p[place, cls] -= 1
-            back = p @ v["class_w"].T
-            steps = [("class_w", ..., states.T @ p), ("class_b", ..., p.sum(0))]
-        by = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[by], np.arange(s.n_soft + 1))
+            p = gradient(p, total, cls)
+            back = p @ classes[:H].T
+            steps.append(("classes", ..., h.T @ p))
+        ends = np.searchsorted(cls, np.arange(s.n_soft + 1))
         for c in np.flatnonzero(np.diff(ends)).tolist():
             lo, hi = int(s.bounds[c]), int(s.bounds[c + 1])
             if hi - lo == 1:
                 continue
-            at = by[ends[c]:ends[c + 1]]
-            h, word = states[at], y[at] - lo
-            q = h @ v["word_w"][lo:hi].T
-            q += v["word_b"][lo:hi]
-            self._shift(q, v["word_w"][lo:hi], v["word_b"][lo:hi])
-            mine = q[np.arange(len(at)), word]
-            np.exp(q, out=q)
-            total = q.sum(1)
-            log[at] += mine - np.log(total)
+            at = slice(ends[c], ends[c + 1])
+            own = word[at] - lo
+            q, total, mine = exponentials(h[at] @ inner[lo:hi].T, own)
+            log[at] += mine
             if learn:
-                q /= total[:, None]
-                q[np.arange(len(at)), word] -= 1
-                back[at] += q @ v["word_w"][lo:hi]
-                steps += [("word_w", slice(lo, hi), q.T @ h), ("word_b", slice(lo, hi), q.sum(0))]
-        if learn:
-            for x in steps:
-                self.step(*x)
-        return log, back
+                q = gradient(q, total, own)
+                back[at] += q @ inner[lo:hi, :H]
+                steps.append(("words", slice(lo, hi), q.T @ h[at]))
+        for x in steps:
+            self.step(*x)
+        in_order = np.empty(len(y))
+        in_order[by] = log
+        if not learn:
+            return in_order, None
+        ahead = np.empty_like(back)
+        ahead[by] = back
+        return in_order, np.ascontiguousarray(ahead.T)
 
     def backward(self, x: np.ndarray, keep: np.ndarray, trace: list, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of the input rows (row numbers, values) and of the state matrix, through one window."""
         H, U = self.shape.hidden, self.value["state"]
-        ahead = np.empty((*x.shape, 3 * H), np.float32)
-        inner = np.empty_like(ahead)
-        later = 0.0
+        ahead = np.empty((len(x), 3 * H, x.shape[1]), np.float32)
+        state, later = np.zeros_like(U), 0.0
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, g = trace[t]
-            d = back[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            ahead[t, :, :H] = d * (h - n) * z * (1 - z)
-            ahead[t, :, H:2 * H] = dn * g * r * (1 - r)
-            ahead[t, :, 2 * H:] = dn
-            inner[t, :, :2 * H] = ahead[t, :, :2 * H]
-            inner[t, :, 2 * H:] = dn * r
-            later = (d * z + inner[t] @ U.T) * keep[t]
-        state = np.concatenate([h for h, *_ in trace]).T @ inner.reshape(-1, 3 * H)
+            d = back[:, t] + later
+            dz = d * z
+            dn = (d - dz) * (1 - n * n)
+            ahead[t, :H] = dz * (1 - z) * (h - n)
+            inner = dn * r
+            ahead[t, H:2 * H] = inner * g * (1 - r)
+            ahead[t, 2 * H:] = dn
+            own = np.concatenate([ahead[t, :2 * H], inner])
+            later = (dz + U @ own) * keep[t]
+            state += h @ own.T
         row = self.shape.row[x].ravel()
-        by = np.argsort(row, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(row[by]) > 0]))
-        return row[by[first]], np.add.reduceat(ahead.reshape(-1, 3 * H)[by], first), state
+        by = np.argsort(row.astype(np.uint16) if self.shape.n_rows < 65_536 else row, kind="stable")
+        row = row.take(by)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+        return row[first], np.add.reduceat(ahead.transpose(0, 2, 1).reshape(-1, 3 * H).take(by, 0), first), state
 
     def learn(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         """Steps on one window; (state after it, its log probability before the steps)."""
         trace: list = []
         states, h = self.forward(x, keep, h, trace)
-        log, back = self.output(states.reshape(-1, self.shape.hidden), y.ravel(), learn=True)
+        log, back = self.output(states.reshape(self.shape.hidden, -1), y.ravel(), learn=True)
         own, inputs, state = self.backward(x, keep, trace, back.reshape(states.shape))
         self.step("inputs", own, inputs)
         self.step("state", ..., state)
@@ -313,9 +325,9 @@ def train(net: Network, docs: list[np.ndarray], lanes: int = LANES) -> int:
     x = np.concatenate([[0], y[:-1]])
     lost = lanes * steps - len(y)  # the stream's beginning again, to fill the last lane
     x, y, keep = (np.concatenate([v, np.resize(v, lost)]).reshape(lanes, steps).T for v in (x, y, keep))
-    h = np.zeros((lanes, net.shape.hidden), np.float32)
+    h = np.zeros((net.shape.hidden, lanes), np.float32)
     for t in range(0, steps, WINDOW):
-        h, _ = net.learn(x[t:t + WINDOW], y[t:t + WINDOW], keep[t:t + WINDOW, :, None], h)
+        h, _ = net.learn(x[t:t + WINDOW], y[t:t + WINDOW], keep[t:t + WINDOW], h)
     return sum(map(len, docs))
 
 
@@ -331,30 +343,33 @@ def log_probabilities(net: Network, docs: list[np.ndarray], lanes: int = SCORED_
         n, k = loads[0]
         own[k].append(d)
         heapreplace(loads, (n + len(docs[d]), k))
-    order = [k for _, k in sorted(loads, reverse=True)]
-    length = np.array([n for n, _ in sorted(loads, reverse=True)])
-    steps = int(length[0])
-    y = np.zeros((steps, len(order)), np.int32)
-    doc = np.full((steps, len(order)), -1, np.int32)
-    keep = np.ones((steps, len(order)), np.float32)
-    for lane, k in enumerate(order):
-        at = 0
-        for d in own[k]:
-            y[at:at + len(docs[d]), lane] = docs[d]
-            doc[at:at + len(docs[d]), lane] = d
-            keep[at, lane] = 0
-            at += len(docs[d])
-    x = np.concatenate([np.zeros((1, len(order)), np.int32), y[:-1]])
-    h = np.zeros((len(order), net.shape.hidden), np.float32)
-    out = np.zeros(len(docs))
-    for t in range(0, steps, WINDOW):
+    order = sorted(loads, reverse=True)
+    # one flat array, lane after lane: memory follows the tokens, however long one document is
+    length = np.array([n for n, _ in order])
+    start = np.cumsum(length) - length
+    run = [d for _, k in order for d in own[k]]
+    y = np.concatenate([docs[d] for d in run])
+    x = np.append(np.int32(0), y[:-1])
+    size = np.array([len(docs[d]) for d in run])
+    begin = np.cumsum(size) - size
+    keep = np.ones(len(y), np.float32)
+    keep[begin] = 0
+    log = np.empty(len(y))
+    h = np.zeros((net.shape.hidden, len(order)), np.float32)
+    t = 0
+    while t < length[0]:
         busy = int(np.searchsorted(-length, -t, side="left"))
-        part = (slice(t, t + WINDOW), slice(0, busy))
-        states, h = net.forward(x[part], keep[part][:, :, None], h[:busy])
-        log, _ = net.output(states.reshape(-1, net.shape.hidden), y[part].ravel())
-        mine = doc[part].ravel()
-        used = mine >= 0
-        out += np.bincount(mine[used], log[used], len(docs))
+        # few lanes go on for longer, but not beyond the end of the shortest
+        span = max(WINDOW, min(lanes * WINDOW // busy, int(length[busy - 1]) - t))
+        step = t + np.arange(span)[:, None]
+        at = np.minimum(start[:busy] + step, len(y) - 1)
+        states, h = net.forward(x[at], keep[at], h[:, :busy])
+        found, _ = net.output(states.reshape(net.shape.hidden, -1), y[at].ravel())
+        used = step < length[:busy]
+        log[at[used]] = found[used.ravel()]
+        t += span
+    out = np.empty(len(docs))
+    out[run] = np.add.reduceat(log, begin)
     return out
 
 
@@ -384,14 +399,23 @@ def _encoded(known):
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Parts of batches with about LAYOUT tokens, and their ids."""
+    """Rows of one or more batches with about LAYOUT tokens, and their ids."""
+    held: list[pa.RecordBatch] = []
+    docs: list[np.ndarray] = []
+    n = 0
     for b in batches:
-        ids = column(b, "ids").to_pylist()
-        size, at = np.cumsum([len(x) // 4 for x in ids]), 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LAYOUT, side="right")))
-            yield b.slice(at, end - at), [np.frombuffer(x, np.int32) for x in ids[at:end]]
-            at = end
+        ids = [np.frombuffer(x, np.int32) for x in column(b, "ids").to_pylist()]
+        rest, at = b.drop_columns(["ids"]), 0
+        for k, d in enumerate(ids):
+            n += len(d)
+            docs.append(d)
+            if n >= LAYOUT:
+                yield pa.concat_batches([*held, rest.slice(at, k + 1 - at)]), docs
+                held, docs, n, at = [], [], 0, k + 1
+        if at < b.num_rows:
+            held.append(rest.slice(at))
+    if docs:
+        yield pa.concat_batches(held), docs
 
 
 def _trained(shape, flat, seed: int):

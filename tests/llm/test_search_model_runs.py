@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -239,7 +241,7 @@ def toy(dtype=np.float64):
 
 def test_gradients_against_differences():
     _, shape, flat, rng = toy()
-    x, y, keep = rng.integers(0, 31, (6, 3)), rng.integers(0, 31, (6, 3)), np.ones((6, 3, 1))
+    x, y, keep = rng.integers(0, 31, (6, 3)), rng.integers(0, 31, (6, 3)), np.ones((6, 3))
     keep[2, 1] = keep[0] = 0
 
     class Probe(recurrent_lm.Network):
@@ -248,11 +250,11 @@ def test_gradients_against_differences():
 
     def loss(flat):
         net = recurrent_lm.Network(shape, flat)
-        return -net.output(net.forward(x, keep, np.zeros((3, 5)))[0].reshape(-1, 5), y.ravel())[0].sum()
+        return -net.output(net.forward(x, keep, np.zeros((5, 3)))[0].reshape(5, -1), y.ravel())[0].sum()
 
     net = Probe(shape, flat.copy())
     net.found = {}
-    net.learn(x, y, keep, np.zeros((3, 5)))
+    net.learn(x, y, keep, np.zeros((5, 3)))
     at = 0
     for k, s in shape.parts().items():
         own = net.found[k].ravel()
@@ -267,8 +269,8 @@ def test_gradients_against_differences():
 def test_all_words_have_probability_one():
     vocab, shape, flat, rng = toy()
     net = recurrent_lm.Network(shape, flat)
-    state = rng.normal(0, 1, (1, 5))
-    inside = np.exp(net.output(np.repeat(state, 31, 0), np.arange(31))[0])
+    state = rng.normal(0, 1, (5, 1))
+    inside = np.exp(net.output(np.repeat(state, 31, 1), np.arange(31))[0])
     # the last is the band of all words outside the head: its inner probabilities are (c + 0.5) / rest, which sum to 1
     assert inside.sum() == pytest.approx(1)
     n_outside, distinct = 1500 - int(vocab.counts.sum()), 45 - 30
@@ -281,15 +283,38 @@ def test_lanes_score_like_one_document_at_a_time():
     docs = [np.append(rng.integers(1, 31, n), 0).astype(np.int32) for n in (0, 1, 700, 3, 40, 16, 15, 17, 2, 90, 0, 5)]
     alone = []
     for d in docs:
-        h, total = np.zeros((1, 5), np.float32), 0.0
+        h, total = np.zeros((5, 1), np.float32), 0.0
         for x, y in zip([0, *d[:-1]], d):
-            states, h = net.forward(np.array([[x]]), np.ones((1, 1, 1), np.float32), h)
-            total += net.output(states.reshape(1, 5), np.array([y]))[0][0]
+            states, h = net.forward(np.array([[x]]), np.ones((1, 1), np.float32), h)
+            total += net.output(states.reshape(5, 1), np.array([y]))[0][0]
         alone.append(total)
     for lanes in (1, 3, 64):
         assert recurrent_lm.log_probabilities(net, docs, lanes) == pytest.approx(alone, rel=1e-4)
 
 
+def test_layouts_join_and_cut_batches(monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "LAYOUT", 10)
+    sizes = [3, 1, 1, 12, 2, 2, 2, 2, 2, 1, 30, 1]
+    ids = [np.full(n, k, np.int32).tobytes() for k, n in enumerate(sizes)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(ids, pa.binary())], names=["_row", "ids"])
+    for cuts in ([0, 12], [0, 1, 4, 4, 9, 12], list(range(13))):
+        found = list(recurrent_lm._layouts(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])))
+        assert [[r["_row"] for r in b.to_pylist()] for b, _ in found] == [[0, 1, 2, 3], [4, 5, 6, 7, 8], [9, 10], [11]]
+        assert [[len(d) for d in docs] for _, docs in found] == [[3, 1, 1, 12], [2] * 5, [1, 30], [1]]
+
+
+def test_one_very_long_document_beside_short_ones():
+    _, shape, flat, rng = toy(np.float32)
+    docs = [np.append(rng.integers(1, 31, n), 0).astype(np.int32) for n in (60_000, *range(200))]
+    net = recurrent_lm.Network(shape, flat)
+    tracemalloc.start()
+    got = recurrent_lm.log_probabilities(net, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1000 * sum(map(len, docs))  # bytes follow the tokens, not the longest times the lanes
+    assert got == pytest.approx(np.concatenate([recurrent_lm.log_probabilities(net, [d]) for d in docs]), rel=1e-4)
+
+
 def test_the_model_learns_what_follows_what(spark):
     rng = random.Random(5)
     cycle = [f"v{k}" for k in range(12)]
