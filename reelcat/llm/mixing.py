@@ -12,7 +12,9 @@ Defined cases: a null text or one without words has size 0 and is never taken; a
 null source is a source of its own, after all others; an empty membership gives
 nothing; rows that repeat (same id, text and
 sources) are taken alike, rows that differ in one of them each by itself; an empty table gives an empty
-result.  ``max_patterns`` bounds what the driver holds; more patterns stop the job.
+result.  ``max_patterns`` bounds what the driver holds.  Where there are more and each pattern is one source, there
+is nothing to route: targets, and the part of every source that is taken once more, are computed as frames, with the same result.
+More patterns that overlap stop the job.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from reelcat.llm.common import settle, word_count
 from reelcat.llm.histogram import Cut, as_longs, find_cuts, ordered
+from reelcat.operators import scan
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 20_240_501
+#: parts in which a source's rows meet its target, so that no task holds a large source
+SALTS = 32
 _LEAST = -(2 ** 63)
 
 
@@ -111,6 +116,52 @@ def _members(sources: Column | None) -> Column:
     return F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources, F.array())))
 
 
+def _source_targets(sizes: DataFrame, weights: tuple, total: float, cap: float) -> DataFrame:
+    """``_target`` for rows of _null (1: no name), _name and _size: ``fair_targets`` with one aggregation of all sources per round."""
+    ranked = scan.running(sizes, [], ["_null", "_name"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rn") - 1) % len(weights) + 1).cast("int"))
+    own = settle(ranked.select("_null", "_name", "_size", weight.cast("double").alias("_weight"), (F.col("_size") * F.lit(cap)).cast("double").alias("_most")))
+    total = float(min(total, cap * (own.agg(F.sum("_size")).first()[0] or 0)))
+    unit, n_full = 0.0, -1
+    while True:  # the unit rises, so a source that is full stays full
+        full = F.lit(unit) * F.col("_weight") >= F.col("_most")
+        r = own.where("_size > 0").agg(F.count(F.when(full, 1)).alias("n"), F.coalesce(F.sum(F.when(full, F.col("_most"))), F.lit(0.0)).alias("taken"),
+                                       F.coalesce(F.sum(F.when(~full, F.col("_weight"))), F.lit(0.0)).alias("free")).first()
+        if r.n == n_full:
+            break
+        n_full = r.n
+        unit = (total - r.taken) / r.free if r.free else float("inf")
+    return own.withColumn("_target", F.when(F.col("_size") == 0, 0.0).otherwise(F.when(full, F.col("_most")).otherwise(F.lit(unit) * F.col("_weight"))))
+
+
+def _mix_by_source(base: DataFrame, weights: tuple, share: float, max_repeats: int) -> DataFrame:
+    """The mix where no row belongs to two sources, for any number of sources."""
+    own = base.withColumn("_source", F.try_element_at("_in", F.lit(1)))
+    own = own.withColumn("_null", F.col("_source").isNull().cast("int")).withColumn("_name", F.coalesce("_source", F.lit("")))
+    sourced = own.where(F.size("_in") == 1)
+    words = base.agg(F.sum("_w")).first()[0] or 0
+    targets = settle(_source_targets(sourced.groupBy("_null", "_name").agg(F.sum("_w").alias("_size")), weights, share * words, max_repeats))
+    most = F.least(F.bround("_target").cast("long"), F.col("_size") * max_repeats)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    targets = targets.select("_null", "_name", "_size", "_target", F.expr("nullif(_size, 0)").alias("_some"), most.alias("_most_words"), parts)
+    targets = targets.select("_null", "_name", "_salt", "_size", "_target", F.expr("coalesce(_most_words div _some, 0)").alias("_n"), F.expr("coalesce(_most_words % _some, 0)").alias("_rest"))
+    salt = F.pmod(F.col("_k1").bitwiseXOR(F.col("_k2")), F.lit(SALTS)).cast("int").alias("_salt")
+    place = ["_null", "_name", "_salt"]
+    # rows of one key are taken alike; a key is taken once more if that brings its source nearer to its target
+    keys = (sourced.where("_w > 0").groupBy("_null", "_name", "_k1", "_k2").agg(F.sum("_w").alias("_w"))
+            .withColumn("_o1", ordered(F.col("_k1"))).withColumn("_o2", ordered(F.col("_k2"))))
+    summed = scan.running(settle(keys), ["_null", "_name"], ["_o1", "_o2"], sums={"_upto": F.col("_w")})
+    over = F.col("_upto") - F.col("_rest")
+    more = (summed.select("*", salt).join(targets, place).where((over <= 0) | (F.col("_w") - over > over))
+            .select("_null", "_name", "_k1", "_k2", F.lit(1).alias("_more")))
+    both = (own.select("*", F.when(F.size("_in") == 1, salt).otherwise(F.lit(None)).alias("_salt")).join(targets, place, "left")
+            .join(more, ["_null", "_name", "_k1", "_k2"], "left"))
+    times = F.when((F.col("_w") > 0) & (F.size("_in") == 1), F.col("_n") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long")
+    one = F.struct(F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_size").alias("source_size"), times.alias("times"))
+    return both.select("doc_id", F.col("_k2").alias("text_hash"), F.col("_w").alias("size"), F.col("_in").alias("sources"),
+                       F.filter(F.array(one), lambda x: F.size("_in") == 1).alias("shares"), times.alias("times"), (times * F.col("_w")).alias("taken"))
+
+
 def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE,
                 max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 20_000) -> DataFrame:
     """doc_id, text_hash, size, sources, shares, times, taken for every row.
@@ -125,7 +176,9 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights: tuple =
                               F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_k1"), F.xxhash64(F.col("text")).alias("_k2")))
     found = base.groupBy("_in").agg(F.sum("_w").alias("w")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+        if base.where(F.size("_in") > 1).limit(1).count():
+            raise ValueError(f"more than {max_patterns} overlapping membership patterns")
+        return _mix_by_source(base, weights, share, max_repeats)
     sizes = {tuple(r._in): int(r.w) for r in sorted(found, key=lambda r: [(x is None, x or "") for x in r._in])}
     names = source_order({s for p in sizes for s in p})
     per_source = {s: sum(n for p, n in sizes.items() if s in p) for s in names}

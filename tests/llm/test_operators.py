@@ -390,6 +390,27 @@ def test_mix_of_rows_that_differ_in_their_source_only(spark):
     assert {r.source: r["count"] for r in mixing.mixed_documents(df).groupBy("source").count().collect()} == plan
 
 
+def as_plan(df):
+    return expect([(r.doc_id, r.text_hash, r["size"], str(r.sources), str([tuple(s) for s in r.shares]), r.times, r.taken) for r in df.collect()])
+
+
+def test_many_sources_mix_like_few(spark, docs):
+    rng = random.Random(3)
+    rows = [(rng.randrange(150), "w " * rng.randrange(12), rng.choice([None, "", "z", "hot", "hot", f"s{rng.randrange(40)}"])) for _ in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for df, share in ((docs, 1.5), (table, 0.4)):
+        assert as_plan(mixing.mix_sources(df, share=share, max_patterns=1)) == as_plan(mixing.mix_sources(df, share=share))
+    several = table.withColumn("of", F.when(F.col("source") == "z", F.array().cast("array<string>")).otherwise(F.array("source")))
+    assert as_plan(mixing.mix_sources(several, F.col("of"), max_patterns=1)) == as_plan(mixing.mix_sources(several, F.col("of")))
+    assert mixing.mix_sources(table.limit(0), max_patterns=-1).collect() == []
+
+
+def test_more_sources_than_the_driver_holds(spark):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), (F.col("id") % 25_000).cast("string").alias("source"))
+    got = mixing.mix_sources(df).agg(F.count("*"), F.sum("taken"), F.countDistinct(F.col("shares")[0]["source"])).first()
+    assert got[0] == 60_000 and got[2] == 25_000 and abs(got[1] - 1.5 * 240_000) <= 2 * 25_000
+
+
 def test_fair_targets_share_the_excess():
     got = mixing.fair_targets({"a": 10, "b": 100, "c": 100, "d": 0}, {"a": 5, "b": 2, "c": 1, "d": 5}, 315)
     assert got["a"] == 20 and got["d"] == 0 and got["b"] == pytest.approx(295 * 2 / 3) and got["c"] == pytest.approx(295 / 3)
