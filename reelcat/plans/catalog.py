@@ -302,6 +302,49 @@ ORACLE["manifest_table"] = ORACLE["ingest_objects"]
 ORACLE["read_objects"] = f"WITH {_OBJECTS} SELECT key, size AS length, sha256(body) AS content_sha256 FROM objects"
 
 
+# --- stored chunks: objects of any length, reads by byte range ------------------
+
+PAGE_CHUNK = 1024
+#: start and number of bytes that are asked of every object
+RANGE_START, RANGE_BYTES = 700, 2000
+
+
+def _page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages' objects as a stored table of chunks (written once per application and input)."""
+    from reelcat.sources import chunks as SC
+    from reelcat.sources.media import scratch_path
+    key = ("chunks", spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        _STAGED[key] = SC.store_chunks(SC.frame_chunks(_stored_pages(spark, sf), PAGE_CHUNK), scratch_path(spark, "chunks"))
+    return spark.read.parquet(_STAGED[key])
+
+
+def q_stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk of every stored object, with the hash of its bytes."""
+    return _page_chunks(spark, sf).select("key", "size", "chunk", "offset", "length", F.sha2(F.hex("bytes").cast("binary"), 256).alias("bytes_sha256"))
+
+
+def q_read_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """One byte range of every stored object, and of a missing sibling of each."""
+    from reelcat.sources import chunks as SC
+    store = _page_chunks(spark, sf)
+    keys = SC.objects_of(store).select(F.explode(F.array(F.col("key"), F.concat("key", F.lit(".missing")))).alias("key"))
+    asked = keys.select("key", F.lit(RANGE_START).cast("bigint").alias("start"), F.lit(RANGE_BYTES).cast("bigint").alias("n"))
+    return SC.read_ranges(store, asked, PAGE_CHUNK).select("key", "offset", F.octet_length("bytes").cast("bigint").alias("length"), F.sha2(F.hex("bytes").cast("binary"), 256).alias("bytes_sha256"))
+
+
+QUERIES["stored_chunks"] = q_stored_chunks
+QUERIES["read_ranges"] = q_read_ranges
+_CHUNKS = f"""{_OBJECTS},
+ c AS (SELECT key, size, hex(encode(body)) AS hexed, unnest(range(0, greatest(size, 1), {PAGE_CHUNK})) AS "offset" FROM objects)"""
+ORACLE["stored_chunks"] = f"""WITH {_CHUNKS}
+SELECT key, size, ("offset" // {PAGE_CHUNK})::BIGINT AS chunk, "offset"::BIGINT AS "offset", least({PAGE_CHUNK}, size - "offset")::BIGINT AS length,
+ sha256(substr(hexed, 2 * "offset" + 1, {2 * PAGE_CHUNK})) AS bytes_sha256 FROM c"""
+ORACLE["read_ranges"] = f"""WITH {_CHUNKS},
+ r AS (SELECT key, hexed, greatest({RANGE_START}, "offset") AS lo, least({RANGE_START + RANGE_BYTES}, size, "offset" + {PAGE_CHUNK}) AS hi FROM c)
+SELECT key, lo::BIGINT AS "offset", (hi - lo)::BIGINT AS length, sha256(substr(hexed, 2 * lo + 1, 2 * (hi - lo))) AS bytes_sha256 FROM r WHERE lo < hi"""
+
+
 # --- paging (L2): a deeper page of the catalogue ------------------------------
 
 PAGE_N, PAGE_LIMIT = 3, 50
