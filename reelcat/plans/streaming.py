@@ -80,6 +80,12 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     return _ntz(spark.read.parquet(J.run_to_table(df, "stream-progress")))
 
 
+def q_stream_failure_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """All windows, open ones too, from the job that keeps late events."""
+    out = J.run_to_table(J.status_events(J.task_event_stream(spark, sf)), "stream-failure-windows", foreach_batch=J.failure_windows_batch())
+    return _ntz(J.failure_windows(spark, out))
+
+
 def q_stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(J.stream_outbox(J.task_event_stream(spark, sf)), "stream-outbox", foreach_batch=J.outbox_batch)
     return _ntz(J.event_table(spark, out).read())
@@ -98,6 +104,7 @@ QUERIES = {
     "stream_timeout_decisions": q_stream_timeout_decisions,
     "stream_progress": q_stream_progress,
     "stream_outbox": q_stream_outbox,
+    "stream_failure_windows": q_stream_failure_windows,
 }
 
 ORACLE = {
@@ -151,6 +158,14 @@ WITH e AS (SELECT ts, event FROM task_events WHERE event IN {_STATUS_IN}),
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_events, n_failed, n_completed,
  round(n_failed / n_events, 6) AS failure_rate, round(n_failed / n_events, 6) > 0.2 AS alert FROM w
 WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - {_WM}""")
+ORACLE["stream_failure_windows"] = with_views(["task_events"], f"""
+WITH e AS (SELECT ts, event FROM task_events WHERE event IN {_STATUS_IN}),
+ w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_events,
+        sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+        sum(CASE WHEN event = 'completed' THEN 1 ELSE 0 END)::BIGINT AS n_completed FROM e GROUP BY 1)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_events, n_failed, n_completed,
+ round(n_failed / n_events, 6) AS failure_rate, round(n_failed / n_events, 6) > 0.2 AS alert,
+ window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - {_WM} AS closed FROM w""")
 ORACLE["stream_task_state"] = with_views(["task_events"], f"""
 SELECT task_id, (max(struct_pack(t := ts, i := event_id, e := event))).e AS status, max(ts) AS updated_at,
  (max(struct_pack(t := ts, i := event_id))).i AS event_id

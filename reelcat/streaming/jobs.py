@@ -254,6 +254,82 @@ def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
     return _latest(KeyedTable(spark, out, "task_id").read())
 
 
+# ---- failure windows with a side table of late events --------------------------
+
+#: length of a window and the delay after which it closes, in seconds
+WINDOW_S, DELAY_S = 86_400, 600
+
+
+def status_events(events: DataFrame) -> DataFrame:
+    """Status events as a stateless stream for ``failure_windows_batch``."""
+    return events.where(F.col("event").isin(K.TASK_STATUSES)).select("event_id", "task_id", "event", "ts")
+
+
+def window_tables(spark: SparkSession, out: str) -> tuple[KeyedTable, KeyedTable, KeyedTable]:
+    """(counts by window start, late events by event id, newest event time and numbers of rows by epoch) that ``failure_windows_batch`` keeps at ``out``."""
+    return KeyedTable(spark, f"{out}/windows", F.lpad(F.col("start_us").cast("string"), 20, "0")), event_table(spark, f"{out}/late"), KeyedTable(spark, f"{out}/marks", F.lit(""))
+
+
+_COUNTS = ["n_events", "n_failed", "n_completed"]
+
+
+def _window_sums(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("start_us").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+def _mark_sums(marks: DataFrame) -> DataFrame:
+    return marks.agg(F.max("epoch").alias("epoch"), F.max("max_us").alias("max_us"), F.sum("n_rows").alias("n_rows"), F.sum("n_late").alias("n_late"))
+
+
+def failure_windows_batch(window_s: int = WINDOW_S, delay_s: int = DELAY_S):
+    """``foreachBatch`` body for T4 that loses no row: counts per window are added up, late events go to a table of their own.
+
+    An event is late if its window had closed before its batch, by the newest event time of the batches before
+    (the rule by which the watermarked stream drops it), or if it has no time.  So the events of the windows
+    and the late ones are together the input.  The newest time is kept by epoch: a repeated batch decides as the first time.
+    """
+    step = window_s * 1_000_000
+
+    def body(batch: DataFrame, epoch: int, out: str) -> None:
+        windows, late, marks = window_tables(batch.sparkSession, out)
+        if marks.applied(epoch):
+            return
+        newest = None if marks.version() is None else _mark_sums(marks.read()).first().max_us
+        bound = -(2 ** 62) if newest is None else newest - delay_s * 1_000_000
+        start = F.floor(F.unix_micros("ts") / F.lit(step)) * step
+        rows = (batch.withColumn("start_us", start).withColumn("is_late", F.col("ts").isNull() | (F.col("start_us") + step <= F.lit(bound))).persist())
+        try:
+            if not late.applied(epoch):
+                late.append(rows.where("is_late").select("event_id", "task_id", "event", "ts", F.lit(epoch).cast("long").alias("epoch")), epoch)
+            if not windows.applied(epoch):
+                each = {"n_events": F.lit(True), "n_failed": F.col("event") == "failed", "n_completed": F.col("event") == "completed"}
+                windows.append(rows.where("not is_late").groupBy("start_us").agg(*(F.count_if(x).alias(c) for c, x in each.items())), epoch)
+            marks.append(rows.agg(F.lit(epoch).cast("long").alias("epoch"), F.max(F.unix_micros("ts")).alias("max_us"), F.count(F.lit(1)).alias("n_rows"),
+                                  F.count_if("is_late").alias("n_late")), epoch)
+            for table, fold in ((windows, _window_sums), (late, lambda x: x), (marks, _mark_sums)):
+                table.compact(fold)
+        finally:
+            rows.unpersist()
+    return body
+
+
+def failure_windows(spark: SparkSession, out: str, window_s: int = WINDOW_S, delay_s: int = DELAY_S, threshold: float = 0.2) -> DataFrame:
+    """All windows kept at ``out``, with ``closed``: later events of the window are late."""
+    windows, _, marks = window_tables(spark, out)
+    newest = _mark_sums(marks.read()).first().max_us
+    bound = -(2 ** 62) if newest is None else newest - delay_s * 1_000_000
+    end = F.col("start_us") + window_s * 1_000_000
+    return (_window_sums(windows.read())
+            .select(F.timestamp_micros("start_us").alias("window_start"), F.timestamp_micros(end).alias("window_end"), *_COUNTS,
+                    F.round(F.col("n_failed") / F.col("n_events"), 6).alias("failure_rate"), (end <= F.lit(bound)).alias("closed"))
+            .withColumn("alert", F.col("failure_rate") > threshold))
+
+
+def late_events(spark: SparkSession, out: str) -> DataFrame:
+    """The late events kept at ``out``, with the epoch that brought them."""
+    return window_tables(spark, out)[1].read()
+
+
 # ---- timeout decisions from kept attempts ------------------------------------
 
 _DAY_S = 86_400
