@@ -14,7 +14,7 @@ Scale notes
 * Paging is a top-k (``orderBy().offset().limit()`` -> TakeOrderedAndProject)
   while ``page * limit`` is small; for deeper pages rows are counted per range of the
   order and only the range that holds the page is sorted (``scan.page_by_bounds``).
-* Key lookups (delete, exists) are equi/semi/anti joins; the broadcast choice
+* Key lookups (delete) are equi/semi/anti joins; the broadcast choice
   is left to AQE, which checks the runtime size of each side against
   ``spark.sql.autoBroadcastJoinThreshold``.
 """
@@ -213,9 +213,14 @@ def delete_videos(files: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def object_exists(files: DataFrame, probes: DataFrame) -> DataFrame:
-    """Exact-key existence for each distinct probe key (no prefix matching)."""
-    asked = probes.select("key").distinct()
-    # only objects that are asked for are made distinct
-    present = files.select("key").join(asked, "key", "left_semi").distinct().withColumn("hit", F.lit(True))
-    return (asked.join(present, "key", "left")
-            .select("key", F.coalesce(F.col("hit"), F.lit(False)).alias("exists")))
+    """Exact-key existence for each distinct probe key (no prefix matching).
+
+    Objects and probes meet in one shuffle of the keys, each with two flags, and are grouped where they arrive.
+    Nearly all keys differ, so a combine before the shuffle would hold a whole input split and spill; the rows of a
+    key asked for again and again compress in the shuffle and are one group that is never held.
+    """
+    asked, stored = F.lit(1).cast("tinyint"), F.lit(2).cast("tinyint")
+    met = probes.select("key", asked.alias("_met")).unionByName(files.where(F.col("key").isNotNull()).select("key", stored.alias("_met")))
+    return (met.repartition("key").groupBy("key").agg(F.bit_or("_met").alias("_met"))
+            .where(F.col("_met").bitwiseAND(F.lit(1)) != 0)
+            .select("key", (F.col("_met").bitwiseAND(F.lit(2)) != 0).alias("exists")))

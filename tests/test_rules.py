@@ -170,6 +170,17 @@ def test_exists_is_exact_not_prefix(spark):
     assert got == {"videos/p/a.mp4": False, "videos/p/b.mp4": True}
 
 
+def test_exists_shuffles_each_key_once(spark):
+    files = spark.createDataFrame([(k,) for k in ["a", "a", "b", "only stored", None]], "key string")
+    probes = spark.createDataFrame([(k,) for k in ["a", "c", "a", "c", None, None, "b"]], "key string")
+    found = C.object_exists(files, probes)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    # one shuffle, no join, and no combine below, where a map task would hold all keys of its split
+    shuffle, = (i for i, x in enumerate(plan) if "Exchange" in x)
+    assert not any("Join" in x for x in plan) and not any("Aggregate" in x for x in plan[shuffle:])
+    assert sorted(((r.key, r.exists) for r in found.collect()), key=str) == [("a", True), ("b", True), ("c", False), (None, False)]
+
+
 def test_content_types_and_kinds(spark):
     keys = ["videos/1/a.MP4", "videos/1/a.info.json", "videos/1/.mp4", "videos/1/x", "videos/1/t.webp", "videos/1/t.JPG"]
     df = spark.createDataFrame([Row(k=k) for k in keys])
