@@ -73,18 +73,18 @@ def q_delete_remaining(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _manifest_copy(spark: SparkSession, sf: str):
-    """A stored manifest of the listing, of this query's own: it's going to be changed."""
+    """A table for a stored manifest of this query's own, which is going to be changed, and the listing for it."""
     from reelcat.sources import objects as SO
     from reelcat.sources.media import scratch_path
     table = SO.stored_manifest(spark, scratch_path(spark, "changing-manifest"))
-    table.create(X.files(spark, sf).select("processing_id", "key", "file_type", "size", "last_modified"))
-    return table
+    return table, X.files(spark, sf).select("processing_id", "key", "file_type", "size", "last_modified")
 
 
 def q_stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The stored manifest after a second upload batch overwrote it by key."""
     from reelcat.sources import objects as SO
-    table = _manifest_copy(spark, sf)
+    table, listing = _manifest_copy(spark, sf)
+    SO.create_manifest(table, listing)
     incoming = incoming_objects(X.files(spark, sf))
     SO.stored_upsert(table, incoming.withColumn("processing_id", O.key_processing_id("key")))
     return table.read().select("key", "size", "last_modified", "file_type")
@@ -93,7 +93,8 @@ def q_stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def q_stored_delete(spark: SparkSession, sf: str) -> DataFrame:
     """The stored manifest after the objects of a batch of ids were deleted from it."""
     from reelcat.sources import objects as SO
-    table = _manifest_copy(spark, sf)
+    table, listing = _manifest_copy(spark, sf)
+    table.create(listing)
     SO.stored_delete(table, delete_request(spark, sf))
     return table.read()
 

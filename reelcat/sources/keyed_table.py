@@ -24,7 +24,7 @@ from dataclasses import asdict, dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import LongType, StructType
 
 
 class ConcurrentChange(RuntimeError):
@@ -154,34 +154,43 @@ class KeyedTable:
 
     # changing
 
-    def _write(self, rows: DataFrame, run: str, among: Column) -> list[Part]:
-        """``rows`` as parts of ``run``; no part spans two values of ``among``, and a range is split as the shuffle splits it."""
+    def _write(self, rows: DataFrame, run: str, among: Column, settle: Callable[[DataFrame], DataFrame] | None = None) -> list[Part]:
+        """``rows`` as parts of ``run``; no part spans two values of ``among`` (which rises with the key), and a range is split as the shuffle splits it.
+
+        The key isn't copied into the rows: what is shuffled and stored is the rows alone.  ``settle`` sees them when all rows of a key are
+        in one partition and may leave some out.
+        """
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        (rows.withColumns({"_k": self.key, "_r": among}).repartitionByRange("_r", "_k").withColumn("_s", F.spark_partition_id())
-         .sortWithinPartitions("_r", "_k").write.partitionBy("_r", "_s").parquet(folder))
-        schema = StructType.fromJson(json.loads(rows.schema.json())).add("_k", StringType()).add("_r", IntegerType()).add("_s", IntegerType())
-        found = (self.spark.read.schema(schema).parquet(folder).groupBy("_r", "_s")
-                 .agg(F.min("_k").alias("low"), F.max("_k").alias("high"), F.count(F.lit(1)).alias("n")).collect())
+        placed = rows.repartitionByRange(self.key)
+        if settle:
+            placed = settle(placed)
+        # one number per value of ``among`` and partition: sorted by it first, as the writer asks, rows aren't sorted once more, which could lose their order
+        part = F.shiftleft(among.cast("bigint"), 32) + F.spark_partition_id()
+        placed.withColumn("_s", part).sortWithinPartitions("_s", self.key).write.partitionBy("_s").parquet(folder)
+        schema = StructType.fromJson(json.loads(placed.schema.json())).add("_s", LongType())
+        found = (self.spark.read.schema(schema).parquet(folder).groupBy("_s")
+                 .agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n")).collect())
         name = folder.rpartition("/")[2]
-        return [Part(f"data/{name}/_r={r._r}/_s={r._s}", run, r.low, r.high, r.n) for r in found]
+        return [Part(f"data/{name}/_s={r._s}", run, r.low, r.high, r.n) for r in found]
 
-    def create(self, rows: DataFrame) -> Version:
+    def create(self, rows: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None) -> Version:
         """The first version."""
-        return self.append(rows)
+        return self.append(rows, settle=settle)
 
-    def append(self, rows: DataFrame, epoch: int | None = None) -> Version:
+    def append(self, rows: DataFrame, epoch: int | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> Version:
         """A version with ``rows`` added as a run of their own."""
         before = self.version()
         run = f"{before.number + 1 if before else 0:020d}"
-        new = self._write(rows, run, F.lit(0))
+        new = self._write(rows, run, F.lit(0), settle)
         return self._commit(before, before.schema if before else rows.schema.json(), [*(before.parts if before else ()), *new], epoch)
 
-    def replace(self, parts: list[Part], rows: DataFrame, version: Version, epoch: int | None = None) -> Version:
+    def replace(self, parts: list[Part], rows: DataFrame, version: Version, epoch: int | None = None,
+                settle: Callable[[DataFrame], DataFrame] | None = None) -> Version:
         """A version in which ``rows`` stand in the place of ``parts``; the others are as before.  For tables of one run."""
         own = {p.folder for p in parts}
         lows = [p.low for p in version.parts]
         # rows stay between the same neighbours: by the part they would have been in
-        new = self._write(rows, version.parts[0].run if version.parts else f"{0:020d}", place_among(self.key, lows))
+        new = self._write(rows, version.parts[0].run if version.parts else f"{0:020d}", place_among(self.key, lows), settle)
         return self._commit(version, version.schema, [*(p for p in version.parts if p.folder not in own), *new], epoch)
 
     def compact(self, fold: Callable[[DataFrame], DataFrame], most: int = 4) -> Version:

@@ -13,8 +13,11 @@ and sorted by key, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelcat import constants as K
 from reelcat.functions import objects as O
@@ -78,25 +81,38 @@ def stored_manifest(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, "key")
 
 
+def _newest(table: KeyedTable, first: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Of the rows with one key the one that is greatest by ``first``, then ``(last_modified, size)``; rows without a key all stay.
+
+    For ``settle``: the rows of a key have met in the shuffle that lays out the table, so no other one is needed.
+    """
+    def settle(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(table.key, "key").orderBy(*(F.col(c).desc() for c in (*first, "last_modified", "size"))))
+        return rows.withColumn("_place", place).where((F.col("_place") == 1) | F.col("key").isNull()).drop("_place", *first)
+    return settle
+
+
+def create_manifest(table: KeyedTable, listing: DataFrame) -> int:
+    """Store a listing as the first version, of rows with one key the newest by ``(last_modified, size)``; the version's number."""
+    return table.create(listing, _newest(table, [])).number
+
+
 def stored_upsert(table: KeyedTable, incoming: DataFrame) -> int:
     """Overwrite by key in the stored manifest: each key keeps its newest incoming record, by
     ``(last_modified, size)``.  Only the ranges that hold an incoming key are written anew.  Returns the new version's number.
 
     ``incoming`` has the manifest's columns; a null key isn't stored.  Without incoming rows nothing changes.
+    It's read more than once and must give the same rows each time.  Stored and incoming rows meet in the one shuffle
+    that lays out the new parts; a key that was stored twice in a range that is written comes out once.
     """
     v = table.version()
     fields = table.read(v).columns
-    rest = [c for c in fields if c != "key"]
     rows = incoming.where(F.col("key").isNotNull()).select(*fields)
-    newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "size")).alias("w")).persist()
-    try:
-        if newest.isEmpty():
-            return v.number
-        own = table.touched(newest.select("key"), F.col("key"), F.col("key"), v)
-        kept = table.read(v, own).join(newest.select("key"), "key", "left_anti").select(*fields)
-        return table.replace(own, kept.unionByName(newest.select("key", "w.*").select(*fields)), v).number
-    finally:
-        newest.unpersist()
+    own = table.touched(rows.select("key"), F.col("key"), F.col("key"), v)
+    if not own and (v.parts or rows.isEmpty()):
+        return v.number
+    both = table.read(v, own).select(*fields, F.lit(False).alias("_incoming")).unionByName(rows.withColumn("_incoming", F.lit(True)))
+    return table.replace(own, both, v, settle=_newest(table, ["_incoming"])).number
 
 
 def stored_delete(table: KeyedTable, ids: DataFrame) -> DataFrame:

@@ -140,3 +140,18 @@ def test_compaction_folds_small_runs(spark):
     v = table.version()
     assert v.epoch == 11 and len({p.run for p in v.parts}) <= 5
     assert {r.k: r.e for r in table.read().groupBy("k").agg(F.max("e").alias("e")).collect()} == {**{i: 0 for i in range(1000)}, **{i: 11 for i in range(10)}}
+
+
+def test_upsert_keeps_one_row_of_a_key_that_was_stored_twice(spark):
+    rows = [("a", 1, 1, "video"), ("a", 2, 1, "video"), ("a", 5, 0, "video"), ("b", 1, 1, "video"), ("b", 1, 1, "video"), (None, 1, 1, "video"), (None, 1, 1, "video"), ("", 3, 3, None), ("", 4, 2, None)]
+    want = [("", 3, 3, None), ("a", 2, 1, "video"), (None, 1, 1, "video"), (None, 1, 1, "video")]
+    incoming = [("b", 7, 0, "video"), ("b", 6, 0, "video"), (None, 9, 9, "video")]
+    for create in (lambda table, listing: table.create(listing), SO.create_manifest):
+        table = SO.stored_manifest(spark, scratch(spark, "manifest-test"))
+        create(table, spark.createDataFrame(rows, COLS).repartition(4))
+        SO.stored_upsert(table, spark.createDataFrame(incoming, COLS))
+        if create is SO.create_manifest:
+            assert content(table) == sorted([*want, ("b", 7, 0, "video")], key=str)
+        # otherwise only ranges that hold an incoming key are settled
+        assert [r for r in content(table) if r[0] == "b"] == [("b", 7, 0, "video")]
+    assert SO.create_manifest(SO.stored_manifest(spark, scratch(spark, "manifest-test")), spark.createDataFrame([], COLS)) == 0
