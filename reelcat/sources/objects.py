@@ -126,10 +126,11 @@ def stored_delete(table: KeyedTable, ids: DataFrame) -> DataFrame:
     under = F.concat(F.lit(K.KEY_ROOT + "/"), F.col("pid"))
     # the character after the slash ends the span of a prefix
     own = table.touched(req, F.concat(under, F.lit("/")), F.concat(under, F.lit("0")), v)
-    held = table.read(v, own).withColumn("pid", O.key_processing_id("key"))
-    counts = held.join(req.select("pid"), "pid").groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    held, pid = table.read(v, own), O.key_processing_id("key")
+    counts = held.select(pid.alias("pid")).join(req, "pid").groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     report = (req.join(counts, "pid", "left").select(F.col("pid").alias("processing_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_deleted"),
                                                      F.col("n").isNotNull().alias("found")))
     if own:
-        table.replace(own, held.join(req.select("pid"), "pid", "left_anti").drop("pid"), v)
+        # the id is taken from the key where rows meet: it isn't shuffled beside it
+        table.replace(own, held.join(req.select(F.col("pid").alias("_pid")), pid == F.col("_pid"), "left_anti"), v)
     return report

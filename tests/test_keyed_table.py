@@ -155,3 +155,15 @@ def test_upsert_keeps_one_row_of_a_key_that_was_stored_twice(spark):
         # otherwise only ranges that hold an incoming key are settled
         assert [r for r in content(table) if r[0] == "b"] == [("b", 7, 0, "video")]
     assert SO.create_manifest(SO.stored_manifest(spark, scratch(spark, "manifest-test")), spark.createDataFrame([], COLS)) == 0
+
+
+def test_parts_hold_the_rows_alone_in_order_of_the_key(spark):
+    table, rows = manifest(spark, range(1000, 3000))
+    SO.stored_upsert(table, spark.createDataFrame([(f"videos/{i}/1.mp4", 3, 3, "video") for i in range(900, 3000, 7)], COLS))
+    SO.stored_delete(table, spark.createDataFrame([(str(i),) for i in range(1000, 3000, 50)], "processing_id string"))
+    for number in table.numbers():
+        for part in table.version(number).parts:
+            found = spark.read.parquet(f"{table.path}/{part.folder}")
+            assert found.columns == ["key", "size", "last_modified", "file_type"]  # no copy of the key
+            keys = [r.key for r in found.coalesce(1).collect()]
+            assert keys == sorted(keys) and (keys[0], keys[-1], len(keys)) == (part.low, part.high, part.rows)
