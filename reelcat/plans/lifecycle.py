@@ -14,16 +14,16 @@ CLAIM_N = 100
 NOW = "1998-08-03 00:00:00"
 
 
-def task_objects(spark: SparkSession, sf: str) -> DataFrame:
+def task_objects(spark: SparkSession, sf: str, owners: DataFrame | None = None) -> DataFrame:
     """The object listing re-keyed under each task's full id: objects of order
     ``k`` belong to the task whose ``src_key`` is ``k``.  Objects of every fourth order
-    are named as the direct path names them."""
-    files = X.files(spark, sf)
-    tasks = X.tasks(spark, sf).select(F.col("src_key").cast("string").alias("processing_id"), F.col("id").alias("tid"))
+    are named as the direct path names them.  ``owners`` (id, src_key) are the tasks to take, by default all."""
+    files = X.files(spark, sf).withColumn("name", F.substring_index("key", "/", -1)).drop("key")
+    tasks = (X.tasks(spark, sf) if owners is None else owners).select(F.col("src_key").cast("string").alias("processing_id"), F.col("id").alias("tid"))
     return (files.join(tasks, "processing_id")
             .select(F.concat(F.lit(f"{K.KEY_ROOT}/"), "tid", F.lit("/"),
                              F.when(F.col("processing_id").cast("bigint") % 4 == 0, F.concat("tid", F.lit("_"))).otherwise(F.lit("")),
-                             F.substring_index("key", "/", -1)).alias("key"),
+                             "name").alias("key"),
                     "file_type", "size", "last_modified"))
 
 

@@ -27,12 +27,14 @@ SLIDE = "12 hours"
 
 
 def q_result_documents(spark: SparkSession, sf: str) -> DataFrame:
-    slots = C.video_details(task_objects(spark, sf), BASE_URL, BUCKET)
     tasks = X.tasks(spark, sf)
-    records = media_records(spark, sf)
-    videos = (records.select(F.col("id").alias("video"), F.struct("*").alias("record"))
-              .join(tasks.select(F.concat(F.lit("v"), F.col("src_key").cast("string")).alias("video"), "id"), "video")
-              .select("id", "record"))
+    # only tasks whose id has ended get a document: objects and records of others aren't gathered
+    ended = tasks.select("id", "src_key").join(tasks.where(F.col("status").isin(K.TERMINAL_STATUSES)).select("id"), "id", "left_semi")
+    slots = C.video_details(task_objects(spark, sf, ended), BASE_URL, BUCKET)
+    # records are built after the join with their tasks: the shuffle carries the columns they are built from
+    orders = read_table(spark, sf, "orders").join(ended.select("src_key", F.col("id").alias("task_id")), F.col("o_orderkey") == F.col("src_key"))
+    records = media_records(spark, sf, orders, ["task_id"])
+    videos = records.select(F.col("task_id").alias("id"), F.struct(*(c for c in records.columns if c != "task_id")).alias("record"))
     return M.result_documents(tasks, slots, X.task_warnings(spark, sf), videos)
 
 

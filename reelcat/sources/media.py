@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,12 @@ FROM {orders}
 """
 
 
-def media_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One media-info document per order, typed to ``schemas.MEDIA_INFO``."""
-    raw = spark.sql(MEDIA_RECORDS_SQL, orders=read_table(spark, sf_dir, "orders"))
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.MEDIA_INFO.fields])
+def media_records(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """One media-info document per order, typed to ``schemas.MEDIA_INFO``; ``orders`` are rows of that table (by
+    default all), whose columns ``kept`` follow the document's."""
+    sql = MEDIA_RECORDS_SQL.replace("FROM {orders}", "".join(f", {c}" for c in kept) + " FROM {orders}")
+    raw = spark.sql(sql, orders=read_table(spark, sf_dir, "orders") if orders is None else orders)
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.MEDIA_INFO.fields], *kept)
 
 
 def media_json_lines(records: DataFrame) -> DataFrame:
